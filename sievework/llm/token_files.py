@@ -14,9 +14,12 @@ rows; other columns are not read.
 from __future__ import annotations
 
 import json
+import os
 import re
+import sys
 import zlib
-from itertools import accumulate
+from array import array
+from itertools import accumulate, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,8 @@ from .shared import shared_dir
 
 NULL_ID = -(2**63)
 END_ID = 2
-#: Entries of a worker's memory of encoded pieces, about 100 bytes each.
-MEMORY = 500_000
+#: Entries of a worker's memory of encoded pieces, about 200 bytes each.
+MEMORY = 1_200_000
 ODD_SPACE = re.compile(r"^\s|\s\s|\s$")
 
 
@@ -56,30 +59,41 @@ def encoder(path: str, dtype: str):
     """
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tok = Tokenizer.from_file(path)
     spec = json.loads(tok.to_str())
     pre = spec.get("pre_tokenizer") or {}
     pieces = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
     special = [x["content"] for x in spec.get("added_tokens", [])]
-    seen: dict[str, bytes] = {}
+    kind = {"<u2": "H", "<u4": "I"}[dtype]
+    # The worker process keeps its pieces from task to task, by tokenizer file.
+    seen: dict[str, bytes] = sys.__dict__.setdefault("_sievework_pieces", {}).setdefault((path, dtype), {})
 
     def direct(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype).tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+        return [array(kind, e.ids).tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+    def split(t: str) -> list[str] | None:
+        """Pieces: the first is marked by a null character, later ones lack their
+        space unless they begin at a line's end."""
+        if not pieces or not t or ODD_SPACE.search(t) or "\0" in t or any(s in t for s in special):
+            return None
+        p = t.replace("\n", " \n").split(" ")
+        p[0] = "\0" + p[0]
+        return p
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") if pieces and t and not ODD_SPACE.search(t) and not any(s in t for s in special) else None for t in texts]
+        split_texts = [split(t) for t in texts]
         if len(seen) > MEMORY:
             seen.clear()
         new = set()
-        for p in split:
+        for p in split_texts:
             if p:
-                p[1:] = [" " + x for x in p[1:]]
-                new.update(p)
-        new = list(new - seen.keys())
-        for k in range(0, len(new), 4096):
-            seen.update(zip(new[k : k + 4096], direct(new[k : k + 4096])))
-        whole = iter(direct([t for t, p in zip(texts, split) if p is None]))
-        return [next(whole) if p is None else b"".join(map(seen.__getitem__, p)) for p in split]
+                new.update(filterfalse(seen.__contains__, p))
+        if new:
+            new = list(new)
+            seen.update(zip(new, direct([x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x for x in new])))
+        whole = iter(direct([t for t, p in zip(texts, split_texts) if p is None]))
+        return [next(whole) if p is None else b"".join(map(seen.__getitem__, p)) for p in split_texts]
 
     return encode
 
