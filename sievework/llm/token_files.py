@@ -19,7 +19,7 @@ import re
 import sys
 import zlib
 from array import array
-from itertools import accumulate, filterfalse
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ NULL_ID = -(2**63)
 END_ID = 2
 #: Entries of a worker's memory of encoded pieces, about 200 bytes each.
 MEMORY = 1_200_000
-ODD_SPACE = re.compile(r"^\s|\s\s|\s$")
+OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 def tokenizer_file() -> str:
@@ -49,13 +49,49 @@ def id_type(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 65536 else "<u4"
 
 
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the
+    rest for the code points from 256 on, in order."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+class Pieces(dict):
+    """Ids, as bytes, of pieces between single spaces, encoded when first met.
+
+    A key is a piece that follows a space; a leading null character marks one
+    that does not. A byte-level BPE cuts before and after runs of letters, so a
+    word, its closing mark and a line's end are looked up each for itself.
+    """
+
+    def __init__(self, tok, kind: str):
+        self.tok, self.kind, self.letters = tok, kind, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        bare = piece[:1] == "\0"
+        w = piece[1:] if bare else piece
+        if w[:-1].isalpha() and w[-1] in ".,;:!?":
+            ids = self[piece[:-1]] + self["\0" + w[-1]]
+        elif w[:1] == "\n" and w[1:2].isalpha() and not bare:
+            ids = self["\0\n"] + self["\0" + w[1:]]
+        elif w.isalpha():
+            text = (w if bare else " " + w).encode().decode("latin-1").translate(self.letters)
+            ids = array(self.kind, [t.id for t in self.tok.model.tokenize(text)]).tobytes()
+        else:
+            text = w if bare or w[:1] == "\n" else " " + w
+            ids = array(self.kind, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        self[piece] = ids
+        return ids
+
+
 def encoder(path: str, dtype: str):
-    """A function from a list of texts to a list of their ids as bytes.
+    """A function from a text to its ids as bytes.
 
-    A byte-level BPE without prefix space cuts a text before a single space
-    between two other characters in any case, so pieces there encode alike in
-    every text, and a piece seen before is looked up. Texts with other white
-    space or a special token's string, and other tokenizers, are encoded whole.
+    A byte-level BPE without prefix space cuts a text before any white space that
+    follows another character, so the pieces there encode alike in every text.
+    Texts with runs of white space or a special token's string, and texts for
+    other tokenizers, are encoded whole.
     """
     from tokenizers import Tokenizer
 
@@ -63,37 +99,23 @@ def encoder(path: str, dtype: str):
     tok = Tokenizer.from_file(path)
     spec = json.loads(tok.to_str())
     pre = spec.get("pre_tokenizer") or {}
-    pieces = spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
-    special = [x["content"] for x in spec.get("added_tokens", [])]
+    pieces = (
+        spec["model"]["type"] == "BPE" and not any(spec["model"].get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+    )
+    unsplit = ["  ", " \n", "\n ", "\n\n", "\0", *(x["content"] for x in spec.get("added_tokens", []))]
     kind = {"<u2": "H", "<u4": "I"}[dtype]
     # The worker process keeps its pieces from task to task, by tokenizer file.
-    seen: dict[str, bytes] = sys.__dict__.setdefault("_sievework_pieces", {}).setdefault((path, dtype), {})
-
-    def direct(texts: list[str]) -> list[bytes]:
-        return [array(kind, e.ids).tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    seen = sys.__dict__.setdefault("_sievework_pieces", {}).setdefault((path, dtype), Pieces(tok, kind))
 
-    def split(t: str) -> list[str] | None:
-        """Pieces: the first is marked by a null character, later ones lack their
-        space unless they begin at a line's end."""
-        if not pieces or not t or ODD_SPACE.search(t) or "\0" in t or any(s in t for s in special):
-            return None
-        p = t.replace("\n", " \n").split(" ")
-        p[0] = "\0" + p[0]
-        return p
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split_texts = [split(t) for t in texts]
+    def encode(t: str) -> bytes:
+        if not pieces or not t or t[0] in " \n" or OTHER_SPACE.search(t) or any(x in t for x in unsplit):
+            return array(kind, tok.encode(t, add_special_tokens=False).ids).tobytes()
         if len(seen) > MEMORY:
             seen.clear()
-        new = set()
-        for p in split_texts:
-            if p:
-                new.update(filterfalse(seen.__contains__, p))
-        if new:
-            new = list(new)
-            seen.update(zip(new, direct([x[1:] if x[0] == "\0" else x if x[0] == "\n" else " " + x for x in new])))
-        whole = iter(direct([t for t, p in zip(texts, split_texts) if p is None]))
-        return [next(whole) if p is None else b"".join(map(seen.__getitem__, p)) for p in split_texts]
+        p = t.replace("\n", " \n").split(" ")
+        p[0] = "\0" + p[0]
+        return b"".join(map(seen.__getitem__, p))
 
     return encode
 
@@ -119,7 +141,7 @@ def _writer(out: str, path: str, dtype: str, end_id: int):
                 if files is None:
                     files = [fs.open_output_stream(f"{own}.{x}") for x in ("bin", "off", "ids")]
                     files[1].write(np.zeros(1, "<i8").tobytes())
-                blobs = [b + end for b in encode(texts)]
+                blobs = [encode(t) + end for t in texts]
                 ends = tokens + np.cumsum([len(b) for b in blobs], dtype="<i8") // int(dtype[-1])
                 for f, b in zip(files, (b"".join(blobs), ends.tobytes(), np.array([NULL_ID if i is None else i for i in ids], "<i8").tobytes())):
                     f.write(b)
