@@ -49,12 +49,12 @@ def id_type(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 65536 else "<u4"
 
 
-def byte_letters() -> dict[int, int]:
+def byte_letters() -> list[str]:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the
     rest for the code points from 256 on, in order."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in own]
-    return {b: 256 + i for i, b in enumerate(rest)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
 class Pieces(dict):
@@ -66,7 +66,7 @@ class Pieces(dict):
     """
 
     def __init__(self, tok, kind: str):
-        self.tok, self.kind, self.letters = tok, kind, byte_letters()
+        self.tok, self.model, self.kind, self.letters = tok, tok.model, kind, byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
         bare = piece[:1] == "\0"
@@ -76,8 +76,8 @@ class Pieces(dict):
         elif w[:1] == "\n" and w[1:2].isalpha() and not bare:
             ids = self["\0\n"] + self["\0" + w[1:]]
         elif w.isalpha():
-            text = (w if bare else " " + w).encode().decode("latin-1").translate(self.letters)
-            ids = array(self.kind, [t.id for t in self.tok.model.tokenize(text)]).tobytes()
+            text = w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode()))
+            ids = array(self.kind, [t.id for t in self.model.tokenize(text if bare else self.letters[32] + text)]).tobytes()
         else:
             text = w if bare or w[:1] == "\n" else " " + w
             ids = array(self.kind, self.tok.encode(text, add_special_tokens=False).ids).tobytes()
