@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import language_id, secret_scan, token_files, url_filter
+from . import decontamination, language_id, mixing, secret_scan, simhash, token_files, url_filter
 
 QUERIES = {
     f.__name__: f
-    for f in (secret_scan.op1_secret_scan, token_files.op6_token_files, language_id.op7_language_id, url_filter.op9_url_filter)
-}
+    for f in (
+        secret_scan.op1_secret_scan, mixing.op2_mixing, decontamination.op4_decontamination, token_files.op6_token_files,
+        language_id.op7_language_id, simhash.op8_simhash, url_filter.op9_url_filter,
+    )
+}
 SQL = {"op1_secret_scan": secret_scan.OP1_SQL}
