@@ -6,8 +6,9 @@ anchor occurrence, and only segments whose anchor occurs again can hold a
 repeat. Equal segments are aggregated: all their windows are repeats. Distinct
 segments with one anchor go to that anchor's shard, whose FM-index gives the
 matching statistics of the shard's segments; windows that match in full elsewhere
-are repeats. For an anchor with more than ``CROWD`` distinct segments, windows
-are counted by hash instead, so that no shard grows with one passage.
+are repeats. An anchor with more than ``CROWD`` distinct segments has them cut
+once more by second anchors; windows still crowded are counted by hash, so that
+no shard grows with one passage.
 
 Defined results: null and short texts lose nothing; repeated rows are documents
 of their own, hence repeats of one another; null ids are kept; an empty table
@@ -59,13 +60,14 @@ def run_hashes(h: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.n
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
-def segments(h: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """First window, number of windows, anchor and content hash of each segment."""
+def segments(h: np.ndarray, window: int = WINDOW, mask: int = 0) -> tuple[np.ndarray, ...]:
+    """First window, number of windows, anchor and content hash of each segment.
+    Another ``mask`` orders the anchors otherwise."""
     n = len(h) - window + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    grams = run_hashes(h, np.arange(len(h) - GRAM + 1), GRAM)
+    grams = run_hashes(h, np.arange(len(h) - GRAM + 1), GRAM) ^ np.uint64(mask)
     view = np.lib.stride_tricks.sliding_window_view(grams, window - GRAM + 1)
     pos = np.concatenate([view[k : k + 65536].argmin(1) + np.arange(k, min(n, k + 65536)) for k in range(0, n, 65536)])
     first = np.flatnonzero(np.concatenate([[True], pos[1:] != pos[:-1]]))
@@ -100,6 +102,24 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out)
 
 
+SECOND = 0xFFFFFFFFFFFFFFFF
+CUT = "id long, th long, start int, n int, anchor long, body long, ask boolean, words binary"
+
+
+def _again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Crowded segments, cut once more by the greatest hash of their windows; the
+    new anchor stands for both."""
+    for f in frames:
+        out: dict[str, list] = {k: [] for k in ("id", "th", "start", "n", "anchor", "body", "ask", "words")}
+        for r in f.itertuples(index=False):
+            h = np.frombuffer(r.words, np.uint64)
+            for first, n, anchor, body in zip(*(x.tolist() for x in segments(h, WINDOW, SECOND))):
+                both = (r.anchor * PRIME + anchor) % (1 << 64)
+                for k, v in zip(out, (r.id, r.th, r.start + first, n, both - (both >> 63 << 64), body, r.ask, h[first : first + n + WINDOW - 1].tobytes())):
+                    out[k].append(v)
+        yield pd.DataFrame(out)
+
+
 def _search(shard: pd.DataFrame) -> pd.DataFrame:
     """Window runs of the shard's asked segments that occur elsewhere in it."""
     shard = shard.reset_index(drop=True)
@@ -139,11 +159,12 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     runs = table(docs.mapInPandas(_scan, "id long, th long, start int, n int, anchor long, body long"), "segments")
     again = runs.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
+    again = table(again, "anchors-again")  # joined from a table, a hot anchor's segments can be split
     maybe = table(runs.join(again, "anchor", "left_semi"), "segments-again")
     one = F.min(F.struct("id", "th", "start", "n")).alias("at")
     bodies = table(maybe.groupBy("anchor", "body").agg(F.count("*").alias("c"), one), "segment-bodies")
     whole = maybe.join(bodies.filter("c > 1").select("anchor", "body"), ["anchor", "body"], "left_semi").select("id", "th", "start", "n")
-    per_anchor = bodies.groupBy("anchor").agg(F.count("*").alias("bodies"), F.min("c").alias("least")).filter("bodies > 1 AND least = 1")
+    per_anchor = _shared_anchors(bodies)
     wanted = (
         bodies.join(per_anchor, "anchor")
         .select("at.id", "at.th", F.struct("at.start", "at.n", "anchor", (F.col("c") == 1).alias("ask"), (F.col("bodies") > CROWD).alias("crowd")).alias("w"))
@@ -152,12 +173,30 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     cut = docs.alias("d").join(wanted.alias("w"), (F.col("d.id") == F.col("w.id")) & (F.col("d.th") == F.col("w.th"))).select("d.*", "want")
     cut = cut.mapInPandas(_cut, "id long, th long, start int, n int, anchor long, ask boolean, crowd boolean, words binary")
     cut = table(cut.dropDuplicates(["id", "th", "start"]), "segment-words")
-    shards = max(1, cut.filter("NOT crowd").count() // SHARD)
-    found = cut.filter("NOT crowd").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_search, RUN)
-    crowd = cut.filter("crowd").mapInPandas(_windows, "id long, th long, start int, anchor long, window long")
-    several = crowd.groupBy("anchor", "window").agg(F.count("*").alias("c")).filter("c > 1")
-    counted = crowd.join(several, ["anchor", "window"]).select("id", "th", "start", F.lit(1).alias("n"))
-    return whole.unionByName(found).unionByName(counted)
+    found = _sharded(cut.filter("NOT crowd"))
+    # Crowded anchors: the same once more by second anchors.
+    cut = table(cut.filter("crowd").mapInPandas(_again, CUT), "crowded-words")
+    bodies = table(cut.groupBy("anchor", "body").agg(F.count("*").alias("c")), "crowded-bodies")
+    equal = cut.join(bodies.filter("c > 1").select("anchor", "body"), ["anchor", "body"], "left_semi").select("id", "th", "start", "n")
+    left = cut.drop("ask").join(bodies.join(_shared_anchors(bodies), "anchor"), ["anchor", "body"]).withColumn("ask", F.col("c") == 1)
+    left = table(left.dropDuplicates(["anchor", "body"]), "crowded-left")
+    second = _sharded(left.filter(F.col("bodies") <= CROWD))
+    # What is crowded still: windows, counted.
+    windows = left.filter(F.col("bodies") > CROWD).mapInPandas(_windows, "id long, th long, start int, anchor long, window long")
+    several = windows.groupBy("anchor", "window").agg(F.count("*").alias("c")).filter("c > 1")
+    counted = windows.join(several, ["anchor", "window"]).select("id", "th", "start", F.lit(1).alias("n"))
+    return whole.unionByName(found).unionByName(equal).unionByName(second).unionByName(counted)
+
+
+def _shared_anchors(bodies: DataFrame) -> DataFrame:
+    """Anchors of several distinct segments, one of which at least occurs once."""
+    return table(bodies.groupBy("anchor").agg(F.count("*").alias("bodies"), F.min("c").alias("least")).filter("bodies > 1 AND least = 1").drop("least"), "segment-anchors")
+
+
+def _sharded(cut: DataFrame) -> DataFrame:
+    """Repeats among segments (with their words), by an FM-index a shard."""
+    shards = max(1, cut.count() // SHARD)
+    return cut.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_search, RUN)
 
 
 def _strip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
