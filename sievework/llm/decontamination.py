@@ -33,7 +33,7 @@ CONSISTENT = 0.8
 #: each); with more, all document windows are joined by hash instead.
 MAX_BROADCAST = 1_000_000
 #: Distinct words that a worker remembers.
-MEMORY = 1_000_000
+MEMORY = 300_000
 
 # Units.
 UNITS = frozenset(

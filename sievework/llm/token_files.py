@@ -32,7 +32,7 @@ from .shared import shared_dir
 NULL_ID = -(2**63)
 END_ID = 2
 #: Entries of a worker's memory of encoded pieces, about 200 bytes each.
-MEMORY = 1_200_000
+MEMORY = 700_000
 OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
