@@ -108,11 +108,15 @@ def held_out(id_col: str = "doc_id"):
 def training_rows(docs: DataFrame, per_language: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """A bounded sample of labelled rows that are not held out: ``per_language``
     of each, those whose id hashes lowest. Ids are ranked first, without texts."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    # First within parts of a language, so that its rows meet in one task only when few.
+    order = [Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id") for keys in (("lang", "part"), ("lang",))]
     usable = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(
         F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id")
     )
-    ids = usable.select("id", "lang").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("id", "lang")
+    ids = usable.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(16)).alias("part")).distinct()
+    for w in order:
+        ids = ids.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_language).drop("n")
+    ids = ids.select("id", "lang")
     rows = usable.join(F.broadcast(ids), ["id", "lang"]).filter(F.col("text").isNotNull())
     return [(r.text, r.lang) for r in sorted(rows.select("id", "text", "lang").collect(), key=lambda r: (r.lang, r.id, r.text))]
 
