@@ -1,0 +1,293 @@
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+from xxhash import xxh64_intdigest
+
+import corpus_pipeline
+from sievework.llm import decontamination, fm_index, jpeg, language_id, media_column, mixing, registry, secret_scan, simhash, substring_dedup, token_counts, token_files, url_filter
+
+
+def rowset(df, *cols):
+    return Counter(tuple(r) for r in df.select(*cols).collect())
+
+
+def words(t):
+    return (t or "").encode().split()
+
+
+@pytest.mark.parametrize("name", ["op1_secret_scan", "op5_substring_dedup"])
+def test_sql_agrees_on_odd_rows(spark, sf, name):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet/*.parquet'")
+    want = con.sql(registry.SQL[name])
+    got = registry.QUERIES[name](spark, sf)
+    assert rowset(got, *want.columns) == Counter(want.fetchall())
+
+
+def test_secret_spans_by_brute_force(spark, docs, rows):
+    got = {(r.id, r.kind, r.start, r.end) for r in secret_scan.secret_scan(docs).collect() if r.kind and r.kind != "owned"}
+    want = set()
+    for i, t, *_ in rows:
+        for kind, rx, group, least in secret_scan.KINDS:
+            want |= {(i, kind, m.start(), m.end()) for m in re.finditer(rx, t or "") if len(m[group]) >= least}
+    assert got == want and any(k == "access" for _, k, *_ in got)
+
+
+def test_ownership_separates_copied_from_owned(spark):
+    shared, own = "token = \"" + "ab12" * 10 + "\"", "key Zk7q9Xw7Rt5Lm3Np1Vb8Hs6"
+    df = spark.createDataFrame([(1, shared, "a/x"), (2, shared, "b/y"), (3, own, "c/z"), (4, own, "c/w"), (5, "key Qq7q9Xw7Rt5Lm3Np1Vb8Hs6", "a/x"), (6, "key Qq7q9Xw7Rt5Lm3Np1Vb8Hs6", "b/y")], "doc_id long, text string, source string")
+    got = {(r.id, r.kind, r["class"]) for r in secret_scan.secret_scan(df).collect() if r.kind}
+    assert {(3, "owned", "owned"), (4, "owned", "owned"), (1, "assign", "copied")} <= got and not {5, 6} & {g[0] for g in got}
+
+
+def test_mixing(spark, docs, rows, sf):
+    got = registry.QUERIES["op2_mixing"](spark, sf).collect()
+    sizes = defaultdict(int)
+    for _, t, _, s in rows:
+        sizes[s] += len(words(t))
+    goal, taken = mixing.targets(sizes), Counter()
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    assert abs(sum(goal.values()) - 1.5 * sum(sizes.values())) < 1e-6 and all(goal[s] <= 2 * sizes[s] + 1e-9 for s in order)
+    source = {i: s for i, _, _, s in rows if i is not None}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r["size"]
+        if r.doc_id is not None:
+            taken[source[r.doc_id]] += r.taken
+            assert r.source_size == sizes[source[r.doc_id]] and abs(r.target - goal[source[r.doc_id]]) < 1e-6
+    assert all(abs(taken[s] - goal[s]) <= 10 for s in order)
+    again = registry.QUERIES["op2_mixing"](spark, sf).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    out = mixing.mix(docs, shard_col="shard")
+    assert out.columns == [*docs.columns, "shard"]
+    per = Counter()
+    for r in out.collect():
+        per[r.source] += len(words(r.text))
+    assert all(abs(per[s] - goal[s]) <= 10 for s in order)
+
+
+def test_splitting_tree_is_exact():
+    q = [100, 7, 0, 33]
+    t = mixing.splitting_tree(q, 7, 1)
+    assert t.sum(0).tolist() == q and t.min() >= 0 and len(t) == 7 and max(t.sum(1)) - min(t.sum(1)) <= 2
+    assert (t == mixing.splitting_tree(q, 7, 1)).all()
+
+
+def test_media_round_trip(spark, docs, rows):
+    got = Counter((r.id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media_column.features(media_column.media_column(docs)).collect())
+    want = Counter()
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        p = b + b"\xff" * (-len(b) % 576 or (0 if b else 576))
+        want[i, len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])] += 1
+    assert got == want
+    t = media_column.rgb_tensors(media_column.media_column(docs)).filter("id = 5").first().tensor
+    assert len(t.rgb) == t.height * t.width * 3
+    for n in (1, 5000, 600_000):
+        p = media_column.pad(np.random.default_rng(n).bytes(n))
+        assert media_column.load(media_column.store(p))[0] == p
+
+
+def test_decoder_reads_fixed_scans_symbol_by_symbol(monkeypatch):
+    media = media_column.store(media_column.pad(b"the same bytes by both ways of reading"))
+    fast = jpeg.decode(media)
+    monkeypatch.setattr(jpeg, "_fixed", lambda *a: False)
+    slow = jpeg.decode(media)
+    assert all((a.coefs == b.coefs).all() for a, b in zip(fast.components, slow.components))
+
+
+def test_decoder_reads_runs_and_new_coefficients():
+    """A hand-made grey block pair: runs of zeros, an end-of-band run, and a
+    coefficient that first appears in a refinement."""
+    im = jpeg.Image(16, 8, [jpeg.Component(1, 1, 1)], {0: np.ones(64, np.int32)})
+    flat = lambda symbols: (bytes([0] * 7 + [len(symbols)] + [0] * 8), bytes(symbols))
+    put = lambda *parts: jpeg._pack(np.array([int(b) for p in parts for b in p], np.uint8))
+    sym = lambda i: f"{i:08b}"
+    data = jpeg.head(im)
+    data += jpeg.scan_head(im, jpeg.Scan([0], 0, 0, 0, 1), *(lambda c: (c[0], c[1]))(flat([2, 1]))) + put(sym(0), "11", sym(1), "0")  # DC 3, then 3 - 1
+    data += jpeg.scan_head(im, jpeg.Scan([0], 0, 0, 1, 0), b"", b"") + put("1", "0")
+    data += jpeg.scan_head(im, jpeg.Scan([0], 1, 63, 0, 1), *flat([0x21, 0x00])) + put(sym(0), "1", sym(1), sym(1))  # k = 3: +1; end; empty block
+    data += jpeg.scan_head(im, jpeg.Scan([0], 1, 63, 1, 0), *flat([0x11, 0x10])) + put(sym(0), "0", sym(1), "1", "1"[:0])  # new -1 at k = 2, then the run of two with k = 3's bit
+    data = data[:-1] if False else data
+    out = jpeg.decode(data + b"\xff\xd9").components[0].coefs
+    assert out[0, :, 0].tolist() == [7, 4]
+    assert out[0, 0, 3] in (2, 3) and out[0, 0, 2] == -1
+    assert jpeg.rgb(jpeg.decode(data + b"\xff\xd9")).shape == (8, 16, 3)
+
+
+def test_decontamination(spark, sf, docs, none):
+    got = registry.QUERIES["op4_decontamination"](spark, sf).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(20, 2)}
+    q = "Question: a farmer named {} has {} apples and sells {} kg of them to a shop near {} for a good price"
+    items = spark.createDataFrame([(1, q.format("Anna", "12", "5", "Rome"))], "item_id long, text string")
+    other = spark.createDataFrame([(1, "intro words " + q.format("Peter", "99", "7", "Paris") + " and more"), (2, "12 apples and 5 kg in Rome"), (None, q.format("Anna", "12", "5", "Rome")), (3, None)], "doc_id long, text string")
+    for most in (10, 0):  # the broadcast way and the join
+        assert [r.id for r in decontamination.leaks(other, items, max_broadcast=most * 1000).collect()] == [1]
+    assert decontamination.clean(other, items).count() == 3
+    assert decontamination.leaks(none, items).count() == 0 and decontamination.leaks(other, items.limit(0)).count() == 0
+
+
+def removed(texts):
+    seen, n = defaultdict(int), substring_dedup.WINDOW
+    ws = [words(t) for t in texts]
+    for w in ws:
+        for i in range(len(w) - n + 1):
+            seen[tuple(w[i : i + n])] += 1
+    out = Counter()
+    for w in ws:
+        gone = set()
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                gone |= set(range(i, i + n))
+        out[len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()] += 1
+    return out
+
+
+@pytest.mark.parametrize("crowd", [500, 1, 0])
+def test_substring_dedup(docs, rows, monkeypatch, crowd):
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd)
+    assert rowset(substring_dedup.substring_dedup(docs), "n_words", "n_removed", "kept") == removed([r[1] for r in rows])
+
+
+def test_fm_index():
+    rng = np.random.default_rng(2)
+    text = rng.integers(1, 6, 800)
+    index = fm_index.FMIndex(text, 12)
+    got = index.matching(text, np.arange(800), 12)
+    s = [tuple(text[i : i + k]) for k in range(13) for i in range(800 - k + 1)]
+    count = Counter(s)
+    for e in range(0, 800, 7):
+        best = max(k for k in range(0, min(12, e + 1) + 1) if k == 0 or count[tuple(text[e - k + 1 : e + 1])] >= 2)
+        assert got[e] == best
+
+
+def test_token_files(spark, docs, rows, none, tmp_path):
+    tok = Tokenizer.from_file(token_files.tokenizer_file())
+    got = sorted((tuple(r) for r in token_files.token_files(docs).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    at, want = 0, Counter()
+    for i, t, *_ in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    for i, start, n, crc in got:
+        assert start == at
+        at += n
+    assert Counter((r[0], r[2], r[3]) for r in got) == want
+    assert token_files.token_files(none).count() == 0
+
+
+def test_language_id(spark, none):
+    data = [(i, ("le chat et la souris dans la maison " if i % 2 else "the cat and the mouse in the house ") * (1 + i % 3), "fr" if i % 2 else "en") for i in range(200)]
+    data += [(900, None, "en"), (901, "123 !!", "fr"), (902, "", None), (None, "the house", "en")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").withColumn("judged", F.lit(1))
+    out = language_id.language_id(df, language_id.fit(df)).collect()
+    assert len(out) == len(data) and out[0].judged == 1
+    for r in out:
+        assert 0 <= r.score <= 1 and r.lang_pred == ("und" if not r.text or "1" in r.text else "fr" if "chat" in r.text else "en")
+    assert language_id.language_id(none, language_id.fit(none)).count() == 0
+    assert {r.lang_pred for r in language_id.language_id(df, language_id.fit(none)).collect()} == {"und"}
+
+
+def by_hand(t):
+    w = (t or "").encode().lower().split()
+    sh = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [b" ".join(w)] if w else []
+    hs = [xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def reach(ids, fps):
+    parent = list(range(len(fps)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 2:
+                parent[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return [least.get(find(i)) for i in range(len(ids))]
+
+
+def test_simhash(docs, rows, none):
+    fps = [by_hand(r[1]) for r in rows]
+    want = Counter(zip((r[0] for r in rows), (f"{f:016x}" for f in fps), reach([r[0] for r in rows], fps)))
+    got = simhash.near_duplicates(docs).select("id", simhash.hex16(F.col("fp")), "component")
+    assert Counter(map(tuple, got.collect())) == want
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
+    assert ids == sorted({c for c in reach([r[0] for r in rows], fps) if c is not None})
+    assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [1, 3, 32])
+def test_links_connect_what_is_near(spark, bucket):
+    import random
+
+    rng = random.Random(4)
+    centres = [rng.getrandbits(64) for _ in range(12)]
+    fps = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in centres for _ in range(14)})
+    signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
+    root = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), bucket)).collect()}
+    label, want = [root.get(f, f) for f in signed], reach(list(range(len(fps))), fps)
+    assert len(set(zip(label, want))) == len(set(label)) == len(set(want))
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "http://A.Net/x", "https://m.example.net/en/1?x=1", "http://example.com/de/2", "http://sub.org/fr/", "http://org", "http://net", "http://xnet/", "HTTP://EXAMPLE.COM/DE/", "a://É.example.net/en/#f"]
+    urls += [f"http://h{i}.example.{'net' if i % 2 else 'org'}/{'en' if i % 3 else 'fr'}/{i}" for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
+    for r in url_filter.url_filter(df).collect():
+        rest = (urls[r.page_id] or "").partition("://")[2] if "://" in (urls[r.page_id] or "") else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (r.host, r.path, r.rule) == (host, path, max(fits)[1] if fits else None)
+        assert r.verdict == max(fits)[2] if fits else r.verdict in ("allow", "block")
+    assert url_filter.url_filter(df.limit(0)).count() == 0
+    assert {r.verdict for r in url_filter.url_filter(df.filter("page_id < 3")).collect()} == {"allow"}
+
+
+def test_trees_learn(spark):
+    data = [(i, f"http://a.example.{'net' if i % 2 else 'org'}/{'en' if i % 4 < 2 else 'fr'}/{i}") for i in range(400)]
+    df = url_filter.lexical(url_filter.parts(spark.createDataFrame(data, "page_id long, url string"))).withColumn("y", (F.col("suffix") == "net").cast("int"))
+    model = url_filter.fit(df)
+    right = url_filter.suffix_statistics(df, model.suffixes).withColumn("m", model.margin()).filter((F.col("m") > 0) == (F.col("y") == 1)).count()
+    assert right == 400
+
+
+def test_token_counts(docs, rows, none):
+    tok = Tokenizer.from_file(token_files.tokenizer_file())
+    total = Counter()
+    for r in token_counts.token_counts(docs).collect():
+        total[r.id] += r.n_tokens
+    want = Counter()
+    for i, t, *_ in rows:
+        want[i] += len(tok.encode(t or "", add_special_tokens=False).ids)
+    assert +total == +want and token_counts.token_counts(none).count() == 0
+    ids, text = np.array(tok.encode("ab é cd\nef", add_special_tokens=False).ids), "ab é cd\nef"
+    got = token_counts.attribute(text, ids, token_counts.token_bytes(token_files.tokenizer_file()), [(1, 4), (5, 8)])
+    offsets = tok.encode(text, add_special_tokens=False).offsets
+    inside = lambda a, b: sum(a <= s < b for s, _ in offsets)
+    assert [g[3] for g in got[:2]] == [inside(1, 4), inside(5, 8)] and sum(g[3] for g in got) == len(ids)
+
+
+def test_pipeline_stages(spark, docs, none, sf):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert stage(spark, none, sf).count() == 0, name
+    assert corpus_pipeline.run(spark, sf).count() > 0
