@@ -123,7 +123,9 @@ def template_windows(df: DataFrame, id_col: str, text_col: str, sizes=None, want
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield _hits(f["t"], f["i"], sizes, shared.value if shared else None)
+            found = _hits(f["t"], f["i"], sizes, shared.value if shared else None)
+            if len(found):
+                yield found
 
     return df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL").mapInPandas(run, SCHEMA)
 

@@ -71,6 +71,7 @@ class FMIndex:
     """``text``: dense symbols from 0; ``depth``: the longest pattern."""
 
     def __init__(self, text: np.ndarray, depth: int):
+        text = np.append(text + 1, 0)  # an end that no pattern has
         order = suffix_order(text, depth)
         self.tree = WaveletTree(text[order - 1])
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 1))])
@@ -87,7 +88,7 @@ class FMIndex:
             at = ends[live] - step
             ok = at >= 0
             live, lo, hi, at = live[ok], lo[ok], hi[ok], at[ok]
-            c = stream[at]
+            c = stream[at] + 1
             lo, hi = self.before[c] + self.tree.rank(c, lo), self.before[c] + self.tree.rank(c, hi)
             ok = hi - lo >= least_count
             live, lo, hi = live[ok], lo[ok], hi[ok]
