@@ -77,16 +77,17 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", max_owners: int = 1) -> DataFrame:
     """A row per span: row, id, kind, start, end, h, live, n_owners, n_repos,
-    n_uses, class. Documents without spans keep one row with null kind.
+    n_uses, class. Each document has one more row, with null kind.
 
     class is ``owned`` for a live-looking value with at most ``max_owners``
     owners, else ``copied``. A long run (kind ``owned``) stays only if its class
     is ``owned`` and no base span of its document overlaps it.
     """
     found = table(candidates(docs, id_col, text_col, repo_col), "secrets")
-    spans = found.select("row", "id", F.explode_outer("spans").alias("x")).select("row", "id", "x.*")
-    joined = spans.join(ownership(found), "h", "left").withColumn(
-        "class", F.when(F.col("k").isNull(), None).when(F.col("live") & (F.col("n_owners") <= max_owners), "owned").otherwise("copied")
+    spans = found.select("row", "id", F.explode("spans").alias("x")).select("row", "id", "x.*")
+    owners = table(ownership(found), "secret-owners")  # joined from a table, a hot value's spans can be split
+    joined = spans.join(owners, "h").withColumn(
+        "class", F.when(F.col("live") & (F.col("n_owners") <= max_owners), "owned").otherwise("copied")
     )
     doc = "PARTITION BY row ORDER BY s, e, k ROWS BETWEEN"
     base = f"k < {len(KINDS)}"
@@ -94,9 +95,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return (
         joined.withColumn("before", F.expr(f"max(IF({base}, e, 0)) OVER ({doc} UNBOUNDED PRECEDING AND CURRENT ROW)"))
         .withColumn("after", F.expr(f"min(IF({base}, s, NULL)) OVER ({doc} CURRENT ROW AND UNBOUNDED FOLLOWING)"))
-        .filter(F.col("k").isNull() | F.expr(base) | ((F.col("class") == "owned") & (F.col("before") <= F.col("s")) & (F.coalesce(F.col("after"), F.col("e")) >= F.col("e"))))
-        # A document keeps a row even if all its spans fell: the window's row of -1.
-        .unionByName(found.filter("size(spans) > 0").select("row", "id"), allowMissingColumns=True)
+        .filter(F.expr(base) | ((F.col("class") == "owned") & (F.col("before") <= F.col("s")) & (F.coalesce(F.col("after"), F.col("e")) >= F.col("e"))))
+        .unionByName(found.select("row", "id"), allowMissingColumns=True)  # every document keeps a row
         .withColumn("kind", F.get(names, F.col("k")))
         .select("row", "id", "k", "kind", F.col("s").alias("start"), F.col("e").alias("end"), "h", "live", "n_owners", "n_repos", "n_uses", "class")
     )
