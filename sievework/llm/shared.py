@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,6 +36,20 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of jobs that are done: it waits
+    for the driver's garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, prefixed until it clashes with no column (names ignore case)."""
     taken = {c.lower() for c in columns}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import table
+from .shared import remove, shared_dir, table, tidy
 
 WINDOW = 35
 GRAM = 6
@@ -157,10 +157,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """(id, th, start, n): runs of n repeated windows of the documents with that
     id and text hash. ``docs``: id (not null), th (xxhash64 of the text), text."""
     spark = docs.sparkSession
-    runs = table(docs.mapInPandas(_scan, "id long, th long, start int, n int, anchor long, body long"), "segments")
+    first = shared_dir(spark, "segments")
+    docs.mapInPandas(_scan, f"{RUN}, anchor long, body long").write.parquet(first)
+    runs = spark.read.schema(f"{RUN}, anchor long, body long").parquet(first)
     again = runs.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
     again = table(again, "anchors-again")  # joined from a table, a hot anchor's segments can be split
     maybe = table(runs.join(again, "anchor", "left_semi"), "segments-again")
+    remove(spark, first)  # both tables made of it are written
     one = F.min(F.struct("id", "th", "start", "n")).alias("at")
     bodies = table(maybe.groupBy("anchor", "body").agg(F.count("*").alias("c"), one), "segment-bodies")
     whole = maybe.join(bodies.filter("c > 1").select("anchor", "body"), ["anchor", "body"], "left_semi").select("id", "th", "start", "n")
@@ -180,6 +183,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     equal = cut.join(bodies.filter("c > 1").select("anchor", "body"), ["anchor", "body"], "left_semi").select("id", "th", "start", "n")
     left = cut.drop("ask").join(bodies.join(_shared_anchors(bodies), "anchor"), ["anchor", "body"]).withColumn("ask", F.col("c") == 1)
     left = table(left.dropDuplicates(["anchor", "body"]), "crowded-left")
+    tidy(spark)  # the texts' first shuffle, before their second
     second = _sharded(left.filter(F.col("bodies") <= CROWD))
     # What is crowded still: windows, counted.
     windows = left.filter(F.col("bodies") > CROWD).mapInPandas(_windows, "id long, th long, start int, anchor long, window long")
