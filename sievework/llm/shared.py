@@ -50,6 +50,24 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: A key with more than one in ``HOT`` of all counted rows is joined apart.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, on: list[str], c: str) -> DataFrame:
+    """Inner join of ``rows`` with ``counts``: a written table, one line a key, whose
+    column ``c`` counts the key's rows.
+
+    Keys with over 1 / ``HOT`` of all rows are fewer than ``HOT`` by that count, so
+    they can be broadcast at any size, and their rows stay where they are; the
+    other keys are hashed, none of which can fill a task.
+    """
+    least = (counts.agg(F.sum(c)).first()[0] or 0) // HOT
+    hot = F.broadcast(counts.filter(F.col(c) > least))
+    others = rows.join(hot.select(*on), on, "left_anti").join(counts.filter(F.col(c) <= least), on)
+    return rows.join(hot, on).unionByName(others)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, prefixed until it clashes with no column (names ignore case)."""
     taken = {c.lower() for c in columns}

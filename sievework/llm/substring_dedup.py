@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import remove, shared_dir, table, tidy
+from .shared import join_counted, remove, shared_dir, table, tidy
 
 WINDOW = 35
 GRAM = 6
@@ -160,16 +160,16 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     first = shared_dir(spark, "segments")
     docs.mapInPandas(_scan, f"{RUN}, anchor long, body long").write.parquet(first)
     runs = spark.read.schema(f"{RUN}, anchor long, body long").parquet(first)
-    again = runs.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
-    again = table(again, "anchors-again")  # joined from a table, a hot anchor's segments can be split
-    maybe = table(runs.join(again, "anchor", "left_semi"), "segments-again")
+    again = runs.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1")
+    again = table(again, "anchors-again")
+    maybe = table(join_counted(runs, again, ["anchor"], "c").drop("c"), "segments-again")
     remove(spark, first)  # both tables made of it are written
     one = F.min(F.struct("id", "th", "start", "n")).alias("at")
     bodies = table(maybe.groupBy("anchor", "body").agg(F.count("*").alias("c"), one), "segment-bodies")
-    whole = maybe.join(bodies.filter("c > 1").select("anchor", "body"), ["anchor", "body"], "left_semi").select("id", "th", "start", "n")
-    per_anchor = _shared_anchors(bodies)
+    equal_bodies = bodies.filter("c > 1").select("anchor", "body", "c")
+    whole = join_counted(maybe, equal_bodies, ["anchor", "body"], "c").select("id", "th", "start", "n")
     wanted = (
-        bodies.join(per_anchor, "anchor")
+        join_counted(bodies, _shared_anchors(bodies), ["anchor"], "bodies")
         .select("at.id", "at.th", F.struct("at.start", "at.n", "anchor", (F.col("c") == 1).alias("ask"), (F.col("bodies") > CROWD).alias("crowd")).alias("w"))
         .groupBy("id", "th").agg(F.collect_list("w").alias("want"))  # segments of one document
     )
@@ -180,15 +180,16 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # Crowded anchors: the same once more by second anchors.
     cut = table(cut.filter("crowd").mapInPandas(_again, CUT), "crowded-words")
     bodies = table(cut.groupBy("anchor", "body").agg(F.count("*").alias("c")), "crowded-bodies")
-    equal = cut.join(bodies.filter("c > 1").select("anchor", "body"), ["anchor", "body"], "left_semi").select("id", "th", "start", "n")
-    left = cut.drop("ask").join(bodies.join(_shared_anchors(bodies), "anchor"), ["anchor", "body"]).withColumn("ask", F.col("c") == 1)
+    equal = join_counted(cut, bodies.filter("c > 1"), ["anchor", "body"], "c").select("id", "th", "start", "n")
+    shared = table(join_counted(bodies, _shared_anchors(bodies), ["anchor"], "bodies"), "crowded-shared")
+    left = join_counted(cut.drop("ask"), shared, ["anchor", "body"], "c").withColumn("ask", F.col("c") == 1)
     left = table(left.dropDuplicates(["anchor", "body"]), "crowded-left")
     tidy(spark)  # the texts' first shuffle, before their second
     second = _sharded(left.filter(F.col("bodies") <= CROWD))
     # What is crowded still: windows, counted.
     windows = left.filter(F.col("bodies") > CROWD).mapInPandas(_windows, "id long, th long, start int, anchor long, window long")
-    several = windows.groupBy("anchor", "window").agg(F.count("*").alias("c")).filter("c > 1")
-    counted = windows.join(several, ["anchor", "window"]).select("id", "th", "start", F.lit(1).alias("n"))
+    several = table(windows.groupBy("anchor", "window").agg(F.count("*").alias("c")).filter("c > 1"), "crowded-windows")
+    counted = join_counted(windows, several, ["anchor", "window"], "c").select("id", "th", "start", F.lit(1).alias("n"))
     return whole.unionByName(found).unionByName(equal).unionByName(second).unionByName(counted)
 
 
