@@ -105,18 +105,25 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+#: Ids ranked for each that is wanted: about 1,200 for 300, hence never too few.
+SPARE = 4
+
+
 def training_rows(docs: DataFrame, per_language: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """A bounded sample of labelled rows that are not held out: ``per_language``
-    of each, those whose id hashes lowest. Ids are ranked first, without texts."""
-    # First within parts of a language, so that its rows meet in one task only when few.
-    order = [Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id") for keys in (("lang", "part"), ("lang",))]
+    of each, those whose id hashes lowest. Ids are ranked first, without texts;
+    of a language with n ids (about), only those whose hash is among the lowest
+    ``SPARE * per_language / n`` of all hashes are, so that few ids move."""
     usable = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(
         F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id")
     )
-    ids = usable.select("id", "lang", F.pmod(F.xxhash64("id"), F.lit(16)).alias("part")).distinct()
-    for w in order:
-        ids = ids.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_language).drop("n")
-    ids = ids.select("id", "lang")
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))
+    # A row per language, of which the model itself has a column each.
+    share = SPARE * per_language / F.greatest(F.col("n"), F.lit(1))
+    limits = counts.select("lang", F.when(share >= 1, 2.0**63).otherwise(share * 2.0**64 - 2.0**63).alias("most"))
+    hashed = usable.select("id", "lang", F.xxhash64("id").alias("h")).join(F.broadcast(limits), "lang").filter(F.col("h") <= F.col("most"))
+    lowest = Window.partitionBy("lang").orderBy("h", "id")
+    ids = hashed.select("id", "lang", "h").distinct().withColumn("n", F.row_number().over(lowest)).filter(F.col("n") <= per_language).select("id", "lang")
     rows = usable.join(F.broadcast(ids), ["id", "lang"]).filter(F.col("text").isNotNull())
     return [(r.text, r.lang) for r in sorted(rows.select("id", "text", "lang").collect(), key=lambda r: (r.lang, r.id, r.text))]
 
