@@ -22,6 +22,34 @@ UNRELATED_CODES = ("offline_unrelated", "generic_unrelated", "unrelated_eq_query
 CAPTION_CODES = ("captions_not_diverse", "caption_too_short")
 
 
+def reasons(rows: DataFrame) -> DataFrame:
+    """Adds reason: why a row is no valid record, null if it is one. The first
+    broken rule counts; nulls are missing values, hence empty."""
+    blank = lambda c: F.coalesce(T.strip(F.col(c).cast("string")) == "", F.lit(True))
+    reason = F.when(~F.coalesce(F.col("domain").isin(*DOMAINS), F.lit(False)), "domain").when(F.coalesce(F.size("captions"), F.lit(0)) < 2, "captions")
+    for c in ("id", "source", "query", "unrelated_query"):
+        reason = reason.when(blank(c), c)
+    return rows.withColumn("reason", reason)
+
+
+def export_check(rows: DataFrame) -> DataFrame:
+    """One row: n, empty_query, empty_unrelated, publishable (two rows, none empty)."""
+    empty = lambda c: F.count_if(F.coalesce(T.strip(F.col(c)), F.lit("")) == "")
+    counts = rows.agg(F.count("*").alias("n"), empty("query").alias("empty_query"), empty("unrelated_query").alias("empty_unrelated"))
+    return counts.withColumn("publishable", F.expr("n >= 2 AND empty_query = 0 AND empty_unrelated = 0"))
+
+
+def fill_from_cache(rows: DataFrame, cache: DataFrame) -> DataFrame:
+    """Rows (id, captions, query) with blank queries from the cache (caption,
+    related_query) by the first caption, else by the earliest other that is cached;
+    ``origin`` tells own, first, other or missing."""
+    blank = F.coalesce(T.strip(F.col("query")), F.lit("")) == ""
+    asks = rows.filter(blank).select("id", F.posexplode("captions").alias("at", "caption"))
+    hits = asks.join(cache.select("caption", "related_query"), "caption").groupBy("id").agg(F.min_by("related_query", "at").alias("_found"), F.min("at").alias("_at"))
+    origin = F.when(~blank, "own").when(F.col("_at") == 0, "first").when(F.col("_at") > 0, "other").otherwise("missing")
+    return rows.join(hits, "id", "left").withColumn("origin", origin).withColumn("query", F.when(blank, F.col("_found")).otherwise(F.col("query"))).drop("_found", "_at")
+
+
 def frequencies(rows: DataFrame, column: str) -> DataFrame:
     """Counts of a column's normal form, empties left out: norm, n."""
     return rows.select(T.norm_quality(F.col(column)).alias("norm")).filter("norm <> ''").groupBy("norm").agg(F.count("*").alias("n"))

@@ -104,6 +104,35 @@ def heatmap_peak(scores: DataFrame, by: str, tau: float = 0.06, gamma: float = 1
     return scores.withColumn("heat", F.when(top - low < 1e-4, 0.0).otherwise(F.pow(F.exp((F.col("score") - top) / tau), gamma)))
 
 
+def heatmap_percentile(scores: DataFrame, by: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """Adds heat: linear between two interpolated percentiles of each ``by``, clamped
+    to 0..1; equal percentiles give way to the least and greatest score."""
+    p = F.percentile("score", F.array(F.lit(low), F.lit(high)))
+    ends = scores.groupBy(by).agg(p.alias("p"), F.min("score").alias("least"), F.max("score").alias("most"))
+    ok = F.get("p", F.lit(1)) > F.get("p", F.lit(0))
+    lo, hi = F.when(ok, F.get("p", F.lit(0))).otherwise(F.col("least")), F.when(ok, F.get("p", F.lit(1))).otherwise(F.col("most"))
+    ends = ends.select(by, lo.alias("lo"), F.when(hi > lo, hi).otherwise(lo + 1e-6).alias("hi"))
+    return scores.join(ends, by).withColumn("heat", F.least(F.greatest((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0))).drop("lo", "hi")
+
+
+def keep_top_tokens(tokens: DataFrame, ratio: float = 0.75) -> DataFrame:
+    """Of each id's tokens the ``ratio`` (rounded half to even, 1 at least) with the
+    greatest L2 norm; equal norms by token number."""
+    v = F.col("vec")
+    ranked = tokens.withColumn("norm", F.sqrt(dot(v, v))).withColumn("n", F.count("*").over(Window.partitionBy("id")))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("norm"), "tok")))
+    return ranked.filter(F.col("rank") <= F.greatest(F.bround(F.col("n") * ratio), F.lit(1))).drop("norm", "n", "rank")
+
+
+def centred(tokens: DataFrame) -> DataFrame:
+    """Token vectors less the mean of all, normalised. The mean is one row of as many
+    numbers as a vector has, hence broadcast."""
+    each = tokens.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    mean = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_mean"))
+    less = tokens.crossJoin(F.broadcast(mean)).withColumn("vec", F.zip_with("vec", "_mean", lambda x, m: x.cast("double") - m)).drop("_mean")
+    return less.withColumn("vec", F.transform("vec", lambda x: x / F.greatest(F.sqrt(dot(F.col("vec"), F.col("vec"))), F.lit(1e-12))))
+
+
 def sparsity_entropy(scores: DataFrame, by: str, tau: float = 0.07) -> DataFrame:
     """(by, entropy): softmax entropy over ln n."""
     w = Window.partitionBy(by)

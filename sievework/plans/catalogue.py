@@ -380,6 +380,38 @@ def batch_chunks(spark, sf_dir):
     return r.groupBy("batch").agg(F.count("*").alias("n"), F.min("item_id").alias("first_id"))
 
 
+def s_blank(x):
+    return f"({STRIP.format(x)} = '')"
+
+
+@query(META + f"""SELECT id, CASE WHEN domain NOT IN ('general', 'satellite') THEN 'domain' WHEN len(captions) < 2 THEN 'captions' WHEN {s_blank("source")} THEN 'source'
+  WHEN {s_blank("query")} THEN 'query' WHEN {s_blank("unrelated_query")} THEN 'unrelated_query' END AS reason FROM meta""")
+def record_reasons(spark, sf_dir):
+    """Validity of each record, or the rule that it breaks."""
+    return quality.reasons(meta(spark, sf_dir)).select("id", "reason")
+
+
+@query(META + f"""SELECT count(*) AS n, count(*) FILTER ({s_blank("query")}) AS empty_query, count(*) FILTER ({s_blank("unrelated_query")}) AS empty_unrelated,
+  count(*) >= 2 AND count(*) FILTER ({s_blank("query")} OR {s_blank("unrelated_query")}) = 0 AS publishable FROM meta""")
+def export_check(spark, sf_dir):
+    """Whether the table can be published."""
+    return quality.export_check(meta(spark, sf_dir))
+
+
+CACHE = "SELECT text AS caption, 'cached ' || min(conv_id) AS related_query FROM conversations WHERE turn % 2 = 1 AND text IS NOT NULL GROUP BY text"
+
+
+@query(META + f""", cache AS ({CACHE}), a AS (SELECT id, unnest(captions) AS caption, unnest(range(0, len(captions))) AS place FROM meta WHERE {s_blank("query")}),
+h AS (SELECT a.id, arg_min(related_query, place) AS found, min(place) AS place FROM a JOIN cache USING (caption) GROUP BY a.id)
+SELECT meta.id, CASE WHEN {s_blank("query")} THEN found ELSE query END AS query, CASE WHEN NOT {s_blank("query")} THEN 'own' WHEN place = 0 THEN 'first' WHEN place > 0 THEN 'other' ELSE 'missing' END AS origin
+FROM meta LEFT JOIN h ON h.id = meta.id""")
+def fill_from_cache(spark, sf_dir):
+    """Blank queries from the cache, by the first caption or another."""
+    turns = read(spark, sf_dir, "conversations").filter("turn % 2 = 1 AND text IS NOT NULL")
+    cache = turns.groupBy(F.col("text").alias("caption")).agg(F.concat(F.lit("cached "), F.min("conv_id").cast("string")).alias("related_query"))
+    return quality.fill_from_cache(meta(spark, sf_dir), cache).select("id", "query", "origin")
+
+
 # ---- vectors
 
 TOK = """WITH d AS (SELECT vec_id // 8 AS d, vec_id % 8 AS t, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id // 200 AS q, vec_id AS t, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
@@ -437,6 +469,31 @@ def heatmap_peak(spark, sf_dir):
     return vectors.heatmap_peak(scores(spark, sf_dir)[0], "q").select("q", "d", F.round("heat", 6).alias("heat"))
 
 
+@query(TOK + """, e AS (SELECT q, quantile_cont(score, 0.05) AS p5, quantile_cont(score, 0.95) AS p95, min(score) AS mn, max(score) AS mx FROM sc GROUP BY q),
+b AS (SELECT q, CASE WHEN p95 > p5 THEN p5 ELSE mn END AS lo, CASE WHEN p95 > p5 THEN p95 WHEN mx > mn THEN mx ELSE mn + 1e-6 END AS hi FROM e)
+SELECT q, d, round(least(greatest((score - lo) / (hi - lo), 0.0), 1.0), 6) AS heat FROM sc JOIN b USING (q)""")
+def heatmap_percentile(spark, sf_dir):
+    """Scores stretched between the 5th and 95th percentile."""
+    return vectors.heatmap_percentile(scores(spark, sf_dir)[0], "q").select("q", "d", F.round("heat", 6).alias("heat"))
+
+
+@query("""WITH d AS (SELECT vec_id // 8 AS id, vec_id % 8 AS tok, (embedding::DOUBLE[])[1:16] AS v FROM embeddings),
+r AS (SELECT id, tok, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY sqrt(list_dot_product(v, v)) DESC, tok) AS r FROM d)
+SELECT id, tok FROM r WHERE r <= greatest(round_even(n * 0.75, 0), 1)""")
+def top_tokens(spark, sf_dir):
+    """Three quarters of each document's tokens, by the norm of a prefix."""
+    docs = tokens(spark, sf_dir)[1].withColumn("vec", F.slice("vec", 1, 16))
+    return vectors.keep_top_tokens(docs).select("id", "tok")
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, 64)) AS i FROM embeddings), m AS (SELECT i, avg(x) AS m FROM x GROUP BY i),
+y AS (SELECT vec_id, i, x - m AS y FROM x JOIN m USING (i)), n AS (SELECT vec_id, sqrt(sum(y * y)) AS n FROM y GROUP BY vec_id)
+SELECT vec_id // 8 AS id, vec_id % 8 AS tok, round(y / greatest(n, 1e-12), 6) AS first FROM y JOIN n USING (vec_id) WHERE i = 0""")
+def centred_tokens(spark, sf_dir):
+    """Tokens less the mean of all, normalised, by their first coordinate."""
+    return vectors.centred(tokens(spark, sf_dir)[1]).select("id", "tok", F.round(F.get("vec", F.lit(0)), 6).alias("first"))
+
+
 @query(TOK + ", p AS (SELECT q, score AS pos FROM sc JOIN pos USING (q, d)), k AS (SELECT sc.q, sc.d, row_number() OVER (PARTITION BY sc.q ORDER BY score DESC, sc.d) AS rank FROM sc JOIN p USING (q) ANTI JOIN pos ON pos.q = sc.q AND pos.d = sc.d WHERE score < pos) SELECT q, d, rank::INT AS rank FROM k WHERE rank <= 5")
 def hard_negatives(spark, sf_dir):
     """Five hardest negatives below the positive."""

@@ -101,6 +101,33 @@ def test_pairs(spark):
     assert {(r.batch, r.negative) for r in pairs.batch_gate(gate).collect()} == {(0, None), (1, "m")}
 
 
+def test_record_reasons_and_export(spark):
+    rows = [("1", "general", "s", ["a", "b"], "q", "u"), ("2", "sea", "s", ["a", "b"], "q", "u"), ("3", None, "s", ["a", "b"], "q", "u"), ("4", "general", "s", None, "q", "u"), ("5", "general", " ", ["a", "b"], "q", "u"), ("6", "satellite", "s", ["a", "b"], None, "u"), (None, "general", "s", ["a", "b"], "q", "u")]
+    df = spark.createDataFrame(rows, "id string, domain string, source string, captions array<string>, query string, unrelated_query string")
+    assert [r.reason for r in quality.reasons(df).collect()] == [None, "domain", "domain", "captions", "source", "query", "id"]
+    assert quality.export_check(df).first().asDict() == {"n": 7, "empty_query": 1, "empty_unrelated": 0, "publishable": False}
+    assert quality.export_check(df.limit(0)).first().n == 0
+
+
+def test_fill_from_cache(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"], "own"), (2, ["a", "b"], ""), (3, ["x", "b", "a"], None), (4, ["x"], " "), (5, None, None)], "id int, captions array<string>, query string")
+    cache = spark.createDataFrame([("a", "qa"), ("b", "qb"), (None, "n")], "caption string, related_query string")
+    got = {r.id: (r.query, r.origin) for r in quality.fill_from_cache(rows, cache).collect()}
+    assert got == {1: ("own", "own"), 2: ("qa", "first"), 3: ("qb", "other"), 4: (None, "missing"), 5: (None, "missing")}
+
+
+def test_token_choices(spark):
+    s = spark.createDataFrame([("a", i, float(i)) for i in range(21)] + [("b", 0, 1.0), ("b", 1, 1.0)], "q string, d int, score double")
+    heat = {(r.q, r.d): r.heat for r in vectors.heatmap_percentile(s, "q").collect()}
+    assert heat["a", 0] == 0 and heat["a", 20] == 1 and heat["a", 10] == pytest.approx(0.5) and heat["b", 0] == 0
+    t = spark.createDataFrame([(1, i, [float(i % 3), 0.0]) for i in range(6)] + [(2, 0, [0.0, 0.0])], "id int, tok int, vec array<double>")
+    kept = sorted((r.id, r.tok) for r in vectors.keep_top_tokens(t, 0.75).collect())
+    assert kept == [(1, 1), (1, 2), (1, 4), (1, 5), (2, 0)]  # 6 * 0.75 rounds to the even 4
+    c = {(r.id, r.tok): r.vec for r in vectors.centred(t.filter("id = 1")).collect()}
+    assert c[1, 0] == [-1.0, 0.0] and c[1, 2] == [1.0, 0.0] and c[1, 1] == [0.0, 0.0]
+    assert vectors.centred(t.limit(0)).count() == 0
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text("\n".join(json.dumps({"id": str(i), "domain": "general", "captions": ["a", "b"], "split": "test" if i % 4 == 0 else "train"}) for i in range(20)) + "\n\n")
     rows = readers.metadata(spark, str(tmp_path / "m.jsonl"))
