@@ -2,15 +2,17 @@
 
 Numbers, units and names become typed placeholders, so that a question with
 other values keeps its template. Hashes of ``WINDOW`` template words of documents
-and items are joined; a pair that shares at least ``COVERAGE`` of an item's
-windows is a leak if its slots are consistent: over all matched windows a value
-of the item meets one value of the document and the reverse, in at least
+and items are joined. Matches of one text and item are read as occurrences: a
+diagonal (place in the text less place in the item) with the matches on it or
+near it, an item window once; last, all matches together. An item is a leak if one
+occurrence has at least ``COVERAGE`` of its windows and consistent slots: over the
+occurrence a value of the item meets one value of the document in at least
 ``CONSISTENT`` of the slots.
 
 Items shorter than a window are matched whole. Defined results: null and wordless
 texts match nothing; null ids of documents never match (they carry no id to
-report); repeated rows with one id count once; empty tables give no rows; other
-columns are not read.
+report); repeated rows with one id count once, other texts of an id by themselves;
+empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -94,20 +96,25 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def _hits(texts: pd.Series, ids: pd.Series, sizes: list[int] | None, wanted: np.ndarray | None) -> pd.DataFrame:
-    """Rows (id, h, pos, size, slots): windows of the texts, the wanted ones if
-    given. With no ``sizes`` a text shorter than ``WINDOW`` is one window."""
-    out: dict[str, list] = {k: [] for k in ("id", "h", "pos", "size", "slots")}
+    """Rows of ``SCHEMA``: windows of the texts, the wanted ones if given, with the
+    text's hash and 8 bytes of hash for each slot's value. With no ``sizes`` a text
+    shorter than ``WINDOW`` is one window."""
+    from xxhash import xxh64_digest, xxh64_intdigest
+
+    out: dict[str, list] = {k: [] for k in ("id", "ver", "h", "pos", "size", "slots")}
     for d, t in zip(ids, texts):
         words = t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else []
         if not words or pd.isna(d):
             continue
+        ver = int(np.uint64(xxh64_intdigest(b" ".join(words), 5)).astype(np.int64))
         h, slot = template(words)
         for size in sizes or [min(WINDOW, len(words))]:
             w = windows(h, size)
             at = np.arange(len(w)) if wanted is None else np.flatnonzero(_within(w, wanted))
             for p in at.tolist():
-                out["id"].append(d), out["h"].append(int(w[p])), out["pos"].append(p), out["size"].append(size)
-                out["slots"].append([words[p + k].decode("utf-8", "replace").lower().strip(".,;:!?") for k in np.flatnonzero(slot[p : p + size])])
+                out["id"].append(d), out["ver"].append(ver), out["h"].append(int(w[p])), out["pos"].append(p), out["size"].append(size)
+                values = [words[p + k].decode("utf-8", "replace").lower().strip(".,;:!?") for k in np.flatnonzero(slot[p : p + size])]
+                out["slots"].append(b"".join(xxh64_digest(v.encode(), 3) for v in values))
     return pd.DataFrame(out)
 
 
@@ -115,7 +122,7 @@ def _within(w: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[np.minimum(np.searchsorted(wanted, w), len(wanted) - 1)] == w if len(wanted) else np.zeros(len(w), bool)
 
 
-SCHEMA = "id long, h long, pos int, size int, slots array<string>"
+SCHEMA = "id long, ver long, h long, pos int, size int, slots binary"
 
 
 def template_windows(df: DataFrame, id_col: str, text_col: str, sizes=None, wanted: np.ndarray | None = None) -> DataFrame:
@@ -130,28 +137,64 @@ def template_windows(df: DataFrame, id_col: str, text_col: str, sizes=None, want
     return df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL").mapInPandas(run, SCHEMA)
 
 
+def _consistency(islots: list[bytes], slots: list[bytes]) -> tuple[float, int]:
+    """Share of slots in which an item's value meets its most frequent partner, and
+    the item's distinct values."""
+    a, b = (np.unique(np.frombuffer(b"".join(x), np.int64), return_inverse=True) for x in (islots, slots))
+    if not len(a[1]):
+        return 1.0, 0
+    pairs, n = np.unique(a[1] * len(b[0]) + b[1], return_counts=True)
+    top = np.zeros(len(a[0]), np.int64)
+    np.maximum.at(top, pairs // len(b[0]), n)
+    return top.sum() / n.sum(), len(a[0])
+
+
+def _best(f: pd.DataFrame) -> tuple | None:
+    """(n_matched, n_slots, consistency) of the occurrence with most windows that
+    passes, of all matches between a text and an item."""
+    f = f.assign(d=f["pos"] - f["ipos"]).sort_values(["d", "ipos"])
+    d, ipos = f["d"].to_numpy(), f["ipos"].to_numpy()
+    h = np.unique(f["h"], return_inverse=True)[1]
+    slots, islots, n = f["slots"].to_numpy(), f["islots"].to_numpy(), int(f["n_windows"].iloc[0])
+    found = [(-len(np.unique(h)), 3, 0, np.arange(len(d)))]
+    for a in np.unique(d).tolist():
+        for k, slack in enumerate((0, WINDOW, max(2 * WINDOW, n))):
+            lo, hi = np.searchsorted(d, [a - slack, a + slack + 1])
+            at = np.arange(lo, hi)
+            at = at[np.lexsort((d[at], np.abs(d[at] - a), ipos[at]))]
+            at = at[np.unique(ipos[at], return_index=True)[1]]  # the match nearest to the diagonal
+            found.append((-len(np.unique(h[at])), k, a, at))
+    for m, _, _, at in sorted(found, key=lambda x: x[:3]):
+        if round(-m / n, 6) < COVERAGE:
+            return None
+        share, n_slots = _consistency(islots[at].tolist(), slots[at].tolist())
+        if round(share, 6) >= CONSISTENT:
+            return -m, n_slots, share
+    return None
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """A row per leak: id, item, matched and all windows of the item, coverage,
-    slots seen and their consistency."""
-    theirs = table(template_windows(items, item_id, item_text).select(F.col("id").alias("item"), "h", F.col("pos").alias("ipos"), "size", F.col("slots").alias("islots")), "item-windows")
+    slots seen and their consistency, of the occurrence with most windows."""
+    theirs = table(template_windows(items, item_id, item_text).select(F.col("id").alias("item"), F.col("ver").alias("iver"), "h", F.col("pos").alias("ipos"), "size", F.col("slots").alias("islots")), "item-windows")
     sizes = [r.size for r in theirs.select("size").distinct().orderBy("size").collect()]  # at most WINDOW rows
     n = theirs.count()
     wanted = np.array(sorted(r.h for r in theirs.select("h").distinct().collect()), np.int64) if n <= max_broadcast else None
     ours = template_windows(docs, id_col, text_col, sizes or [WINDOW], wanted)
-    pairs = ours.join(theirs, ["h", "size"]).select("id", "item", "pos", "ipos", "slots", "islots").distinct()
-    pairs = table(pairs, "window-pairs")
-    per_item = theirs.groupBy("item").agg(F.count_distinct("h").alias("n_windows"))
+    both = ["id", "ver", "item", "iver"]
+    pairs = table(ours.join(theirs, ["h", "size"]).select(*both, "h", "pos", "ipos", "slots", "islots").distinct(), "window-pairs")
     # Item windows with one hash (a repeated phrase) count once.
-    hit = pairs.join(theirs.select("item", "ipos", "h"), ["item", "ipos"]).groupBy("id", "item").agg(F.count_distinct("h").alias("n_matched"))
-    slots = pairs.select("id", "item", F.explode(F.arrays_zip("islots", "slots")).alias("x")).select("id", "item", "x.*").groupBy("id", "item", "islots", "slots").agg(F.count("*").alias("n"))
-    forward = slots.groupBy("id", "item", "islots").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
-    steady = forward.groupBy("id", "item").agg((F.sum("top") / F.sum("n")).alias("consistency"), F.count("*").alias("n_slots"))
-    return (
-        hit.join(per_item, "item").join(steady, ["id", "item"], "left")
-        .withColumns({"coverage": F.round(F.col("n_matched") / F.col("n_windows"), 6), "consistency": F.round(F.coalesce("consistency", F.lit(1.0)), 6), "n_slots": F.coalesce("n_slots", F.lit(0).cast("long"))})
-        .filter((F.col("coverage") >= COVERAGE) & (F.col("consistency") >= CONSISTENT))
-        .select("id", "item", "n_matched", "n_windows", "coverage", "n_slots", "consistency")
-    )
+    per_item = theirs.groupBy("item", "iver").agg(F.count_distinct("h").alias("n_windows"))
+    hit = pairs.groupBy(*both).agg(F.count_distinct("h").alias("n")).join(per_item, ["item", "iver"]).filter(F.round(F.col("n") / F.col("n_windows"), 6) >= COVERAGE)
+
+    def score(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        best = _best(f)
+        return pd.DataFrame([(key[0], key[2], best[0], int(f["n_windows"].iloc[0]), *best[1:])] if best else [], columns=["id", "item", "n_matched", "n_windows", "n_slots", "consistency"])
+
+    scored = pairs.join(hit.select(*both, "n_windows"), both).groupBy(*both).applyInPandas(score, "id long, item long, n_matched long, n_windows long, n_slots long, consistency double")
+    out = scored.withColumns({"coverage": F.round(F.col("n_matched") / F.col("n_windows"), 6), "consistency": F.round("consistency", 6)})
+    best = out.groupBy("id", "item").agg(F.max(F.struct("coverage", "consistency", "n_matched", "n_windows", "n_slots")).alias("x"))
+    return best.select("id", "item", *[f"x.{c}" for c in ("n_matched", "n_windows", "coverage", "n_slots", "consistency")])
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

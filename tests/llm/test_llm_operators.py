@@ -291,3 +291,20 @@ def test_pipeline_stages(spark, docs, none, sf):
         assert out.columns == docs.columns, name
         assert stage(spark, none, sf).count() == 0, name
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def leaking(spark, item, *texts):
+    """Numbers of the texts that leak the item."""
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return sorted(r.id for r in decontamination.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items).collect())
+
+
+def test_decontamination_scores_each_occurrence(spark):
+    q = "a farmer near the river has {} apples and sells {} of them to a shop for {} coins so that {} remain for the winter"
+    fruit = "what is more {} apples and {} pears or {} apples and {} pears or {} apples and {} pears or {} apples and {} pears in a basket"
+    item, other = q.format(12, 5, 30, 7), q.format(99, 41, 64, 58)
+    assert leaking(spark, item, f"{item} then {other}", f"{item} then {other} and {q.format(1, 2, 3, 4)}") == [0, 1]
+    assert leaking(spark, fruit.format(*range(3, 11)), "intro " + fruit.format(*range(3, 11)) + " end") == [0]
+    # An insertion moves the second half to another diagonal.
+    halves = item.split()
+    assert leaking(spark, item, " ".join([*halves[:11], "as people say", *halves[11:]])) == [0]
