@@ -6,8 +6,8 @@ and items are joined. Matches of one text and item are read as occurrences: a
 diagonal (place in the text less place in the item) with the matches on it or
 near it, an item window once; last, all matches together. An item is a leak if one
 occurrence has at least ``COVERAGE`` of its windows and consistent slots: over the
-occurrence a value of the item meets one value of the document in at least
-``CONSISTENT`` of the slots.
+occurrence a value of the item meets one value of the document, and the reverse,
+each in at least ``CONSISTENT`` of the slots.
 
 Items shorter than a window are matched whole. Defined results: null and wordless
 texts match nothing; null ids of documents never match (they carry no id to
@@ -138,15 +138,18 @@ def template_windows(df: DataFrame, id_col: str, text_col: str, sizes=None, want
 
 
 def _consistency(islots: list[bytes], slots: list[bytes]) -> tuple[float, int]:
-    """Share of slots in which an item's value meets its most frequent partner, and
-    the item's distinct values."""
+    """Share of slots in which a value meets its most frequent partner, the lesser of
+    both directions, and the item's distinct values."""
     a, b = (np.unique(np.frombuffer(b"".join(x), np.int64), return_inverse=True) for x in (islots, slots))
     if not len(a[1]):
         return 1.0, 0
     pairs, n = np.unique(a[1] * len(b[0]) + b[1], return_counts=True)
-    top = np.zeros(len(a[0]), np.int64)
-    np.maximum.at(top, pairs // len(b[0]), n)
-    return top.sum() / n.sum(), len(a[0])
+    shares = []
+    for side, size in ((pairs // len(b[0]), len(a[0])), (pairs % len(b[0]), len(b[0]))):
+        top = np.zeros(size, np.int64)
+        np.maximum.at(top, side, n)
+        shares.append(top.sum() / n.sum())
+    return min(shares), len(a[0])
 
 
 def _best(f: pd.DataFrame) -> tuple | None:

@@ -308,3 +308,9 @@ def test_decontamination_scores_each_occurrence(spark):
     # An insertion moves the second half to another diagonal.
     halves = item.split()
     assert leaking(spark, item, " ".join([*halves[:11], "as people say", *halves[11:]])) == [0]
+
+
+def test_decontamination_slots_agree_both_ways(spark):
+    form = "the form asks for a weight of {} and a height of {} and an age of {} and a rent of {} in this order"
+    assert leaking(spark, form.format(71, 182, 40, 950), form.format(0, 0, 0, 0), form.format(64, 170, 35, 800)) == [1]
+    assert leaking(spark, form.format(0, 0, 0, 0), form.format(71, 182, 40, 950)) == []
