@@ -1,7 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, units and names become typed placeholders, so that a question with
-other values keeps its template. Hashes of ``WINDOW`` template words of documents
+other values keeps its template: '5km' is a number and a unit, a run of names is
+one placeholder, and a name is a capitalised word that is not a common one. A text
+that also has common words as names ('then Will went') gets a second template in
+which these are names wherever they are capitalised. A window with slots and under
+``LITERAL`` other words has no template to speak of and matches by its values
+too. Hashes of ``WINDOW`` template words of documents
 and items are joined. Matches of one text and item are read as occurrences: a
 diagonal (place in the text less place in the item) with the matches on it or
 near it, an item window once; last, all matches together. An item is a leak if one
@@ -36,6 +41,8 @@ CONSISTENT = 0.8
 MAX_BROADCAST = 1_000_000
 #: Distinct words that a worker remembers.
 MEMORY = 300_000
+#: Literal words that make a window's template.
+LITERAL = 2
 
 # Units.
 UNITS = frozenset(
@@ -45,21 +52,53 @@ UNITS = frozenset(
     "mph kph kmh percent % dollars dollar cents cent euros euro usd eur gbp degrees degree c f k w kw v a hz khz mhz ghz".split()
 )
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?$")
+JOINED = re.compile(r"([+-]?[$€£]?\d[\d.,:/]*)-?([^\W\d_]+)$")
+# Words that are no names where they begin a sentence; and titles, whose dot ends none.
+COMMON = frozenset(
+    "a about above across after again against all almost alone along already also although always am among an and another any anyone anything are "
+    "around as ask at away back be because been before began begin behind being below beside between both bring but buy by call came can cannot choose "
+    "come compare compute consider could count create decide define describe determine did do does done down draw during each either else enough even "
+    "ever every everyone everything evaluate example explain few finally find first following for found from get give given go got had half has have he "
+    "her here hers herself hi him himself his how however i if imagine in indeed inside instead into is it its itself just keep kept know last later "
+    "least let like list long look made make many mark may maybe me meanwhile might more most much must my name near neither never next no none nor not "
+    "nothing now of off often ok on once one only onto or other others our out outside over own perhaps please prove put question answer quite rather "
+    "read really round said same say second see select several shall she should show simplify since so solve some someone something sometimes soon state "
+    "still such suppose take than thank that the their them then there therefore these they thing think this those though three through thus to today "
+    "together tomorrow too toward two under unless until up upon us use using very was we well went were what whatever when where whether which while "
+    "who whom whose why will with within without would write yes yesterday yet you your hope grace rose art bill jack pat sue drew dawn faith summer "
+    "el la los las un una de del en que se no es por para con como al lo le les il elle on nous vous ils dans et est pour sur au aux des du ce cette "
+    "qui der die das ein eine und ist in zu den dem mit von auf er sie es wir ihr ich nicht im auch wie".split()
+)
+TITLES = frozenset(("mr.", "mrs.", "ms.", "dr.", "st.", "prof."))
 PRIME = 0x9E3779B97F4A7C15
-# A word's code: 60 bits of hash, then whether it is capitalised, ends a sentence,
-# is a number or unit.
-CAPITAL, END, SLOT = 1, 2, 4
+# A word's code: 58 bits of hash, then whether it is capitalised, ends a sentence,
+# is a number or unit, ends a run of names, is common, is a number with its unit.
+CAPITAL, END, SLOT, STOP, USUAL, PAIR = 1, 2, 4, 8, 16, 32
+FLAGS = 63
+
+
+MARKS = ".,;:!?\"'()[]{}*#$&%|«»“”…"
 
 
 def _code(word: bytes) -> int:
     from xxhash import xxh64_intdigest
 
     text = word.decode("utf-8", "replace")
-    bare = text.strip(".,;:!?\"'()[]{}*#$&%|«»“”…") or text
-    flags = (CAPITAL if bare[:1].isupper() and bare[1:].islower() else 0) | (END if text.rstrip("\"')*#$&%")[-1:] in (".", "!", "?", ":", "") else 0)
-    low = bare.lower()
-    kind = "<number>" if NUMBER.match(bare) else "<unit>" if low in UNITS else low
-    return (xxh64_intdigest(kind.encode(), 7) & ~7) | flags | (SLOT if kind[0] == "<" and kind[1:] in ("number>", "unit>") and kind != low else 0)
+    bare = text.strip(MARKS) or text
+    low, last = bare.lower(), text.rstrip("\"')*#$&%")[-1:]
+    flags = (CAPITAL if bare[:1].isupper() and bare[1:].islower() else 0) | (USUAL if low in COMMON else 0)
+    if text.lower() not in TITLES:
+        flags |= (END if last in (".", "!", "?", ":", "") else 0) | (STOP if last in (".", "!", "?", ":", "", ",", ";", ")") else 0)
+    joined = _joined(low)
+    kind = "<number>" if joined or NUMBER.match(bare) else "<unit>" if low in UNITS else low
+    flags |= (SLOT if kind[0] == "<" and kind[1:] in ("number>", "unit>") and kind != low else 0) | (PAIR if joined else 0)
+    return (xxh64_intdigest(kind.encode(), 7) & ~FLAGS) | flags
+
+
+def _joined(low: str) -> tuple[str, str] | None:
+    """A number and the unit that is written to it, in lower case."""
+    m = JOINED.match(low)
+    return (m[1], m[2]) if m and m[2] in UNITS else None
 
 
 class _Codes(dict):
@@ -68,18 +107,29 @@ class _Codes(dict):
         return c
 
 
-def template(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the template's words, and which of them are slots. A name is a
-    capitalised word that does not begin a sentence."""
+def templates(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The templates of a text, one or two: hashes, which are slots, each one's first
+    word (and the number of words last), and which are the unit of a joined pair."""
     codes = sys.__dict__.setdefault("_sievework_words", _Codes())
     if len(codes) > MEMORY:
         codes.clear()
     c = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
-    begins = np.concatenate([[True], (c[:-1] & np.uint64(END)) > 0]) if len(c) else np.zeros(0, bool)
-    name = ((c & np.uint64(CAPITAL)) > 0) & ~begins & ((c & np.uint64(SLOT)) == 0)
-    h = c & ~np.uint64(7)
-    h[name] = np.uint64(NAME)
-    return h, name | ((c & np.uint64(SLOT)) > 0)
+    at = np.arange(len(c))
+    second = np.zeros(len(c), bool)
+    if (c & np.uint64(PAIR)).any():
+        at = np.repeat(at, np.where(c & np.uint64(PAIR), 2, 1))
+        c, second = c[at], np.concatenate([[False], at[1:] == at[:-1]])
+    h = np.where(second, np.uint64(codes[b"kg"] & ~FLAGS), c & np.uint64(~FLAGS & (1 << 64) - 1))
+    slot, usual, stop = ((c & np.uint64(x)) > 0 for x in (SLOT, USUAL, STOP))
+    capital = ((c & np.uint64(CAPITAL)) > 0) & ~slot
+    begins = np.concatenate([[True], (c[:-1] & np.uint64(END)) > 0])
+    forms = [capital & ~usual]
+    seen = capital & usual & ~begins
+    if seen.any():
+        forms.append(forms[0] | (capital & usual & np.isin(h, h[seen])))
+    for name in forms:
+        first = np.flatnonzero(np.concatenate([[True], ~(name[1:] & name[:-1] & ~stop[:-1])]))
+        yield np.where(name, np.uint64(NAME), h)[first], (name | slot)[first], np.append(at[first], len(words)), second[first]
 
 
 NAME = 0x6E616D6500000000
@@ -106,18 +156,39 @@ def _hits(texts: pd.Series, ids: pd.Series, sizes: list[int] | None, wanted: np.
         words = t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else []
         if not words or pd.isna(d):
             continue
-        ver = int(np.uint64(xxh64_intdigest(b" ".join(words), 5)).astype(np.int64))
-        h, slot = template(words)
-        for size in sizes or [min(WINDOW, len(words))]:
-            w = windows(h, size)
-            at = np.arange(len(w)) if wanted is None else np.flatnonzero(_within(w, wanted))
-            for p in at.tolist():
-                out["id"].append(d), out["ver"].append(ver), out["h"].append(int(w[p])), out["pos"].append(p), out["size"].append(size)
-                values = [words[p + k].decode("utf-8", "replace").lower().strip(".,;:!?") for k in np.flatnonzero(slot[p : p + size])]
-                out["slots"].append(b"".join(xxh64_digest(v.encode(), 3) for v in values))
+        for form, (h, slot, first, second) in enumerate(templates(words)):
+            ver = int(np.uint64(xxh64_intdigest(b" ".join(words), 5 + form)).astype(np.int64))
+            value: dict[int, bytes] = {}
+
+            def values(p: int, size: int) -> bytes:
+                out = []
+                for k in (p + np.flatnonzero(slot[p : p + size])).tolist():
+                    if k not in value:
+                        value[k] = xxh64_digest(_value(words, int(first[k]), int(first[k + 1]), bool(second[k])), 3)
+                    out.append(value[k])
+                return b"".join(out)
+
+            before = np.concatenate([[0], np.cumsum(slot)])
+            for size in sizes or [min(WINDOW, len(h))]:
+                w = windows(h, size)
+                filled = before[size:] - before[:-size] if len(w) else before[:0]
+                for p in np.flatnonzero((filled > 0) & (size - filled < LITERAL)).tolist():
+                    w[p] ^= np.uint64(xxh64_intdigest(values(p, size), 9)).astype(np.int64)
+                at = np.arange(len(w)) if wanted is None else np.flatnonzero(_within(w, wanted))
+                for p in at.tolist():
+                    out["id"].append(d), out["ver"].append(ver), out["h"].append(int(w[p])), out["pos"].append(p), out["size"].append(size)
+                    out["slots"].append(values(p, size))
     return pd.DataFrame(out)
 
 
+def _value(words: list[bytes], a: int, b: int, second: bool) -> bytes:
+    """The value of the placeholder of the words from ``a`` to ``b``; ``b`` is ``a``
+    for the number of a joined pair, whose unit follows in the same word."""
+    text = b" ".join(words[a : max(b, a + 1)]).decode("utf-8", "replace").lower().strip(MARKS)
+    joined = _joined(text)
+    return (joined[second] if joined else text).encode()
+
+
 def _within(w: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return wanted[np.minimum(np.searchsorted(wanted, w), len(wanted) - 1)] == w if len(wanted) else np.zeros(len(w), bool)
 

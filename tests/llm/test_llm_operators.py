@@ -314,3 +314,20 @@ def test_decontamination_slots_agree_both_ways(spark):
     form = "the form asks for a weight of {} and a height of {} and an age of {} and a rent of {} in this order"
     assert leaking(spark, form.format(71, 182, 40, 950), form.format(0, 0, 0, 0), form.format(64, 170, 35, 800)) == [1]
     assert leaking(spark, form.format(0, 0, 0, 0), form.format(71, 182, 40, 950)) == []
+
+
+def test_decontamination_types_every_slot(spark):
+    q = "{0} has {2} apples today. {1} buys {3} of them. {0} keeps the others. {1} then sells {4} to a friend. {0} asks how many apples both have."
+    item = q.format("Anna", "Peter", 12, 5, 3)
+    assert leaking(spark, item, q.format("Maria", "Paul", 12, 5, 3), q.format("Mary Ann", "Paul", 90, 41, 7), "he read: " + q.format("Maria", "Paul", 9, 4, 2)) == [0, 1, 2]
+    # A common word that is a name elsewhere in the text.
+    assert leaking(spark, q.format("Will", "Peter", 12, 5, 3) + " Now thank Will for it.", q.format("Maria", "Paul", 90, 41, 7) + " Now thank Maria for it.") == [0]
+    far = "a runner covers {}km with a bag of {}lb and jumps {}m over a wall that is {}m high before the end"
+    assert leaking(spark, far.format(5, 20, 3, 2), far.format(9, 45, 7, 6), far.format("9 ", "45 ", "7 ", "6 ")) == [0, 1]
+
+
+def test_decontamination_needs_words_or_values(spark):
+    assert leaking(spark, "12 kg", "he had 7 kg of it", "he had 12 kg of it") == [1]
+    assert leaking(spark, "Anna Maria Rossi", "then came Tom Sawyer", "then came Anna Maria Rossi") == [1]
+    assert leaking(spark, "1 2 3 4 5 6 7 8 9 10", "11 12 13 14 15 16 17 18 19 20", "0 1 2 3 4 5 6 7 8 9 10 11") == [1]
+    assert leaking(spark, "5km", "ran 7km", "ran 5km", "ran 5 km") == [1, 2]
