@@ -124,11 +124,24 @@ g AS (SELECT s, min(id) AS rep FROM t WHERE len(s) > 0 GROUP BY s)
 SELECT a.rep AS a, b.rep AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard
 FROM g a JOIN g b ON a.rep < b.rep AND len(a.s) >= 0.72 * len(b.s) AND len(b.s) >= 0.72 * len(a.s) AND len(list_intersect(a.s, b.s)) >= 0.72 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))""")
 def similar_pairs(spark, sf_dir):
-    """Similarity join of items and turns: pairs of class representatives."""
+    """Similarity join of items and turns: pairs of class representatives; their
+    members are in ``similar_members``."""
+    near, _ = dedup.similarity_join(items_and_turns(spark, sf_dir))
+    return near.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+def items_and_turns(spark, sf_dir):
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), T.token_set(F.col("text")).alias("tokens"))
     said = read(spark, sf_dir, "conversations").select((F.lit(1000000) + F.col("conv_id") * 100 + F.col("turn")).alias("id"), T.token_set(F.col("text")).alias("tokens"))
-    near, _ = dedup.similarity_join(items.unionByName(said))
-    return near.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return items.unionByName(said)
+
+
+@query(f"""WITH t AS (SELECT item_id AS id, list_sort({s_tokens('text')}) AS s FROM benchmark UNION ALL SELECT 1000000 + conv_id * 100 + turn, list_sort({s_tokens('text')}) FROM conversations),
+g AS (SELECT s, min(id) AS rep FROM t WHERE len(s) > 0 GROUP BY s) SELECT id, rep FROM t JOIN g USING (s)""")
+def similar_members(spark, sf_dir):
+    """The class representative of every item and turn with tokens: the texts that a
+    pair of ``similar_pairs`` stands for."""
+    return dedup.similarity_join(items_and_turns(spark, sf_dir))[1]
 
 
 @query()

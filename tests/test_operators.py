@@ -171,3 +171,19 @@ def test_streams(spark, tmp_path):
     q = state.queue(stream, "i", 4, lambda df, i: seen.append([r.i for r in df.collect()]), str(tmp_path / "c2"))
     assert q.awaitTermination(120)
     assert [len(s) for s in seen] == [4, 4]
+
+
+def test_similar_members_name_every_text(spark, tmp_path):
+    import duckdb
+
+    from sievework.plans import catalogue
+
+    spark.createDataFrame([(1, "A red barn, in a field"), (2, "in a FIELD a red barn!"), (3, "two boats"), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, 1, "field: in a red barn"), (7, 2, "a red barn in a big field"), (8, 1, "")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {tuple(r) for r in catalogue.QUERIES["similar_members"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 1), (2, 1), (1000701, 1), (3, 3), (1000702, 1000702)}
+    assert {(r.a, r.b) for r in catalogue.QUERIES["similar_pairs"](spark, str(tmp_path)).collect()} == {(1, 1000702)}
+    con = duckdb.connect()
+    for t in ("benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert set(con.sql(catalogue.SQL["similar_members"]).fetchall()) == got
