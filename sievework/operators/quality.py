@@ -129,13 +129,70 @@ def latest(log: DataFrame, key: str, value: str, version: str) -> DataFrame:
 
 
 def assign_unrelated(rows: DataFrame, bank: DataFrame) -> DataFrame:
-    """Give each row (id) its own bank phrase: ranks of one meet ranks of the other.
+    """Give each row (id) its own bank phrase: ranks of one meet ranks of the other,
+    and rows beyond the bank's size get none; ``repair_unrelated`` is the whole repair.
 
     Ranks come from range partitions and their offsets, so that no single task
     orders all rows."""
     return ranked(rows.select("id"), "id").join(ranked(bank.select("phrase"), "phrase"), "rank").select("id", "phrase")
 
 
+# The vocabularies of the distractor bank.
+SUBJECTS = (
+    "copper kettle", "paper lantern", "granite quarry", "tram depot", "rowing boat", "market awning", "grain silo", "telescope mirror", "loom workshop", "salt cellar",
+    "brick chimney", "stone mill wheel", "violin maker", "beekeeper suit", "ice cream cart", "tin whistle", "chess tournament", "fishing trawler", "glass blower", "rubber duck",
+    "puppet theatre", "cable car cabin", "apple press", "pinball machine", "garden gnome", "suspension bridge", "wicker basket", "drum kit", "fossil cabinet", "candle mould",
+)
+SETTINGS = (
+    "before sunrise", "in heavy rain", "behind a picket fence", "under a tin roof", "beside a frozen pond", "in a tiled courtyard", "on a gravel path", "below a viaduct",
+    "at a village fair", "inside an old barn", "on a stone quay", "near a lock gate", "in a narrow alley", "among tall reeds", "on a checked cloth", "at the end of a pier",
+)
+STYLES = ("grainy picture", "low angle view", "overhead shot", "soft focus picture", "long exposure", "panorama", "pencil sketch", "faded postcard", "studio portrait", "split tone print")
+
+
+def distractor_bank(spark, n: int) -> DataFrame:
+    """n different phrases (phrase): the product of three vocabularies, then numbered
+    variants of it, without end."""
+    i, at = F.col("id"), 1
+    part = {}
+    for name, words in (("subject", SUBJECTS), ("setting", SETTINGS), ("style", STYLES)):
+        part[name] = F.element_at(F.array(*map(F.lit, words)), (F.floor(i / at) % len(words) + 1).cast("int"))
+        at *= len(words)
+    again = F.floor(i / at)
+    phrase = F.concat(part["style"], F.lit(" of "), part["subject"], F.lit(" "), part["setting"], F.when(again > 0, F.concat(F.lit(" view "), again.cast("string"))).otherwise(""))
+    return spark.range(n).select(phrase.alias("phrase"))
+
+
+#: Bank phrases that are tried for a row.
+TRIES = 3
+
+
+def repair_unrelated(flagged: DataFrame, bank: DataFrame | None = None, least: int = 80_000) -> DataFrame:
+    """(id, unrelated_query, how) for every row: kept, local_bank with a phrase of its
+    own, or failed where no phrase is left.
+
+    A row asks by any code of ``UNRELATED_CODES``, empty_field only if this is the
+    empty field. Phrases in use in the corpus, generic ones and those under 12
+    characters go from the bank. The r-th of n rows tries the phrases r, n + r and
+    2 n + r and takes the first that is neither its query nor one of its captions, so
+    no two rows meet. Without ``bank`` one of ``least`` or more phrases is built that
+    has all those tries."""
+    u = T.strip(F.coalesce("unrelated_query", F.lit("")))
+    asks = needs(F.col("codes"), [c for c in UNRELATED_CODES if c != "empty_field"]) | (u == "")
+    used = flagged.select("unrelated_query").filter(~F.coalesce(T.is_generic(F.col("unrelated_query")), F.lit(True))).select(T.norm_quality(F.col("unrelated_query")).alias("norm")).distinct()
+    rows = flagged.select("id", "unrelated_query", "query", "captions", asks.alias("asks")).persist()
+    n = rows.filter("asks").count()
+    bank = bank if bank is not None else distractor_bank(flagged.sparkSession, max(least, TRIES * n + used.count()))
+    free = bank.withColumn("norm", T.norm_quality(F.col("phrase"))).filter((F.length("phrase") >= 12) & ~T.is_generic(F.col("phrase")))
+    free = free.dropDuplicates(["norm"]).join(used, "norm", "left_anti").withColumn("_o", F.xxhash64("norm"))
+    banned = F.transform(F.concat(F.coalesce("captions", F.array().cast("array<string>")), F.array("query")), T.norm_quality)
+    tries = ranked(rows.filter("asks").select("id", banned.alias("banned")), "id").select("id", "banned", F.posexplode(F.array(*[F.col("rank") + k * n for k in range(TRIES)])).alias("k", "rank"))
+    taken = tries.join(ranked(free, "_o", "norm").select("rank", "phrase", "norm"), "rank").filter(~F.coalesce(F.array_contains("banned", F.col("norm")), F.lit(False)))
+    taken = taken.groupBy("id").agg(F.min_by("phrase", "k").alias("phrase"))
+    how = F.when(~F.col("asks"), "kept").when(F.col("phrase").isNotNull(), "local_bank").otherwise("failed")
+    return rows.join(taken, "id", "left").select("id", F.when(F.col("asks"), F.col("phrase")).otherwise(F.col("unrelated_query")).alias("unrelated_query"), how.alias("how"))
+
+
 def ranked(df: DataFrame, *order: str) -> DataFrame:
     """Adds rank, from 1, over the whole table: a range partition's rows are
     numbered within it, after the counts of the partitions before."""

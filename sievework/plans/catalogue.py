@@ -255,6 +255,12 @@ def assigned_phrases(spark, sf_dir):
     return quality.assign_unrelated(rows, bank)
 
 
+@query()
+def repaired_unrelated(spark, sf_dir):
+    """Unrelated queries of all rows after the local repair by a bank large enough."""
+    return quality.repair_unrelated(flagged(spark, sf_dir))
+
+
 # ---- splits, samples, statistics
 
 IDS = "WITH r AS (SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'general' WHEN 'fr' THEN 'satellite' ELSE lang END AS domain, source, text FROM documents)"

@@ -187,3 +187,21 @@ def test_similar_members_name_every_text(spark, tmp_path):
     for t in ("benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert set(con.sql(catalogue.SQL["similar_members"]).fetchall()) == got
+
+
+def test_every_row_that_asks_gets_a_phrase(spark):
+    schema = "id string, captions array<string>, query string, unrelated_query string, codes array<string>"
+    good = [("k", ["a red barn", "two boats"], "barns", "an unrelated thing", [])]
+    asks = [(f"a{i}", ["a red barn", "first phrase of all"], "second phrase of all", u, [c]) for i, (u, c) in enumerate([(T.OFFLINE_UNRELATED, "offline_unrelated"), ("x y", "duplicate_unrelated_frequent"), ("", "empty_field"), ("barns", "unrelated_eq_query")])]
+    rows = spark.createDataFrame([*good, *asks, ("e", ["one"], "", "still an own phrase", ["empty_field"])], schema)
+    got = {r.id: (r.unrelated_query, r.how) for r in quality.repair_unrelated(rows, least=1).collect()}
+    assert got["k"] == ("an unrelated thing", "kept") and got["e"] == ("still an own phrase", "kept")
+    given = [got[f"a{i}"] for i in range(4)]
+    assert {h for _, h in given} == {"local_bank"} and len({p for p, _ in given}) == 4
+    words = ["First phrase of all.", "Second phrase of all", "An unrelated thing", "short", "food recipe", "third phrase of all"]
+    small = spark.createDataFrame([(w,) for w in words], "phrase string")
+    got = [(r.unrelated_query, r.how) for r in quality.repair_unrelated(rows, small).collect() if r.id.startswith("a")]
+    assert {p for p, _ in got} <= {None, "third phrase of all"} and all((p is None) == (h == "failed") for p, h in got) and len(got) == 4
+    n = len(quality.SUBJECTS) * len(quality.SETTINGS) * len(quality.STYLES) + 500
+    bank = quality.distractor_bank(spark, n)
+    assert bank.distinct().count() == n and bank.filter(T.is_generic(F.col("phrase")) | (F.length("phrase") < 12)).count() == 0
