@@ -282,3 +282,13 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     name = fresh(docs.columns, "leaking")
     bad = leaks(docs, items, id_col, text_col).select(F.col("id").alias(name)).distinct()
     return docs.join(bad, F.col(f"`{id_col}`") == F.col(name), "left_anti")
+
+
+def clean_texts(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text leaks an item, whatever their ids: a text
+    is known by its hash."""
+    key = fresh(docs.columns, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{text_col}`")))
+    name = fresh([*docs.columns, key], "leaking")
+    bad = leaks(keyed, items, key, text_col).select(F.col("id").alias(name)).distinct()
+    return keyed.join(bad, F.col(key) == F.col(name), "left_anti").drop(key)

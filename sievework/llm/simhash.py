@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import fresh, table
+from .shared import fresh, join_counted, table
 
 SEED = 42
 BITS = 2
@@ -125,13 +125,21 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the least id of their component; rows with equal ids
-    count as copies of one document, rows with null ids stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    name = fresh(docs.columns, "kept")
-    kept = found.filter("id = component").select(F.col("id").alias(name)).distinct()
-    out = docs.join(kept, F.col(f"`{id_col}`") == F.col(name), "left_semi")
-    repeated = found.filter("id = component").groupBy("id").count().filter("count > 1").limit(1).count()
-    if repeated:
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+    """One row of each component: that with the least id, nulls last. Rows are told
+    apart by hashes of id and text, so equal or null ids are no matter; of rows
+    equal in both one stays."""
+    key, size = fresh(docs.columns, "row_key"), fresh(docs.columns, "row_chars")
+    keyed = docs.withColumns({key: F.xxhash64(F.col(f"`{text_col}`"), F.col(f"`{id_col}`")), size: F.coalesce(F.length(f"`{text_col}`"), F.lit(-1))})
+    whole = F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(key).alias("key"), F.col(size).alias("size"))
+    prints = table(fingerprints(keyed.select(whole.alias("row"), F.col(f"`{text_col}`").alias("text")), "row", "text"), "simhash-rows")
+    own = prints.groupBy("fp").agg(F.min("id").alias("row"))
+    roots = components(links(own.select("fp")))
+    first = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row")).select(F.col("row.key").alias(key), F.col("row.size").alias(size))
+    counts = prints.groupBy(F.col("id.key").alias(key), F.col("id.size").alias(size)).agg(F.count("*").alias("n"))
+    n = fresh([*docs.columns, key, size], "n_rows")
+    kept = table(counts.withColumnRenamed("n", n).join(first.distinct(), [key, size]), "simhash-kept")
+    out = join_counted(keyed, kept, [key, size], n)
+    one = out.filter(F.col(n) == 1)
+    if kept.filter(F.col(n) > 1).limit(1).count():
+        one = one.unionByName(out.filter(F.col(n) > 1).dropDuplicates([key, size]))
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -331,3 +331,14 @@ def test_decontamination_needs_words_or_values(spark):
     assert leaking(spark, "Anna Maria Rossi", "then came Tom Sawyer", "then came Anna Maria Rossi") == [1]
     assert leaking(spark, "1 2 3 4 5 6 7 8 9 10", "11 12 13 14 15 16 17 18 19 20", "0 1 2 3 4 5 6 7 8 9 10 11") == [1]
     assert leaking(spark, "5km", "ran 7km", "ran 5km", "ran 5 km") == [1, 2]
+
+
+def test_rows_without_own_id_are_decided_by_text(spark):
+    q = "a farmer near the river has 12 apples and sells 5 of them to a shop for 30 coins in the winter"
+    a, b, c = ("one two three four five six", "completely other words are in this one text", "and a third text with its own words only")
+    data = [(1, a), (None, a), (None, b), (None, b), (2, b), (7, a), (7, c), (7, c), (None, q), (None, q), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "n") for i, t in data], "doc_id long, text string, n string")
+    once = [(1, a), (2, b), (7, c), (None, q), (None, None)]
+    assert rowset(simhash.keep_one(docs), "doc_id", "text") == Counter(once)
+    items = spark.createDataFrame([(1, q)], "item_id long, text string")
+    assert rowset(decontamination.clean_texts(docs, items), "doc_id", "text") == Counter(x for x in data if x[1] != q)
