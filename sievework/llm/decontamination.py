@@ -14,35 +14,37 @@ occurrence has at least ``COVERAGE`` of its windows and consistent slots: over t
 occurrence a value of the item meets one value of the document, and the reverse,
 each in at least ``CONSISTENT`` of the slots.
 
-Items shorter than a window are matched whole. Defined results: null and wordless
-texts match nothing; null ids of documents never match (they carry no id to
-report); repeated rows with one id count once, other texts of an id by themselves;
-empty tables give no rows; other columns are not read.
+Items shorter than a window are matched whole, those of under ``SHORT`` words and no
+slot against whole documents only. Defined results: null and wordless texts match
+nothing; null ids of documents never match in :func:`leaks` (they carry no id to
+report), while :func:`clean` goes by texts alone; repeated rows with one id count
+once, other texts of an id by themselves; ties between occurrences go to the one
+that comes first; very long texts are scanned whole, a text in one call; empty
+tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_digest, xxh64_intdigest
 
-from .shared import fresh, table
+from .shared import fresh, join_salted, table
 
 WINDOW = 8
 COVERAGE = 0.5
 CONSISTENT = 0.8
-#: Item windows up to this number go to the tasks as one sorted array (8 bytes
-#: each); with more, all document windows are joined by hash instead.
-MAX_BROADCAST = 1_000_000
-#: Distinct words that a worker remembers.
-MEMORY = 300_000
 #: Literal words that make a window's template.
 LITERAL = 2
+#: Items of fewer words and no slot ("yes") are no leak but as a whole document.
+SHORT = 4
 
 # Units.
 UNITS = frozenset(
@@ -80,19 +82,42 @@ FLAGS = 63
 MARKS = ".,;:!?\"'()[]{}*#$&%|«»“”…"
 
 
-def _code(word: bytes) -> int:
-    from xxhash import xxh64_intdigest
+UPPER, LOWER = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 
-    text = word.decode("utf-8", "replace")
+
+def _kind(text: str) -> tuple[str, int]:
+    """What a word's hash is of, and its flags."""
     bare = text.strip(MARKS) or text
     low, last = bare.lower(), text.rstrip("\"')*#$&%")[-1:]
     flags = (CAPITAL if bare[:1].isupper() and bare[1:].islower() else 0) | (USUAL if low in COMMON else 0)
     if text.lower() not in TITLES:
         flags |= (END if last in (".", "!", "?", ":", "") else 0) | (STOP if last in (".", "!", "?", ":", "", ",", ";", ")") else 0)
     joined = _joined(low)
-    kind = "<number>" if joined or NUMBER.match(bare) else "<unit>" if low in UNITS else low
-    flags |= (SLOT if kind[0] == "<" and kind[1:] in ("number>", "unit>") and kind != low else 0) | (PAIR if joined else 0)
-    return (xxh64_intdigest(kind.encode(), 7) & ~FLAGS) | flags
+    if joined or NUMBER.match(bare):
+        return "<number>", flags | SLOT | (PAIR if joined else 0)
+    return ("<unit>", flags | SLOT) if low in UNITS else (low, flags)
+
+
+def _hash(kinds: np.ndarray) -> np.ndarray:
+    return pd.util.hash_array(kinds, hash_key="template windows", categorize=False) & np.uint64(~FLAGS & (1 << 64) - 1)
+
+
+def _codes(words: pa.Array) -> np.ndarray:
+    """Codes of different words: by columns for plain ones (lower case or Latin
+    letters, marks at the end only), else one by one."""
+    isin = lambda x, values: pc.is_in(x, value_set=pa.array(sorted(values), words.type)).to_numpy(zero_copy_only=False)
+    bare = pc.utf8_rtrim(words, ".,;:!?")
+    plain = pc.and_(pc.utf8_is_alpha(bare), pc.or_(pc.utf8_is_lower(bare), pc.match_substring_regex(bare, f"^[{UPPER}{LOWER}]+$"))).to_numpy(zero_copy_only=False)
+    low = pc.utf8_lower(bare)
+    marked = pc.not_equal(pc.binary_length(bare), pc.binary_length(words)).to_numpy(zero_copy_only=False) & ~isin(pc.utf8_lower(words), TITLES)
+    last, unit = pc.utf8_slice_codeunits(words, -1), isin(low, UNITS)
+    flags = np.where(pc.match_substring_regex(bare, f"^[{UPPER}][{LOWER}]+$").to_numpy(zero_copy_only=False), CAPITAL, 0) | np.where(isin(low, COMMON), USUAL, 0)
+    flags |= np.where(marked, STOP, 0) | np.where(marked & isin(last, ".!?:"), END, 0) | np.where(unit, SLOT, 0)
+    kinds = low.to_numpy(zero_copy_only=False).astype(object)
+    kinds[unit] = "<unit>"
+    for i in np.flatnonzero(~plain).tolist():
+        kinds[i], flags[i] = _kind(words[i].as_py())
+    return _hash(kinds) | flags.astype(np.uint64)
 
 
 def _joined(low: str) -> tuple[str, str] | None:
@@ -101,35 +126,66 @@ def _joined(low: str) -> tuple[str, str] | None:
     return (m[1], m[2]) if m and m[2] in UNITS else None
 
 
-class _Codes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = c = _code(word)
-        return c
-
-
-def templates(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The templates of a text, one or two: hashes, which are slots, each one's first
-    word (and the number of words last), and which are the unit of a joined pair."""
-    codes = sys.__dict__.setdefault("_sievework_words", _Codes())
-    if len(codes) > MEMORY:
-        codes.clear()
-    c = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
-    at = np.arange(len(c))
+class Template:
+    """One form of the templates of several texts, end to end: ``h`` hashes, ``slot``,
+    ``first`` word of each and the ``end`` of its words, ``second`` of a joined pair,
+    ``doc`` the text's number."""
+
+    def __init__(self, h, slot, first, end, second, doc):
+        self.h, self.slot, self.first, self.end, self.second, self.doc = h, slot, first, end, second, doc
+        self.lengths = np.bincount(doc, minlength=int(doc.max()) + 1 if len(doc) else 0)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+
+def split_words(texts: list) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (null: none), and how many each text has."""
+    lists = pc.ascii_split_whitespace(pa.array([t if isinstance(t, str) else "" for t in texts], pa.large_string()))
+    words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    empty = pc.equal(words, "").to_numpy(zero_copy_only=False)  # before leading and after trailing white space
+    if empty.any():
+        sizes = sizes - np.bincount(np.repeat(np.arange(len(sizes)), sizes)[empty], minlength=len(sizes))
+        words = words.filter(pa.array(~empty))
+    return words, sizes
+
+
+def templates(words: pa.Array, sizes: np.ndarray) -> Iterator[Template]:
+    """The templates of texts of ``sizes`` words, in one or two forms; the second has
+    only texts with common words that are names."""
+    coded = words.dictionary_encode()
+    c = _codes(coded.dictionary)[coded.indices.to_numpy()]
+    at, doc = np.arange(len(c)), np.repeat(np.arange(len(sizes)), sizes)
+    starts = np.zeros(len(c), bool)
+    starts[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    begins = starts | np.concatenate([[True], (c[:-1] & np.uint64(END)) > 0])[: len(c)]
     second = np.zeros(len(c), bool)
     if (c & np.uint64(PAIR)).any():
         at = np.repeat(at, np.where(c & np.uint64(PAIR), 2, 1))
-        c, second = c[at], np.concatenate([[False], at[1:] == at[:-1]])
-    h = np.where(second, np.uint64(codes[b"kg"] & ~FLAGS), c & np.uint64(~FLAGS & (1 << 64) - 1))
+        second = np.concatenate([[False], at[1:] == at[:-1]])
+        c, doc, begins, starts = c[at], doc[at], begins[at] & ~second, starts[at] & ~second
+    unit = _hash(np.array(["<unit>"], object))[0]
+    h = np.where(second, unit, c & np.uint64(~FLAGS & (1 << 64) - 1))
     slot, usual, stop = ((c & np.uint64(x)) > 0 for x in (SLOT, USUAL, STOP))
     capital = ((c & np.uint64(CAPITAL)) > 0) & ~slot
-    begins = np.concatenate([[True], (c[:-1] & np.uint64(END)) > 0])
-    forms = [capital & ~usual]
+
+    def form(name: np.ndarray, of: np.ndarray | slice) -> Template:
+        n, s = name[of], starts[of]
+        first = np.flatnonzero(np.concatenate([[True], ~(n[1:] & n[:-1] & ~stop[of][:-1]) | s[1:]])[: len(n)])
+        word, text = at[of][first], doc[of][first]
+        end = np.cumsum(sizes)[text]
+        end[:-1] = np.where(text[1:] == text[:-1], word[1:], end[:-1])
+        return Template(np.where(n, np.uint64(NAME), h[of])[first], (n | slot[of])[first], word, end, second[of][first], text)
+
+    plain = capital & ~usual
+    yield form(plain, slice(None))
     seen = capital & usual & ~begins
     if seen.any():
-        forms.append(forms[0] | (capital & usual & np.isin(h, h[seen])))
-    for name in forms:
-        first = np.flatnonzero(np.concatenate([[True], ~(name[1:] & name[:-1] & ~stop[:-1])]))
-        yield np.where(name, np.uint64(NAME), h)[first], (name | slot)[first], np.append(at[first], len(words)), second[first]
+        own = h ^ (doc.astype(np.uint64) * np.uint64(PRIME))  # a word of one text
+        maybe = np.flatnonzero(capital & usual)
+        name = plain.copy()
+        name[maybe[np.isin(own[maybe], own[seen])]] = True
+        texts = np.zeros(len(sizes), bool)
+        texts[doc[seen]] = True
+        yield form(name, np.flatnonzero(texts[doc]))
 
 
 NAME = 0x6E616D6500000000
@@ -139,75 +195,133 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
     """Polynomial hashes of all runs of ``size`` template words."""
     if len(h) < size:
         return np.zeros(0, np.int64)
+    x = h ^ (h >> np.uint64(31))
     out = np.zeros(len(h) - size + 1, np.uint64)
     for i in range(size):
-        out = out * np.uint64(PRIME) + (h[i : len(h) - size + 1 + i] ^ (h[i : len(h) - size + 1 + i] >> np.uint64(31)))
+        out *= np.uint64(PRIME)
+        out += x[i : len(h) - size + 1 + i]
     return ((out ^ (out >> np.uint64(29))) * np.uint64(PRIME) + np.uint64(size)).astype(np.int64)
 
 
-def _hits(texts: pd.Series, ids: pd.Series, sizes: list[int] | None, wanted: np.ndarray | None) -> pd.DataFrame:
+class Wanted:
+    """A Bloom filter of window hashes: two bits each of 2 ** ``power``."""
+
+    def __init__(self, power: int, bits: np.ndarray):
+        self.power, self.bits = power, bits
+
+    def within(self, w: np.ndarray) -> np.ndarray:
+        u, out = w.view(np.uint64), None
+        for at in (u >> np.uint64(64 - self.power), u & np.uint64((1 << self.power) - 1)):
+            hit = (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+            out = hit if out is None else out & hit
+        return out.astype(bool)
+
+
+def _hits(texts: list, ids: np.ndarray, sizes: list[int] | None, wanted: Wanted | None) -> pd.DataFrame:
     """Rows of ``SCHEMA``: windows of the texts, the wanted ones if given, with the
-    text's hash and 8 bytes of hash for each slot's value. With no ``sizes`` a text
-    shorter than ``WINDOW`` is one window."""
-    from xxhash import xxh64_digest, xxh64_intdigest
-
-    out: dict[str, list] = {k: [] for k in ("id", "ver", "h", "pos", "size", "slots")}
-    for d, t in zip(ids, texts):
-        words = t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else []
-        if not words or pd.isna(d):
-            continue
-        for form, (h, slot, first, second) in enumerate(templates(words)):
-            ver = int(np.uint64(xxh64_intdigest(b" ".join(words), 5 + form)).astype(np.int64))
-            value: dict[int, bytes] = {}
-
-            def values(p: int, size: int) -> bytes:
-                out = []
-                for k in (p + np.flatnonzero(slot[p : p + size])).tolist():
-                    if k not in value:
-                        value[k] = xxh64_digest(_value(words, int(first[k]), int(first[k + 1]), bool(second[k])), 3)
-                    out.append(value[k])
-                return b"".join(out)
-
-            before = np.concatenate([[0], np.cumsum(slot)])
-            for size in sizes or [min(WINDOW, len(h))]:
-                w = windows(h, size)
-                filled = before[size:] - before[:-size] if len(w) else before[:0]
-                for p in np.flatnonzero((filled > 0) & (size - filled < LITERAL)).tolist():
-                    w[p] ^= np.uint64(xxh64_intdigest(values(p, size), 9)).astype(np.int64)
-                at = np.arange(len(w)) if wanted is None else np.flatnonzero(_within(w, wanted))
-                for p in at.tolist():
-                    out["id"].append(d), out["ver"].append(ver), out["h"].append(int(w[p])), out["pos"].append(p), out["size"].append(size)
-                    out["slots"].append(values(p, size))
-    return pd.DataFrame(out)
-
-
-def _value(words: list[bytes], a: int, b: int, second: bool) -> bytes:
+    text's hash and 8 bytes of hash for each slot's value. With no ``sizes`` each text
+    has windows of the size that suits it: it is an item. A negative size is that of
+    a whole text of under ``SHORT`` words without slots."""
+    words, counts = split_words(texts)
+    ends = np.cumsum(counts)
+    parts, of_text = [], {}
+    for k, t in enumerate(templates(words, counts) if len(words) else ()):
+        value: dict[int, bytes] = {}
+
+        def digest(i: int, t=t, value=value) -> bytes:
+            if i not in value:
+                value[i] = xxh64_digest(_value(words, int(t.first[i]), int(t.end[i]), bool(t.second[i])), 3)
+            return value[i]
+
+        filled = np.concatenate([[0], np.cumsum(t.slot)])
+        has_slot = np.bincount(t.doc, t.slot, len(counts)) > 0
+        lengths = np.append(t.lengths, np.zeros(len(counts) - len(t.lengths), np.int64))
+        short = (counts < SHORT) & ~has_slot
+        own = np.where(short, -lengths, np.minimum(lengths, WINDOW))
+        for size in sizes if sizes is not None else sorted({int(x) for x in own if x}):
+            w = windows(t.h, abs(size))
+            n = len(w)
+            if not n:
+                continue
+            ok = t.doc[:n] == t.doc[abs(size) - 1 :]
+            if sizes is None or size < 0:
+                ok &= own[t.doc[:n]] == size
+            inside = filled[abs(size) :] - filled[: -abs(size)]
+            weak = np.flatnonzero(ok & (inside > 0) & (abs(size) - inside < LITERAL))
+            if len(weak):  # by its values, too
+                change = np.zeros(len(t.h) + 1, np.int64)
+                np.add.at(change, weak, 1)
+                np.add.at(change, weak + abs(size), -1)
+                v = np.zeros(len(t.h), np.uint64)
+                for i in np.flatnonzero((np.cumsum(change)[:-1] > 0) & t.slot).tolist():
+                    v[i] = np.frombuffer(digest(i), np.uint64)[0]
+                w[weak] ^= windows(v, abs(size))[weak]
+            if wanted is not None:
+                ok &= wanted.within(w)
+            p = np.flatnonzero(ok)
+            if not len(p):
+                continue
+            d = t.doc[p]
+            for i in set(d.tolist()):
+                if (i, k) not in of_text:
+                    of_text[i, k] = int(np.uint64(xxh64_intdigest(" ".join(words[ends[i] - counts[i] : ends[i]].to_pylist()), 5 + k)).astype(np.int64))
+            slots = [b"".join(map(digest, (i + np.flatnonzero(t.slot[i : i + abs(size)])).tolist())) if f else b"" for i, f in zip(p.tolist(), inside[p].tolist())]
+            parts.append(pd.DataFrame({"id": ids[d], "ver": [of_text[i, k] for i in d.tolist()], "h": w[p], "pos": p - t.starts[d], "size": size, "slots": slots}))
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
+
+
+def _value(words: pa.Array, a: int, b: int, second: bool) -> bytes:
     """The value of the placeholder of the words from ``a`` to ``b``; ``b`` is ``a``
     for the number of a joined pair, whose unit follows in the same word."""
-    text = b" ".join(words[a : max(b, a + 1)]).decode("utf-8", "replace").lower().strip(MARKS)
+    text = " ".join(words[a : max(b, a + 1)].to_pylist()).lower().strip(MARKS)
     joined = _joined(text)
     return (joined[second] if joined else text).encode()
 
 
-def _within(w: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    return wanted[np.minimum(np.searchsorted(wanted, w), len(wanted) - 1)] == w if len(wanted) else np.zeros(len(w), bool)
-
-
 SCHEMA = "id long, ver long, h long, pos int, size int, slots binary"
+#: Characters of texts that are scanned together.
+TOGETHER = 2_000_000
 
 
-def template_windows(df: DataFrame, id_col: str, text_col: str, sizes=None, wanted: np.ndarray | None = None) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
+def template_windows(df: DataFrame, id_col: str, text_col: str, sizes=None, wanted: Wanted | None = None) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast((wanted.power, wanted.bits)) if wanted is not None else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep = Wanted(*shared.value) if shared else None
         for f in frames:
-            found = _hits(f["t"], f["i"], sizes, shared.value if shared else None)
-            if len(found):
-                yield found
+            texts, ids = f["t"].tolist(), f["i"].to_numpy(np.int64)
+            length = np.cumsum([len(t) if isinstance(t, str) else 0 for t in texts])
+            for a, b in _runs(length // TOGETHER):
+                found = _hits(texts[a:b], ids[a:b], sizes, keep)
+                if len(found):
+                    yield found
 
     return df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL").mapInPandas(run, SCHEMA)
 
 
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal keys."""
+    cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
+#: Bits of the filter for a window of the items, and the most of all (32 MB): beyond
+#: it the filter lets more through and the join, which decides, has more to do.
+FILTER_BITS, MOST_BITS = 256, 1 << 28
+
+
+def wanted_windows(theirs: DataFrame, most_bits: int = MOST_BITS) -> Wanted:
+    """The filter of the items' windows, summed up by 64-bit words of it."""
+    hashes = theirs.select("h").distinct()
+    bits = min(most_bits, max(64, FILTER_BITS * hashes.count()))
+    power = bits.bit_length() - 1
+    at = hashes.select(F.explode(F.array(F.shiftrightunsigned("h", 64 - power), F.col("h").bitwiseAND(F.lit((1 << power) - 1)))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("bits")).toArrow()  # at most 2 ** 22 rows
+    out = np.zeros(1 << max(0, power - 6), np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return Wanted(power, out.view(np.uint8))
+
+
 def _consistency(islots: list[bytes], slots: list[bytes]) -> tuple[float, int]:
     """Share of slots in which a value meets its most frequent partner, the lesser of
     both directions, and the item's distinct values."""
@@ -223,20 +337,20 @@ def _consistency(islots: list[bytes], slots: list[bytes]) -> tuple[float, int]:
     return min(shares), len(a[0])
 
 
-def _best(f: pd.DataFrame) -> tuple | None:
+def _best(pos: np.ndarray, ipos: np.ndarray, h: np.ndarray, slots: np.ndarray, islots: np.ndarray, n: int) -> tuple | None:
     """(n_matched, n_slots, consistency) of the occurrence with most windows that
-    passes, of all matches between a text and an item."""
-    f = f.assign(d=f["pos"] - f["ipos"]).sort_values(["d", "ipos"])
-    d, ipos = f["d"].to_numpy(), f["ipos"].to_numpy()
-    h = np.unique(f["h"], return_inverse=True)[1]
-    slots, islots, n = f["slots"].to_numpy(), f["islots"].to_numpy(), int(f["n_windows"].iloc[0])
-    found = [(-len(np.unique(h)), 3, 0, np.arange(len(d)))]
+    passes, of all matches between a text and an item with ``n`` windows."""
+    order = np.lexsort((ipos, pos - ipos))
+    pos, ipos, h, slots, islots = (x[order] for x in (pos, ipos, h, slots, islots))
+    d = pos - ipos
+    h = np.unique(h, return_inverse=True)[1]
+    found = [(-(int(h.max()) + 1), 3, 0, np.arange(len(d)))]
     for a in np.unique(d).tolist():
         for k, slack in enumerate((0, WINDOW, max(2 * WINDOW, n))):
             lo, hi = np.searchsorted(d, [a - slack, a + slack + 1])
             at = np.arange(lo, hi)
             at = at[np.lexsort((d[at], np.abs(d[at] - a), ipos[at]))]
-            at = at[np.unique(ipos[at], return_index=True)[1]]  # the match nearest to the diagonal
+            at = at[np.concatenate([[True], ipos[at[1:]] != ipos[at[:-1]]])]  # the match nearest to the diagonal
             found.append((-len(np.unique(h[at])), k, a, at))
     for m, _, _, at in sorted(found, key=lambda x: x[:3]):
         if round(-m / n, 6) < COVERAGE:
@@ -247,25 +361,38 @@ def _best(f: pd.DataFrame) -> tuple | None:
     return None
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+BOTH = ["id", "ver", "item", "iver"]
+#: Texts with items that are scored in one call.
+SCORED = 200
+
+
+def _score(f: pd.DataFrame) -> pd.DataFrame:
+    f = f.sort_values(BOTH, ignore_index=True)
+    keys, out = f[BOTH].to_numpy(), []
+    cols = [f[c].to_numpy() for c in ("pos", "ipos", "h", "slots", "islots")]
+    cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1), [True]]))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        n = int(f["n_windows"].iat[a])
+        best = _best(*(c[a:b] for c in cols), n)
+        if best:
+            out.append((keys[a][0], keys[a][2], best[0], n, *best[1:]))
+    return pd.DataFrame(out, columns=["id", "item", "n_matched", "n_windows", "n_slots", "consistency"])
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """A row per leak: id, item, matched and all windows of the item, coverage,
     slots seen and their consistency, of the occurrence with most windows."""
     theirs = table(template_windows(items, item_id, item_text).select(F.col("id").alias("item"), F.col("ver").alias("iver"), "h", F.col("pos").alias("ipos"), "size", F.col("slots").alias("islots")), "item-windows")
-    sizes = [r.size for r in theirs.select("size").distinct().orderBy("size").collect()]  # at most WINDOW rows
-    n = theirs.count()
-    wanted = np.array(sorted(r.h for r in theirs.select("h").distinct().collect()), np.int64) if n <= max_broadcast else None
-    ours = template_windows(docs, id_col, text_col, sizes or [WINDOW], wanted)
-    both = ["id", "ver", "item", "iver"]
-    pairs = table(ours.join(theirs, ["h", "size"]).select(*both, "h", "pos", "ipos", "slots", "islots").distinct(), "window-pairs")
+    sizes = [r.size for r in theirs.select("size").distinct().orderBy("size").collect()]  # at most WINDOW + SHORT rows
+    ours = table(template_windows(docs, id_col, text_col, sizes or [WINDOW], wanted_windows(theirs, most_bits)), "text-windows")
+    pairs = table(join_salted(ours, theirs, ["h", "size"]).select(*BOTH, "h", "pos", "ipos", "slots", "islots").distinct(), "window-pairs")
     # Item windows with one hash (a repeated phrase) count once.
     per_item = theirs.groupBy("item", "iver").agg(F.count_distinct("h").alias("n_windows"))
-    hit = pairs.groupBy(*both).agg(F.count_distinct("h").alias("n")).join(per_item, ["item", "iver"]).filter(F.round(F.col("n") / F.col("n_windows"), 6) >= COVERAGE)
-
-    def score(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        best = _best(f)
-        return pd.DataFrame([(key[0], key[2], best[0], int(f["n_windows"].iloc[0]), *best[1:])] if best else [], columns=["id", "item", "n_matched", "n_windows", "n_slots", "consistency"])
-
-    scored = pairs.join(hit.select(*both, "n_windows"), both).groupBy(*both).applyInPandas(score, "id long, item long, n_matched long, n_windows long, n_slots long, consistency double")
+    hit = pairs.groupBy(*BOTH).agg(F.count_distinct("h").alias("n")).join(per_item, ["item", "iver"]).filter(F.round(F.col("n") / F.col("n_windows"), 6) >= COVERAGE)
+    hit = table(hit.select(*BOTH, "n_windows"), "window-hits")
+    calls = max(1, hit.count() // SCORED)
+    scored = pairs.join(hit, BOTH).withColumn("call", F.pmod(F.xxhash64(*BOTH), F.lit(calls)))
+    scored = scored.groupBy("call").applyInPandas(_score, "id long, item long, n_matched long, n_windows long, n_slots long, consistency double")
     out = scored.withColumns({"coverage": F.round(F.col("n_matched") / F.col("n_windows"), 6), "consistency": F.round("consistency", 6)})
     best = out.groupBy("id", "item").agg(F.max(F.struct("coverage", "consistency", "n_matched", "n_windows", "n_slots")).alias("x"))
     return best.select("id", "item", *[f"x.{c}" for c in ("n_matched", "n_windows", "coverage", "n_slots", "consistency")])
@@ -277,14 +404,7 @@ def op4_decontamination(spark, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that leak an item."""
-    name = fresh(docs.columns, "leaking")
-    bad = leaks(docs, items, id_col, text_col).select(F.col("id").alias(name)).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`") == F.col(name), "left_anti")
-
-
-def clean_texts(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text leaks an item, whatever their ids: a text
     is known by its hash."""
     key = fresh(docs.columns, "text_key")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import gc
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="sievework-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/sievework/{name}-{uuid.uuid4().hex}"
@@ -40,14 +43,6 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    tidy(spark)
-
-
-def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that are done: it waits
-    for the driver's garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 #: A key with more than one in ``HOT`` of all counted rows is joined apart.
@@ -68,6 +63,29 @@ def join_counted(rows: DataFrame, counts: DataFrame, on: list[str], c: str) -> D
     return rows.join(hot, on).unionByName(others)
 
 
+def join_salted(rows: DataFrame, others: DataFrame, on: list[str], salts: int = 64) -> DataFrame:
+    """Inner join of ``rows``, a written table, with ``others``, of which a key may
+    have several. A key with over 1 / ``HOT`` of all rows is dealt to ``salts``
+    places, to each of which its few other rows go, so that none can fill a task."""
+    counts = rows.groupBy(*on).agg(F.count("*").alias("n"))
+    least = rows.count() // HOT
+    salt = fresh([*rows.columns, *others.columns], "salt")
+    hot = table(counts.filter(F.col("n") > least).select(*on, F.lit(salts).alias(salt)), "hot-keys")  # under HOT rows
+    n = F.coalesce(F.col(salt), F.lit(1))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn(salt, F.pmod(F.xxhash64(*rows.columns), n))
+    met = others.join(F.broadcast(hot), on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
+    return dealt.join(met, [*on, salt]).drop(salt)
+
+
+def worker_cache(name: str, make):
+    """What a worker process keeps from task to task, in a module of its own (the
+    functions that use it are shipped by value, and their globals with them)."""
+    cache = sys.modules.setdefault("sievework_worker_cache", types.ModuleType("sievework_worker_cache"))
+    if name not in cache.__dict__:
+        setattr(cache, name, make())
+    return getattr(cache, name)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, prefixed until it clashes with no column (names ignore case)."""
     taken = {c.lower() for c in columns}

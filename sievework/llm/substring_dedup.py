@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import join_counted, remove, shared_dir, table, tidy
+from .shared import join_counted, remove, shared_dir, table
 
 WINDOW = 35
 GRAM = 6
@@ -184,7 +184,6 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     shared = table(join_counted(bodies, _shared_anchors(bodies), ["anchor"], "bodies"), "crowded-shared")
     left = join_counted(cut.drop("ask"), shared, ["anchor", "body"], "c").withColumn("ask", F.col("c") == 1)
     left = table(left.dropDuplicates(["anchor", "body"]), "crowded-left")
-    tidy(spark)  # the texts' first shuffle, before their second
     second = _sharded(left.filter(F.col("bodies") <= CROWD))
     # What is crowded still: windows, counted.
     windows = left.filter(F.col("bodies") > CROWD).mapInPandas(_windows, "id long, th long, start int, anchor long, window long")

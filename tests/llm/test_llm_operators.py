@@ -127,9 +127,9 @@ def test_decontamination(spark, sf, docs, none):
     q = "Question: a farmer named {} has {} apples and sells {} kg of them to a shop near {} for a good price"
     items = spark.createDataFrame([(1, q.format("Anna", "12", "5", "Rome"))], "item_id long, text string")
     other = spark.createDataFrame([(1, "intro words " + q.format("Peter", "99", "7", "Paris") + " and more"), (2, "12 apples and 5 kg in Rome"), (None, q.format("Anna", "12", "5", "Rome")), (3, None)], "doc_id long, text string")
-    for most in (10, 0):  # the broadcast way and the join
-        assert [r.id for r in decontamination.leaks(other, items, max_broadcast=most * 1000).collect()] == [1]
-    assert decontamination.clean(other, items).count() == 3
+    for bits in (1 << 28, 64):  # a filter that keeps few others, and one that keeps many
+        assert [r.id for r in decontamination.leaks(other, items, most_bits=bits).collect()] == [1]
+    assert {r.doc_id for r in decontamination.clean(other, items).collect()} == {2, 3}  # by text: the null id's goes as well
     assert decontamination.leaks(none, items).count() == 0 and decontamination.leaks(other, items.limit(0)).count() == 0
 
 
@@ -341,4 +341,4 @@ def test_rows_without_own_id_are_decided_by_text(spark):
     once = [(1, a), (2, b), (7, c), (None, q), (None, None)]
     assert rowset(simhash.keep_one(docs), "doc_id", "text") == Counter(once)
     items = spark.createDataFrame([(1, q)], "item_id long, text string")
-    assert rowset(decontamination.clean_texts(docs, items), "doc_id", "text") == Counter(x for x in data if x[1] != q)
+    assert rowset(decontamination.clean(docs, items), "doc_id", "text") == Counter(x for x in data if x[1] != q)
