@@ -1,17 +1,23 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A source's documents are cut by a hash of their id into blocks, which are thereby
-a random partition of it. Targets fix how many blocks each source gives: whole
-epochs, then full blocks, then a part of one block, down to the word. The tree
-halves the output shards again and again and draws, at each node, how many of
-every source's blocks go left; a shard then takes its next blocks of each source
-(no block twice in an epoch) and is shuffled locally.
+Documents are cut by a hash of id and text into blocks of about ``BLOCK`` words,
+which are thereby a random partition of their source. A source's target fixes how
+many draws of blocks it gives: whole epochs, then blocks of one more epoch, the
+last of them down to the word. The tree halves the output shards again and again
+and draws, at each node, how many of every source's draws go left; a shard then
+has a run of each source's draws. A draw is a place in an epoch, and a seeded
+permutation of each epoch tells which block has that place. What the mix takes of
+a document is read from these drawn blocks.
+
+Everything grows with the number of blocks and is a table: targets come from
+aggregates over the sources, the tree goes down ``LEVELS`` levels a pass, each
+pass a group per node.
 
 Defined results: a null text has size 0; a null source is one source, ordered
-last; null ids hash as one value; rows with equal ids share the cut in
-proportion, so repeated rows get equal shares; empty tables and tables without
-words take nothing; other columns are carried by :func:`mix` and their names may
-be any.
+last; null ids hash as one value; rows equal in id and text share the cut in
+proportion, so repeated rows get equal shares; a very long text is a block of its
+own at most; empty tables and tables without words take nothing; other columns are
+carried by :func:`mix` and their names may be any.
 """
 
 from __future__ import annotations
@@ -19,142 +25,234 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import SPACE, fresh, n_words, table
+from .shared import SPACE, fresh, join_counted, n_words, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-#: Sources are listed on the driver; more than this many are an error, never dropped.
-MAX_SOURCES = 100_000
-MAX_BLOCKS = 4096
-
-
-def targets(sizes: dict, share: float = SHARE, weights=WEIGHTS, cap: float = CAP) -> dict:
-    """Words for each source: by weight, at most ``cap`` times its size, the
-    excess going to the others by weight until none is above."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, open_, out = share * sum(sizes.values()), list(order), {}
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if left * weight[s] / total > cap * sizes[s]]
-        if not over:
-            out |= {s: left * weight[s] / total for s in open_}
-            break
-        out |= {s: cap * sizes[s] for s in over}
-        left -= sum(out[s] for s in over)
-        open_ = [s for s in open_ if s not in out]
-    return out
-
-
-def splitting_tree(quotas: list[int], shards: int, seed: int = 0) -> np.ndarray:
-    """Blocks per shard and source (shards x sources); columns sum to ``quotas``."""
+#: Words of a block and of a shard. Blocks grow only where a mix would have more
+#: than ``DRAWS`` draws (numpy draws from populations of under 10^9).
+BLOCK, SHARD, DRAWS = 20_000, 2_000_000, 500_000_000
+#: Levels of the tree that one pass goes down.
+LEVELS = 6
+#: Rows of a table of sources or draws that may be broadcast; larger ones are joined.
+SMALL = 200_000
+# Primes above any number of blocks: multiplied by one, the places of an epoch are permuted.
+PRIMES = (2147483647, 2147483629, 2147483587)
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """A written row (none, name, id, size, h) per document: the source is ``name``,
+    or null where ``none``."""
+    text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`").cast("string")
+    key = [source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")]
+    return table(docs.select(*key, F.col(f"`{id_col}`").alias("id"), n_words(text).alias("size"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("h")), "mix-sizes")
+
+
+SOURCE = ["none", "name"]
+
+
+def targets(rows: DataFrame, share: float = SHARE, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
+    """A written row per source of ``rows``: none, name, sno (its number by code
+    point, null last), n (rows), source_size, weight, target.
+
+    By weight, at most ``cap`` times the size; the excess goes to the others by
+    weight until none is above. A source is above if its size by weight is under a
+    bound, which rises from round to round, so a round is one aggregate."""
+    sums = table(rows.groupBy(*SOURCE).agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "mix-sources")
+    from ..operators.quality import ranked
+
+    numbered = ranked(sums, *SOURCE).withColumn("sno", F.col("rank") - 1).drop("rank")
+    weight = F.element_at(F.array(*[F.lit(w).cast("double") for w in weights]), (F.col("sno") % len(weights) + 1).cast("int"))
+    numbered = table(numbered.withColumn("weight", weight).withColumn("ratio", F.col("source_size") / F.col("weight")), "mix-numbered")
+    size, left_weight = numbered.agg(F.sum("source_size"), F.sum("weight")).first()
+    total = share * (size or 0)
+    left, bound = total, -1.0
+    while left_weight and left / (cap * left_weight) > bound:
+        bound = left / (cap * left_weight)
+        over, left_weight = numbered.agg(F.sum(F.when(F.col("ratio") < bound, F.col("source_size"))), F.sum(F.when(F.col("ratio") >= bound, F.col("weight")))).first()
+        left = total - cap * (over or 0)
+    per_weight = left / left_weight if left_weight else 0.0
+    goal = F.when(F.col("ratio") < bound, cap * F.col("source_size")).otherwise(per_weight * F.col("weight"))
+    return table(numbered.withColumn("target", goal.cast("double")).drop("ratio"), "mix-targets")
+
+
+def with_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` with their source's columns; a source with a large share of all rows
+    does not move them."""
+    if sources.limit(SMALL + 1).count() <= SMALL:
+        return rows.join(F.broadcast(sources), SOURCE)
+    return join_counted(rows, sources, SOURCE, "n")
+
+
+def place(block: Column, blocks: Column, sno: Column, epoch: Column, seed: int) -> Column:
+    """The place of a block in the order of an epoch."""
+    prime = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(F.xxhash64(sno, epoch, F.lit(seed)), F.lit(len(PRIMES))) + 1).cast("int"))
+    return F.pmod((prime % blocks) * block + F.pmod(F.xxhash64(epoch, sno, F.lit(seed)), blocks), blocks)
+
+
+def split(draws: np.ndarray, shards: int, seed: tuple) -> tuple[np.ndarray, np.ndarray, int]:
+    """A node's draws of each source, divided between the left and right half of its
+    shards in proportion, drawn without replacement; and the left half's shards."""
+    left = shards // 2
+    n = int(draws.sum()) * left // shards
     rng = np.random.default_rng(seed)
+    mine = rng.multivariate_hypergeometric(draws, n, method="marginals") if len(draws) else draws
+    return mine, draws - mine, left
 
-    def split(q: np.ndarray, n: int) -> list[np.ndarray]:
-        if n == 1:
-            return [q]
-        left = rng.multivariate_hypergeometric(q, int(q.sum()) * (n // 2) // n, method="marginals")
-        return split(left, n // 2) + split(q - left, n - n // 2)
 
-    return np.array(split(np.array(quotas, np.int64), shards))
+NODE = "node long, low long, shards long, sno long, start long, draws long"
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return table(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col)).alias("h")), "mix-sizes")
-
-
-def plan(rows: DataFrame, block_words: int = 20_000, shard_words: int = 2_000_000, seed: int = 0) -> DataFrame:
-    """A row per source of ``rows`` (id, source, size, h): source_size, target,
-    epochs, blocks, full (blocks of the last epoch), and the cut in the next
-    block: hashes below ``cut`` are whole, at ``cut`` ``num / den`` of the words.
-    ``starts`` has the first draw of each shard."""
-    spark = rows.sparkSession
-    sizes = {r.source: r.s for r in rows.groupBy("source").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    goal = targets(sizes)
-    first = []
-    for s, n in sizes.items():
-        words = round(goal.get(s, 0.0))
-        epochs = min(2, words // n) if n else 0
-        first.append((s, n, float(goal.get(s, 0.0)), epochs, max(1, min(MAX_BLOCKS, math.ceil(n / block_words))), words - epochs * n))
-    head = "source string, source_size long, target double, epochs int, blocks int, rest long"
-    base = spark.createDataFrame(first, head)
-    small = F.broadcast(base)  # at most MAX_SOURCES rows
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    blocked = rows.join(small, same(rows, base)).select(rows["*"], "blocks", "rest", F.pmod("h", "blocks").cast("int").alias("block"))
-    ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cutting = (
-        blocked.groupBy("source", "block", "rest").agg(F.sum("size").alias("n"))  # at most MAX_BLOCKS rows a source from here
-        .withColumn("upto", F.sum("n").over(ahead)).filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest")))
-        .select("source", "block", (F.col("rest") - F.col("upto") + F.col("n")).alias("need"))
+def _descend(seed: int, levels: int):
+    """A node's subtrees ``levels`` below, as rows of ``NODE`` with draws."""
+
+    def down(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("sno")
+        now = [(int(f["node"].iat[0]), int(f["low"].iat[0]), int(f["shards"].iat[0]), f["sno"].to_numpy(), f["start"].to_numpy(), f["draws"].to_numpy())]
+        for _ in range(levels):
+            below = []
+            for node, low, shards, sno, start, draws in now:
+                if shards == 1:
+                    below.append((node, low, shards, sno, start, draws))
+                    continue
+                mine, rest, left = split(draws, shards, (seed, low, shards))
+                for k, (at, begin, n, first) in enumerate(((low, start, mine, left), (low + left, start + mine, rest, shards - left))):
+                    some = n > 0
+                    below.append((2 * node + k, at, first, sno[some], begin[some], n[some]))
+            now = below
+        return pd.concat([pd.DataFrame({"node": node, "low": low, "shards": shards, "sno": sno, "start": start, "draws": draws}) for node, low, shards, sno, start, draws in now], ignore_index=True)
+
+    return down
+
+
+def splitting_tree(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
+    """(shard, sno, start, draws): which run of each source's ``draws`` a shard has,
+    of ``quotas`` (sno, draws). A level's rows are at most as many as all draws."""
+    now = quotas.filter("draws > 0").select(F.lit(1).cast("long").alias("node"), F.lit(0).cast("long").alias("low"), F.lit(shards).cast("long").alias("shards"), "sno", F.lit(0).cast("long").alias("start"), "draws")
+    for _ in range(0, math.ceil(math.log2(shards)) if shards > 1 else 0, LEVELS):
+        now = table(now.groupBy("node").applyInPandas(_descend(seed, LEVELS), NODE), "mix-nodes")
+    return now.select(F.col("low").alias("shard"), "sno", "start", "draws")
+
+
+def plan(rows: DataFrame, block_words: int = BLOCK, shard_words: int = SHARD, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Of the sizes ``rows``: the sources (none, name, sno, n, source_size, target,
+    epochs, blocks, and the cut of the last block drawn: hashes below ``cut`` are
+    whole, at ``cut`` ``num / den`` of the words), and the draws (sno, block, epoch,
+    shard, partial: whether that block is cut), both written."""
+    goals = targets(rows)
+    words = goals.agg(F.sum("target")).first()[0] or 0.0
+    block_words = max(block_words, math.ceil(words / DRAWS))
+    want, size = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
+    epochs = F.least(F.expr("2L"), F.floor(F.col("want") / size))
+    sources = goals.withColumn("want", want).withColumns({"epochs": epochs.cast("int"), "blocks": F.greatest(F.ceil(F.col("source_size") / block_words), F.lit(1))})
+    sources = table(sources.withColumn("rest", F.col("want") - F.col("epochs") * F.col("source_size")).drop("want", "weight"), "mix-plan")
+
+    blocked = with_source(rows.filter("size > 0"), sources.select(*SOURCE, "n", "sno", "epochs", "blocks", "rest")).select("sno", "h", "size", "epochs", "blocks", "rest", block_of().alias("block"))
+    blocks = table(blocked.groupBy("sno", "block", "epochs", "blocks", "rest").agg(F.sum("size").alias("words")), "mix-blocks")
+    # The block in which the last epoch's words end: by ranges of places, then by place, then by hash.
+    last = blocks.filter("rest > 0").withColumn("place", place(F.col("block"), F.col("blocks"), F.col("sno"), F.col("epochs"), seed)).withColumn("range", F.expr("place * 1024 div blocks"))
+    ranges = _crossing(last.groupBy("sno", "rest", "range").agg(F.sum("words").alias("words")), "range", "rest")
+    inside = last.drop("rest").join(F.broadcast(ranges.select("sno", "range", F.col("need").alias("rest"))), ["sno", "range"]) if _few(ranges) else last.drop("rest").join(ranges.select("sno", "range", F.col("need").alias("rest")), ["sno", "range"])
+    ends = _crossing(inside.select("sno", "rest", "place", "block", "words"), "place", "rest", "block")
+    cutting = ends.select("sno", "block", "place", F.col("need").alias("rest"))
+    hashes = blocked.select("sno", "block", "h", "size").join(F.broadcast(cutting) if _few(cutting) else cutting, ["sno", "block"])
+    cuts = _crossing(hashes.groupBy("sno", "rest", "place", "h").agg(F.sum("size").alias("words")), "h", "rest", "place")
+    cuts = cuts.select("sno", F.col("place").alias("_place"), F.col("h").alias("_h"), F.col("need").alias("_num"), F.col("words").alias("_den"))
+    sources = table(
+        sources.join(cuts, "sno", "left")
+        .withColumns({"cut": F.coalesce("_h", F.lit(-(2**63))), "num": F.coalesce("_num", F.lit(0).cast("long")), "den": F.coalesce("_den", F.lit(1).cast("long"))})
+        .withColumn("quota", F.col("epochs") * F.col("blocks") + F.coalesce(F.col("_place") + 1, F.lit(0))).withColumn("cutting", F.col("_place").isNotNull())
+        .drop("_place", "_h", "_num", "_den", "rest"),
+        "mix-sources",
     )
-    cut_rows = table(cutting, "mix-blocks")
-    inside = F.broadcast(cut_rows)
-    within = Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cuts = (
-        blocked.join(inside, same(blocked, cut_rows) & (blocked["block"] == cut_rows["block"]))
-        .select(blocked["source"], blocked["block"], "h", "size", "need").groupBy("source", "block", "need", "h").agg(F.sum("size").alias("n"))
-        .withColumn("upto", F.sum("n").over(within)).filter((F.col("upto") > F.col("need")) & (F.col("upto") - F.col("n") <= F.col("need")))
-        .select("source", "block", "h", (F.col("need") - F.col("upto") + F.col("n")).alias("num"), F.col("n").alias("den")).collect()
-    )  # fmt: skip  # a row per source at most
-    cut = {r.source: r for r in cuts}
-    draws, out = [], []
-    for s, n, goal_s, epochs, blocks, rest in first:
-        c = cut.get(s) if rest > 0 else None
-        draws.append(epochs * blocks + (c.block + 1 if c else 0))
-        out.append((s, n, goal_s, epochs, blocks, c.block if c else 0, c.h if c else -(2**63), c.num if c else 0, c.den if c else 1))
-    shards = max(1, math.ceil(sum(goal.values()) / shard_words))
-    starts = np.cumsum(splitting_tree(draws, shards, seed), 0) if draws else np.zeros((1, 0), int)
-    return spark.createDataFrame(
-        [(*o, [0, *starts[:-1, i].tolist()]) for i, o in enumerate(out)],
-        "source string, source_size long, target double, epochs int, blocks int, full int, cut long, num long, den long, starts array<long>",
-    )
-
-
-def taken_words(rows: DataFrame, by: DataFrame) -> DataFrame:
-    """``rows`` with their source's plan, ``block``, and ``rest``: the words of
-    the last, partial epoch."""
-    part = (
-        F.when((F.col("block") < F.col("full")) | (F.col("block") == F.col("full")) & (F.col("h") < F.col("cut")), F.col("size"))
-        .when((F.col("block") == F.col("full")) & (F.col("h") == F.col("cut")), F.expr("size * num div den"))
-        .otherwise(F.lit(0))
-    )
-    plans = F.broadcast(by.withColumnRenamed("source", "_s"))  # at most MAX_SOURCES rows
-    return (
-        rows.join(plans, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-        .withColumn("block", F.pmod("h", "blocks").cast("int")).withColumn("rest", part)
+    shards = max(1, math.ceil(words / shard_words))
+    leaves = splitting_tree(sources.select("sno", F.col("quota").alias("draws")), shards, seed)
+    drawn = leaves.select("shard", "sno", F.explode(F.expr("sequence(start, start + draws - 1)")).alias("draw"))  # a shard's blocks
+    own = sources.select("sno", "epochs", "blocks", "quota", "cutting")
+    drawn = drawn.join(F.broadcast(own) if _few(own) else own, "sno").select(
+        "sno", "shard", F.expr("cast(draw div blocks AS int)").alias("epoch"), F.expr("draw % blocks").alias("place"), (F.col("cutting") & (F.col("draw") == F.col("quota") - 1)).alias("partial")
     )
+    places = blocks.select("sno", "block", "blocks", F.explode(F.sequence(F.lit(0), F.col("epochs"))).alias("epoch"))
+    places = places.withColumn("place", place(F.col("block"), F.col("blocks"), F.col("sno"), F.col("epoch"), seed))
+    return sources, table(drawn.join(places, ["sno", "epoch", "place"]).select("sno", "block", "epoch", "shard", "partial"), "mix-draws")
+
+
+def _few(df: DataFrame) -> bool:
+    return df.limit(SMALL + 1).count() <= SMALL
+
+
+def _crossing(parts: DataFrame, order: str, rest: str, *keep: str) -> DataFrame:
+    """Of each source's parts in order, that in which ``rest`` words are exceeded or
+    met, with ``need``: how many of its words belong to them."""
+    ahead = Window.partitionBy("sno").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = parts.withColumn("upto", F.sum("words").over(ahead)).withColumn("need", F.col(rest) - F.col("upto") + F.col("words"))
+    return table(upto.filter((F.col("need") > 0) & (F.col("need") <= F.col("words"))).select("sno", order, "need", "words", *keep), "mix-crossing")
+
+
+def block_of() -> Column:
+    return F.pmod(F.col("h"), F.col("blocks"))
+
+
+def cut_words() -> Column:
+    """Words of a row that the cut of its block leaves."""
+    part = F.when(F.col("h") < F.col("cut"), F.col("size")).when(F.col("h") == F.col("cut"), F.expr("size * num div den"))
+    return part.otherwise(F.lit(0).cast("long"))
+
+
+def with_draws(rows: DataFrame, sources: DataFrame, draws: DataFrame, how: str) -> DataFrame:
+    """``rows`` with their source's columns and the draws of their block."""
+    known = with_source(rows, sources.drop("quota", "cutting")).withColumn("block", block_of())
+    return known.join(F.broadcast(draws) if _few(draws) else draws, ["sno", "block"], how)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    """What the mix of all documents takes of each."""
+    """What the mix of all documents takes of each: read from the drawn blocks."""
     rows = sized(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source")
-    return taken_words(rows, plan(rows)).select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("rest")).alias("taken")
-    )
+    sources, draws = plan(rows)
+    drawn = table(draws.groupBy("sno", "block").agg(F.count_if(~F.col("partial")).alias("times"), F.max("partial").alias("partial")), "mix-drawn")
+    taken = F.coalesce("times", F.lit(0).cast("long")) * F.col("size") + F.when(F.col("partial"), cut_words()).otherwise(F.lit(0).cast("long"))
+    return with_draws(rows, sources, drawn, "left").select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixing_targets(spark, sf_dir: str) -> DataFrame:
+    """The sources' sizes and targets."""
+    goals = targets(sized(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source"))
+    return goals.select(F.when(~F.col("none"), F.col("name")).alias("source"), "source_size", F.round("target", 3).alias("target"))
+
+
+TARGETS_SQL = f"""
+WITH RECURSIVE s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) AS BIGINT) AS n FROM documents GROUP BY source),
+o AS (SELECT source, n, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM s),
+t AS (SELECT {SHARE} * sum(n) AS total FROM o),
+b AS (SELECT 0 AS i, -1.0::DOUBLE AS last, (SELECT total FROM t) / ({CAP} * (SELECT sum(w) FROM o)) AS bound
+  UNION ALL SELECT i + 1, bound, ((SELECT total FROM t) - {CAP} * coalesce((SELECT sum(n) FROM o WHERE n / w < b.bound), 0)) / ({CAP} * (SELECT sum(w) FROM o WHERE n / w >= b.bound))
+  FROM b WHERE bound > last AND (SELECT sum(w) FROM o WHERE n / w >= b.bound) IS NOT NULL),
+e AS (SELECT max(bound) AS bound FROM b)
+SELECT source, n AS source_size, round(CASE WHEN n / w < e.bound THEN {CAP} * n ELSE e.bound * {CAP} * w END, 3) AS target FROM o, e
+"""
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, shard_col: str | None = None) -> DataFrame:
-    """The mix itself: each document as often as it is taken, dealt to shards and
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, shard_col: str | None = None, order_col: str | None = None) -> DataFrame:
+    """The mix itself: each document as often as it is drawn, dealt to shards and
     shuffled within them. Of a document that is cut the first words stay, joined
-    by single spaces. ``shard_col`` adds the shard's number."""
-    rows = sized(docs, id_col, text_col, source_col)
+    by single spaces. ``shard_col`` and ``order_col`` add the shard's number and the
+    order within it."""
+    sources, draws = plan(sized(docs, id_col, text_col, source_col), seed=seed)
     names = list(docs.columns)
-    all_ = fresh(names, "row")
+    all_ = fresh([*names, "id"], "row")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias(all_))
-    flat = packed.select(all_, F.col(f"{all_}.`{id_col}`").alias("id"), F.col(f"{all_}.`{source_col}`").alias("source"), n_words(F.col(f"{all_}.`{text_col}`")).alias("size"))
-    taken = taken_words(flat.withColumn("h", F.xxhash64("id")), plan(rows, seed=seed))
-    copies = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs")))).withColumn("words", F.when(F.col("epoch") < F.col("epochs"), F.col("size")).otherwise(F.col("rest")))
-    copies = copies.filter("words > 0").withColumn("draw", F.expr("epoch * blocks + block")).withColumn("shard", F.expr("size(filter(starts, x -> x <= draw)) - 1"))
-    cut = F.array_join(F.slice(F.filter(F.split(F.col(f"{all_}.`{text_col}`"), SPACE), lambda w: w != ""), 1, F.col("words").cast("int")), " ")
-    text = F.when(F.col("words") < F.col("size"), cut).otherwise(F.col(f"{all_}.`{text_col}`"))
-    order = F.xxhash64("id", "epoch", F.lit(seed))
-    dealt = copies.select("shard", order.alias("order"), *[(text if c == text_col else F.col(f"{all_}.`{c}`")).alias(f"c{i}") for i, c in enumerate(names)])
+    text, source = F.col(f"{all_}.`{text_col}`"), F.col(f"{all_}.`{source_col}`").cast("string")
+    flat = packed.select(all_, source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name"), n_words(text).alias("size"), F.xxhash64(F.col(f"{all_}.`{id_col}`"), text).alias("h"))
+    taken = with_draws(flat.filter("size > 0"), sources, draws, "inner").withColumn("words", F.when(F.col("partial"), cut_words()).otherwise(F.col("size"))).filter("words > 0")
+    cut = F.array_join(F.slice(F.filter(F.split(text, SPACE), lambda w: w != ""), 1, F.col("words").cast("int")), " ")
+    kept = F.when(F.col("words") < F.col("size"), cut).otherwise(text)
+    dealt = taken.select("shard", F.xxhash64("h", "epoch", F.lit(seed)).alias("order"), *[(kept if c == text_col else F.col(f"{all_}.`{c}`")).alias(f"c{i}") for i, c in enumerate(names)])
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", "order")
-    return dealt.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *([F.col("shard").alias(shard_col)] if shard_col else []))
+    extra = [F.col(c).alias(name) for c, name in (("shard", shard_col), ("order", order_col)) if name]
+    return dealt.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *extra)

@@ -8,7 +8,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         secret_scan.op1_secret_scan, mixing.op2_mixing, media_column.op3_media_column, decontamination.op4_decontamination, token_files.op6_token_files,
-        language_id.op7_language_id, simhash.op8_simhash, substring_dedup.op5_substring_dedup, token_counts.op10_token_counts, url_filter.op9_url_filter,
+        language_id.op7_language_id, simhash.op8_simhash, substring_dedup.op5_substring_dedup, token_counts.op10_token_counts, url_filter.op9_url_filter, mixing.mixing_targets,
     )
 }
-SQL = {"op1_secret_scan": secret_scan.OP1_SQL, "op5_substring_dedup": substring_dedup.OP5_SQL}
+SQL = {"op1_secret_scan": secret_scan.OP1_SQL, "op5_substring_dedup": substring_dedup.OP5_SQL, "mixing_targets": mixing.TARGETS_SQL}

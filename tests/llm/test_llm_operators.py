@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -47,36 +48,87 @@ def test_ownership_separates_copied_from_owned(spark):
     assert {(3, "owned", "owned"), (4, "owned", "owned"), (1, "assign", "copied")} <= got and not {5, 6} & {g[0] for g in got}
 
 
-def test_mixing(spark, docs, rows, sf):
+def goals(sizes):
+    """Targets by hand: round after round, sources above the cap stop at it."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, out, left = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, {}, 1.5 * sum(sizes.values())
+    while len(out) < len(order):
+        free = [s for s in order if s not in out]
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 2 * sizes[s]]
+        if not over:
+            return out | share
+        out |= {s: 2.0 * sizes[s] for s in over}
+        left -= sum(2 * sizes[s] for s in over)
+    return out
+
+
+def test_mixing(spark, docs, rows, sf, none, tmp_path):
     got = registry.QUERIES["op2_mixing"](spark, sf).collect()
     sizes = defaultdict(int)
     for _, t, _, s in rows:
         sizes[s] += len(words(t))
-    goal, taken = mixing.targets(sizes), Counter()
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    assert abs(sum(goal.values()) - 1.5 * sum(sizes.values())) < 1e-6 and all(goal[s] <= 2 * sizes[s] + 1e-9 for s in order)
+    goal, taken = goals(sizes), Counter()
     source = {i: s for i, _, _, s in rows if i is not None}
     for r in got:
         assert 0 <= r.taken <= 2 * r["size"]
         if r.doc_id is not None:
             taken[source[r.doc_id]] += r.taken
             assert r.source_size == sizes[source[r.doc_id]] and abs(r.target - goal[source[r.doc_id]]) < 1e-6
-    assert all(abs(taken[s] - goal[s]) <= 10 for s in order)
+    assert all(abs(taken[s] - goal[s]) <= 10 for s in sizes)
     again = registry.QUERIES["op2_mixing"](spark, sf).collect()
-    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again)) and len(got) == len(rows)
     out = mixing.mix(docs, shard_col="shard")
     assert out.columns == [*docs.columns, "shard"]
     per = Counter()
     for r in out.collect():
         per[r.source] += len(words(r.text))
-    assert all(abs(per[s] - goal[s]) <= 10 for s in order)
-
-
-def test_splitting_tree_is_exact():
-    q = [100, 7, 0, 33]
-    t = mixing.splitting_tree(q, 7, 1)
-    assert t.sum(0).tolist() == q and t.min() >= 0 and len(t) == 7 and max(t.sum(1)) - min(t.sum(1)) <= 2
-    assert (t == mixing.splitting_tree(q, 7, 1)).all()
+    assert all(abs(per[s] - goal[s]) <= 10 for s in sizes)
+    for name, df in (("none", none), ("blank", docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, " ")))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        empty = registry.QUERIES["op2_mixing"](spark, f"{tmp_path}/{name}").collect()
+        assert len(empty) == df.count() and all((r["size"], r.taken, r.target) == (0, 0, 0.0) for r in empty)
+        assert mixing.mix(df).count() == 0
+
+
+def test_targets_by_hand(spark):
+    rng = random.Random(8)
+    for _ in range(2):
+        sizes = {s: rng.choice([0, 1, 7, 100, 5000]) for s in [None, "", *(f"s{i}" for i in range(rng.randint(1, 9)))]}
+        df = spark.createDataFrame([(s is None, s or "", n) for s, n in sizes.items()], "none boolean, name string, size long")
+        got = {None if r.none else r.name: r.target for r in mixing.targets(df).collect()}
+        want = goals(sizes)
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in got)
+
+
+def test_what_is_taken_is_what_the_tree_draws(spark, docs, monkeypatch):
+    rows = mixing.sized(docs, "doc_id", "text", "source")
+    sources, draws = mixing.plan(rows, block_words=30, shard_words=300)
+    quota = {r.sno: r.quota for r in sources.collect()}
+    drawn = draws.collect()
+    places = Counter(r.sno for r in drawn)
+    assert all(0 < places[s] <= n if n else not places[s] for s, n in quota.items())  # blocks without words have no row
+    assert len({r.shard for r in drawn}) > 5 and len({(r.sno, r.block, r.epoch) for r in drawn}) == len(drawn)
+    other = mixing.plan(rows, block_words=30, shard_words=300, seed=1)[1].collect()
+    assert {tuple(r) for r in other} != {tuple(r) for r in drawn}
+    monkeypatch.setattr(mixing, "splitting_tree", lambda quotas, shards, seed=0: quotas.select(F.lit(0).cast("long").alias("shard"), "sno", F.lit(0).cast("long").alias("start"), "draws").limit(0))
+    assert mixing.plan(rows)[1].count() == 0
+
+
+@pytest.mark.parametrize("shards", [1, 7, 200])
+def test_splitting_tree_is_exact(spark, shards):
+    q = [1000, 70, 0, 333]
+    quotas = spark.createDataFrame(list(enumerate(q)), "sno long, draws long")
+    t = mixing.splitting_tree(quotas, shards, 1).collect()
+    assert sorted(t) == sorted(mixing.splitting_tree(quotas, shards, 1).collect())
+    for s, n in enumerate(q):
+        own = sorted((r.start, r.draws, r.shard) for r in t if r.sno == s)
+        assert sum(d for _, d, _ in own) == n and [r[2] for r in own] == sorted(r[2] for r in own)
+        assert all(a + d == b for (a, d, _), (b, _, _) in zip(own, own[1:])) and (not own or own[0][0] == 0)
+    per = Counter()
+    for r in t:
+        per[r.shard] += r.draws
+    assert max(per.values()) - min(per.values()) <= 9 and len(per) == shards
 
 
 def test_media_round_trip(spark, docs, rows):
@@ -234,8 +286,6 @@ def test_simhash(docs, rows, none):
 
 @pytest.mark.parametrize("bucket", [1, 3, 32])
 def test_links_connect_what_is_near(spark, bucket):
-    import random
-
     rng = random.Random(4)
     centres = [rng.getrandbits(64) for _ in range(12)]
     fps = sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for c in centres for _ in range(14)})
