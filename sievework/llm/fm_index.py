@@ -68,31 +68,63 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    """``text``: dense symbols from 0; ``depth``: the longest pattern."""
+    """``text``: dense symbols from 0, which nothing matches; ``depth``: the longest
+    pattern; ``weight`` of each position: how often its sequence is held."""
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, depth: int, weight: np.ndarray | None = None):
         text = np.append(text + 1, 0)  # an end that no pattern has
         order = suffix_order(text, depth)
         self.tree = WaveletTree(text[order - 1])
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=int(text.max()) + 1))])
         self.n = len(text)
+        held = np.ones(self.n, np.int64) if weight is None else np.append(weight, 0)[order]
+        self.held = np.concatenate([[0], np.cumsum(held)])
 
-    def matching(self, stream: np.ndarray, ends: np.ndarray, most: int, least_count: int = 2) -> np.ndarray:
+    def matching(self, stream: np.ndarray, ends: np.ndarray, most: np.ndarray | int, least_count: int = 2) -> np.ndarray:
         """Matching statistics: for each end position in ``stream``, the length (up
         to ``most``) of the longest run of symbols ending there (inclusive) that
         the index holds ``least_count`` times. Searches advance together."""
         length = np.zeros(len(ends), np.int64)
-        live = np.arange(len(ends))
-        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
-        for step in range(most):
-            at = ends[live] - step
-            ok = at >= 0
-            live, lo, hi, at = live[ok], lo[ok], hi[ok], at[ok]
-            c = stream[at] + 1
+        most = np.minimum(ends + 1, most)
+        live = np.flatnonzero(most > 0)
+        lo, hi = np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64)
+        step = 0
+        while len(live):
+            symbol = stream[ends[live] - step]
+            c = symbol + 1
             lo, hi = self.before[c] + self.tree.rank(c, lo), self.before[c] + self.tree.rank(c, hi)
-            ok = hi - lo >= least_count
+            step += 1
+            ok = (symbol > 0) & (self.held[hi] - self.held[lo] >= least_count)
+            length[live[ok]] = step
+            ok &= most[live] > step
             live, lo, hi = live[ok], lo[ok], hi[ok]
-            if not len(live):
-                break
-            length[live] = step + 1
         return length
+
+    def repeats(self, stream: np.ndarray, first: np.ndarray, size: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pattern, offset, n): runs of n windows of the patterns
+        ``stream[first : first + size]`` that the index holds twice.
+
+        A search from a pattern's end reports all windows within its match. Where it
+        breaks, at p, the shortest of some runs from p on that are held once is
+        found, and the search goes on before that run's end, since all windows
+        over it fail."""
+        out = []
+        live, end = np.flatnonzero(size >= window), (first + size - 1)[size >= window]
+        while len(live):
+            length = self.matching(stream, end, end - first[live] + 1)
+            full = length >= window
+            out.append((live[full], (end - length + 1 - first[live])[full], (length - window + 1)[full]))
+            at = end - length
+            more = at >= first[live]
+            live, at, end = live[more], at[more], end[more]
+            once = end.copy()  # the end of a run from ``at`` on that is held once
+            open_, n = np.arange(len(at)), 1
+            while len(open_):
+                open_ = open_[at[open_] + n - 1 < end[open_]]
+                held = self.matching(stream, at[open_] + n - 1, n) >= n
+                once[open_[~held]] = (at[open_] + n - 1)[~held]
+                open_, n = open_[held], 2 * n
+            end = np.minimum(at + window - 1, once - 1)
+            more = end - first[live] + 1 >= window
+            live, end = live[more], end[more]
+        return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))

@@ -3,16 +3,19 @@
 A window's anchor is the least hash among its runs of ``GRAM`` words; equal windows
 have equal anchors, so documents are cut into segments of windows that share one
 anchor occurrence, and only segments whose anchor occurs again can hold a
-repeat. Equal segments are aggregated: all their windows are repeats. Distinct
-segments with one anchor go to that anchor's shard, whose FM-index gives the
-matching statistics of the shard's segments; windows that match in full elsewhere
-are repeats. An anchor with more than ``CROWD`` distinct segments has them cut
-once more by second anchors; windows still crowded are counted by hash, so that
-no shard grows with one passage.
+repeat. Each distinct segment of such an anchor goes once, with the number of its
+copies, to the anchor's shard. The shard's FM-index gives the matching statistics
+of its segments, and windows that it holds twice, copies counted, are repeats. The
+index decides every window whose anchor occurs again; hashes only bring together
+what may be equal.
+
+An anchor with more than ``CROWD`` distinct segments would make a shard grow with
+one passage. Its segments are cut once more by second anchors, and those still
+crowded into single windows, which are their own anchors; the same index decides.
 
 Defined results: null and short texts lose nothing; repeated rows are documents
-of their own, hence repeats of one another; null ids are kept; an empty table
-gives no rows; other columns are not read.
+of their own, hence repeats of one another; null ids are kept; very long texts are
+cut like others, whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,16 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import join_counted, remove, shared_dir, table
+from .shared import join_counted, join_salted, remove, shared_dir, table
 
 WINDOW = 35
 GRAM = 6
 CROWD = 500
 #: Segments of one FM-index shard, about.
-SHARD = 4000
+SHARD = 6000
 PRIME = 0x9E3779B97F4A7C15
-#: Stands for a null id within the operator (pandas has no null integers); reserved.
-NULL_ID = -(2**63)
 INVERSE = pow(PRIME, -1, 1 << 64)
 
 
@@ -88,74 +89,78 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             })
 
 
+UNIT = "anchor long, body long, c long, n int, words binary"
+
+
 def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The words of wanted segments, as the bytes of their hashes."""
     for f in frames:
-        out: dict[str, list] = {k: [] for k in ("id", "th", "start", "n", "anchor", "ask", "crowd", "words")}
-        for d, th, t, want in zip(f["id"], f["th"], f["text"], f["want"]):
+        out: dict[str, list] = {k: [] for k in ("anchor", "body", "c", "n", "crowd", "words")}
+        for t, want in zip(f["text"], f["want"]):
             h = word_hashes(t)
             for w in want:
-                out["id"].append(d), out["th"].append(th)
-                for k in ("start", "n", "anchor", "ask", "crowd"):
+                for k in ("anchor", "body", "c", "n", "crowd"):
                     out[k].append(w[k])
                 out["words"].append(h[w["start"] : w["start"] + w["n"] + WINDOW - 1].tobytes())
         yield pd.DataFrame(out)
 
 
 SECOND = 0xFFFFFFFFFFFFFFFF
-CUT = "id long, th long, start int, n int, anchor long, body long, ask boolean, words binary"
+#: A part of a segment (anchor0, body0) from its window ``off`` on, as a unit of its own.
+PART = f"anchor0 long, body0 long, off int, {UNIT}"
 
 
 def _again(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Crowded segments, cut once more by the greatest hash of their windows; the
     new anchor stands for both."""
     for f in frames:
-        out: dict[str, list] = {k: [] for k in ("id", "th", "start", "n", "anchor", "body", "ask", "words")}
+        out: dict[str, list] = {k: [] for k in ("anchor0", "body0", "off", "anchor", "body", "c", "n", "words")}
         for r in f.itertuples(index=False):
             h = np.frombuffer(r.words, np.uint64)
             for first, n, anchor, body in zip(*(x.tolist() for x in segments(h, WINDOW, SECOND))):
                 both = (r.anchor * PRIME + anchor) % (1 << 64)
-                for k, v in zip(out, (r.id, r.th, r.start + first, n, both - (both >> 63 << 64), body, r.ask, h[first : first + n + WINDOW - 1].tobytes())):
+                for k, v in zip(out, (r.anchor, r.body, first, both - (both >> 63 << 64), body, r.c, n, h[first : first + n + WINDOW - 1].tobytes())):
+                    out[k].append(v)
+        yield pd.DataFrame(out)
+
+
+def _windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each window of units that are crowded still, as a unit of its own."""
+    for f in frames:
+        out: dict[str, list] = {k: [] for k in ("anchor0", "body0", "off", "anchor", "body", "c", "n", "words")}
+        for r in f.itertuples(index=False):
+            h = np.frombuffer(r.words, np.uint64)
+            for i, w in enumerate(run_hashes(h, np.arange(r.n), WINDOW).astype(np.int64).tolist()):
+                for k, v in zip(out, (r.anchor, r.body, i, w, w, r.c, 1, h[i : i + WINDOW].tobytes())):
                     out[k].append(v)
         yield pd.DataFrame(out)
 
 
+FOUND = "anchor long, body long, off int, run int"
+
+
 def _search(shard: pd.DataFrame) -> pd.DataFrame:
-    """Window runs of the shard's asked segments that occur elsewhere in it."""
-    shard = shard.reset_index(drop=True)
+    """Runs of repeated windows of the shard's units."""
     parts = [np.frombuffer(w, np.uint64) for w in shard["words"]]
-    sizes = np.array([len(p) for p in parts])
-    values, ids = np.unique(np.concatenate(parts), return_inverse=True)
-    at = np.cumsum(sizes + 1) - (sizes + 1)  # one separator, symbol 0, after each
+    sizes, c = np.array([len(p) for p in parts]), shard["c"].to_numpy()
+    values, ids, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    held = np.bincount(ids, np.repeat(c, sizes)) if len(ids) else count
+    some = held > 1  # words held once match nothing: symbol 0, as the separators after segments
+    symbol = np.where(some, np.cumsum(some), 0)
+    at = np.cumsum(sizes + 1) - (sizes + 1)
     text = np.zeros(int((sizes + 1).sum()), np.int64)
-    text[np.arange(len(ids)) + np.repeat(np.arange(len(parts)), sizes)] = ids + 1
-    index = FMIndex(text, WINDOW)
-    asked = np.flatnonzero(shard["ask"].to_numpy(bool))
-    count = shard["n"].to_numpy()[asked]
-    owner = np.repeat(asked, count)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    full = index.matching(text, at[owner] + offset + WINDOW - 1, WINDOW) >= WINDOW
-    owner, offset = owner[full], offset[full]
-    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(owner) else np.zeros(0, int)
-    first = shard.iloc[owner[new]] if len(owner) else shard.iloc[:0]
-    return pd.DataFrame({"id": first["id"].array, "th": first["th"].array, "start": first["start"].to_numpy() + offset[new], "n": np.diff(np.append(new, len(owner)))})
+    text[np.arange(len(ids)) + np.repeat(np.arange(len(parts)), sizes)] = symbol[ids]
+    index = FMIndex(text, int(sizes.max()), np.repeat(c, sizes + 1))
+    owner, off, n = index.repeats(text, at, sizes, WINDOW)
+    return pd.DataFrame({"anchor": shard["anchor"].to_numpy()[owner], "body": shard["body"].to_numpy()[owner], "off": off, "run": n})
 
 
 RUN = "id long, th long, start int, n int"
 
 
-def _windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each window of crowded segments by its hash."""
-    for f in frames:
-        n = f["n"].to_numpy(np.int64)
-        offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        h = [run_hashes(np.frombuffer(w, np.uint64), np.arange(k), WINDOW).astype(np.int64) for w, k in zip(f["words"], n)]
-        yield pd.DataFrame({"id": f["id"].repeat(n), "th": f["th"].repeat(n), "start": np.repeat(f["start"].to_numpy(), n) + offset, "anchor": f["anchor"].repeat(n), "window": np.concatenate(h) if h else []})
-
-
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(id, th, start, n): runs of n repeated windows of the documents with that
-    id and text hash. ``docs``: id (not null), th (xxhash64 of the text), text."""
+    id and text hash. ``docs``: id (not null), th (a hash of the text), text."""
     spark = docs.sparkSession
     first = shared_dir(spark, "segments")
     docs.mapInPandas(_scan, f"{RUN}, anchor long, body long").write.parquet(first)
@@ -164,49 +169,57 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     again = table(again, "anchors-again")
     maybe = table(join_counted(runs, again, ["anchor"], "c").drop("c"), "segments-again")
     remove(spark, first)  # both tables made of it are written
-    one = F.min(F.struct("id", "th", "start", "n")).alias("at")
-    bodies = table(maybe.groupBy("anchor", "body").agg(F.count("*").alias("c"), one), "segment-bodies")
-    equal_bodies = bodies.filter("c > 1").select("anchor", "body", "c")
-    whole = join_counted(maybe, equal_bodies, ["anchor", "body"], "c").select("id", "th", "start", "n")
+    bodies = table(maybe.groupBy("anchor", "body").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "start", "n")).alias("at")), "segment-bodies")
+    anchors = table(bodies.groupBy("anchor").agg(F.count("*").alias("bodies")), "segment-anchors")
     wanted = (
-        join_counted(bodies, _shared_anchors(bodies), ["anchor"], "bodies")
-        .select("at.id", "at.th", F.struct("at.start", "at.n", "anchor", (F.col("c") == 1).alias("ask"), (F.col("bodies") > CROWD).alias("crowd")).alias("w"))
+        join_counted(bodies, anchors, ["anchor"], "bodies")
+        .select("at.id", "at.th", F.struct("at.start", "at.n", "anchor", "body", "c", (F.col("bodies") > CROWD).alias("crowd")).alias("w"))
         .groupBy("id", "th").agg(F.collect_list("w").alias("want"))  # segments of one document
     )
     cut = docs.alias("d").join(wanted.alias("w"), (F.col("d.id") == F.col("w.id")) & (F.col("d.th") == F.col("w.th"))).select("d.*", "want")
-    cut = cut.mapInPandas(_cut, "id long, th long, start int, n int, anchor long, ask boolean, crowd boolean, words binary")
-    cut = table(cut.dropDuplicates(["id", "th", "start"]), "segment-words")
+    cut = table(cut.dropDuplicates(["id", "th"]).select("text", "want").mapInPandas(_cut, "anchor long, body long, c long, n int, crowd boolean, words binary"), "segment-words")
     found = _sharded(cut.filter("NOT crowd"))
-    # Crowded anchors: the same once more by second anchors.
-    cut = table(cut.filter("crowd").mapInPandas(_again, CUT), "crowded-words")
-    bodies = table(cut.groupBy("anchor", "body").agg(F.count("*").alias("c")), "crowded-bodies")
-    equal = join_counted(cut, bodies.filter("c > 1"), ["anchor", "body"], "c").select("id", "th", "start", "n")
-    shared = table(join_counted(bodies, _shared_anchors(bodies), ["anchor"], "bodies"), "crowded-shared")
-    left = join_counted(cut.drop("ask"), shared, ["anchor", "body"], "c").withColumn("ask", F.col("c") == 1)
-    left = table(left.dropDuplicates(["anchor", "body"]), "crowded-left")
-    second = _sharded(left.filter(F.col("bodies") <= CROWD))
-    # What is crowded still: windows, counted.
-    windows = left.filter(F.col("bodies") > CROWD).mapInPandas(_windows, "id long, th long, start int, anchor long, window long")
-    several = table(windows.groupBy("anchor", "window").agg(F.count("*").alias("c")).filter("c > 1"), "crowded-windows")
-    counted = join_counted(windows, several, ["anchor", "window"], "c").select("id", "th", "start", F.lit(1).alias("n"))
-    return whole.unionByName(found).unionByName(equal).unionByName(second).unionByName(counted)
-
-
-def _shared_anchors(bodies: DataFrame) -> DataFrame:
-    """Anchors of several distinct segments, one of which at least occurs once."""
-    return table(bodies.groupBy("anchor").agg(F.count("*").alias("bodies"), F.min("c").alias("least")).filter("bodies > 1 AND least = 1").drop("least"), "segment-anchors")
-
-
-def _sharded(cut: DataFrame) -> DataFrame:
-    """Repeats among segments (with their words), by an FM-index a shard."""
-    shards = max(1, cut.count() // SHARD)
-    return cut.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(_search, RUN)
+    # Crowded anchors: the same by second anchors, then by windows.
+    parts, units, crowded = _parts(cut.filter("crowd").mapInPandas(_again, PART), "crowded")
+    found = found.unionByName(_to_parents(_sharded(units), parts))
+    windows, units, rest = _parts(crowded.mapInPandas(_windows, PART), "windows")
+    units = units.unionByName(rest)  # a window is its own anchor: one unit, or several whose hashes collide
+    found = found.unionByName(_to_parents(_to_parents(_sharded(units), windows), parts))
+    counts = bodies.select("anchor", "body", "c")
+    found = found.groupBy("anchor", "body").agg(F.collect_set(F.struct("off", "run")).alias("runs"))  # within one segment
+    found = table(found.join(counts, ["anchor", "body"]), "segment-repeats")
+    return join_counted(maybe.drop("n"), found, ["anchor", "body"], "c").select("id", "th", "start", F.explode("runs").alias("r")).select("id", "th", (F.col("start") + F.col("r.off")).alias("start"), F.col("r.run").alias("n"))
+
+
+def _parts(cut: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts of segments (``PART``), written without their words; the distinct units
+    among them whose anchor occurs again, with the number of their copies: those
+    that an index may hold, and those of crowded anchors."""
+    cut = table(cut, f"{name}-parts")
+    units = cut.groupBy("anchor", "body").agg(F.sum("c").alias("c"), F.first("n").alias("n"), F.first("words").alias("words"))
+    units = table(units, f"{name}-units")
+    anchors = table(units.groupBy("anchor").agg(F.count("*").alias("bodies"), F.sum("c").alias("all")).filter("all > 1"), f"{name}-anchors")
+    units = table(join_counted(units, anchors, ["anchor"], "bodies").drop("all"), f"{name}-again")
+    return cut.select("anchor0", "body0", "off", "anchor", "body"), units.filter(F.col("bodies") <= CROWD), units.filter(F.col("bodies") > CROWD)
+
+
+def _to_parents(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """Runs found in units as runs of the segments that they are parts of."""
+    met = join_salted(parts.withColumnRenamed("off", "_from"), found, ["anchor", "body"])
+    return met.select(F.col("anchor0").alias("anchor"), F.col("body0").alias("body"), (F.col("_from") + F.col("off")).alias("off"), "run")
+
+
+def _sharded(units: DataFrame) -> DataFrame:
+    """Runs of repeated windows of units (with their words), by an FM-index a shard."""
+    shards = max(1, units.count() // SHARD)
+    units = units.select("anchor", "body", "c", "words", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    return units.groupBy("shard").applyInPandas(_search, FOUND)
 
 
 def _strip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        out: dict[str, list] = {k: [] for k in ("id", "n_words", "n_removed", "kept")}
-        for d, t, runs in zip(f["id"], f["text"], f["runs"]):
+        out: dict[str, list] = {k: [] for k in ("id", "none", "n_words", "n_removed", "kept")}
+        for d, none, t, runs in zip(f["id"], f["none"], f["text"], f["runs"]):
             words = t.encode("utf-8", "surrogatepass").split() if isinstance(t, str) else []
             change = np.zeros(len(words) + 1, np.int64)
             if runs is not None:
@@ -215,18 +228,19 @@ def _strip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     change[r["start"] + r["n"] + WINDOW - 1] -= 1
             gone = np.cumsum(change)[:-1] > 0
             kept = [w for w, g in zip(words, gone) if not g] if gone.any() else words
-            out["id"].append(d), out["n_words"].append(len(words)), out["n_removed"].append(len(words) - len(kept))
+            out["id"].append(d), out["none"].append(none), out["n_words"].append(len(words)), out["n_removed"].append(len(words) - len(kept))
             out["kept"].append(b" ".join(kept).decode("utf-8", "surrogatepass"))
         yield pd.DataFrame(out)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, n_words, n_removed, kept (the text that is left)."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    runs = repeated_windows(rows).groupBy("id", "th").agg(F.collect_set(F.struct("start", "n")).alias("runs"))  # runs of one document
+    own, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    rows = docs.select(F.coalesce(own, F.lit(0).cast("long")).alias("id"), own.isNull().alias("none"), F.xxhash64(text, own.isNull()).alias("th"), text.alias("text"))
+    runs = repeated_windows(rows.drop("none")).groupBy("id", "th").agg(F.collect_set(F.struct("start", "n")).alias("runs"))  # runs of one document
     joined = rows.alias("d").join(runs.alias("r"), (F.col("d.id") == F.col("r.id")) & (F.col("d.th") == F.col("r.th")), "left")
-    out = joined.select("d.id", "text", "runs").mapInPandas(_strip, "id long, n_words long, n_removed long, kept string")
-    return out.withColumn("id", F.nullif("id", F.lit(NULL_ID)))
+    out = joined.select("d.id", "none", "text", "runs").mapInPandas(_strip, "id long, none boolean, n_words long, n_removed long, kept string")
+    return out.select(F.when(~F.col("none"), F.col("id")).alias("id"), "n_words", "n_removed", "kept")
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:

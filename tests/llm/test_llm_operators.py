@@ -217,6 +217,23 @@ def test_fm_index():
     for e in range(0, 800, 7):
         best = max(k for k in range(0, min(12, e + 1) + 1) if k == 0 or count[tuple(text[e - k + 1 : e + 1])] >= 2)
         assert got[e] == best
+    # Runs of repeated windows, symbol 0 matching nothing, some sequences held twice.
+    for size in (3, 6):
+        text = rng.integers(0, 4, 600)
+        text[::30] = 0
+        weight = np.where(np.arange(600) // 30 % 5 == 0, 2, 1)
+        index = fm_index.FMIndex(text, 29, weight)
+        first, held = np.arange(1, 600, 30), Counter()
+        for i in range(600 - size + 1):
+            held[tuple(text[i : i + size])] += weight[i]
+        want = {(k, i) for k, a in enumerate(first) for i in range(29 - size + 1) if (w := tuple(text[a + i : a + i + size])) and 0 not in w and held[w] > 1}
+        runs = list(zip(*(x.tolist() for x in index.repeats(text, first, np.full(20, 29), size))))
+        assert {(k, o + i) for k, o, n in runs for i in range(n)} == want and sum(n for *_, n in runs) == len(want) > 10
+
+
+def test_the_index_decides_repeats(docs, rows, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_sharded", lambda units: units.sparkSession.createDataFrame([], substring_dedup.FOUND))
+    assert {r.n_removed for r in substring_dedup.substring_dedup(docs).collect()} == {0}
 
 
 def test_token_files(spark, docs, rows, none, tmp_path):
