@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages, each over all that the one before kept."""
+"""The corpus pipeline: five stages, each over all that the one before kept.
+
+Rows with null or equal ids are decided by their texts and by hashes of row and
+text. Null, empty and wordless texts have no language and go with the first stage;
+of repeated rows and ties the second keeps one; a very long text is read whole by
+every stage; an empty table stays empty; other columns are carried, whatever their
+names, up to the last stage. The first four stages return the columns of their
+input; the last needs a written table, whose files and rows it goes by.
+"""
 
 from __future__ import annotations
 
@@ -38,8 +46,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write token files and report them: doc_id, start, n_tokens, ids_crc32."""
-    return token_files.token_files(docs)
+    """Write token files and report them: doc_id, start, n_tokens, ids_crc32. The
+    documents lie in the order of the mix: that of its files and their rows."""
+    return token_files.token_files(docs, order=[F.col("_metadata.file_name"), F.col("_metadata.row_index")])
 
 
 STAGES = [("language ID", languages), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", decontaminate), ("mixing to target weights", mix), ("token files", tokens)]

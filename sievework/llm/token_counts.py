@@ -7,9 +7,8 @@ rule for tokens that cross a boundary: a token belongs to the section that holds
 its first byte; tokens before, between or after sections go to section -1.
 
 Defined results: a null or empty text has one empty section with no tokens; null
-ids keep their rows (the least 64-bit integer stands for them inside and is
-reserved); repeated rows each give rows; an empty table gives none;
-other columns are not read.
+ids keep their rows; repeated rows each give rows; a very long text is encoded
+whole; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .token_files import NULL_ID, encoder, id_type, tokenizer_file
+from .token_files import encoder, id_type, tokenizer_file
 
-SCHEMA = "id long, section int, start long, end long, n_tokens long, n_crossing long"
+SCHEMA = "id long, none boolean, section int, start long, end long, n_tokens long, n_crossing long"
 
 
 def lines(text: str) -> list[tuple[int, int]]:
@@ -75,18 +74,20 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, lengths = encoder(path, dtype), token_bytes(path)
         for f in frames:
-            rows, ids = [], []
-            for d, t in zip(f["id"], f["text"]):
+            rows, ids, none = [], [], []
+            for d, null, t in zip(f["id"], f["none"], f["text"]):
                 t = t if isinstance(t, str) else ""
                 found = attribute(t, np.frombuffer(encode(t), dtype), lengths, (sections(t) if t else []) or [(0, 0)])
                 rows += found
                 ids += [d] * len(found)
+                none += [null] * len(found)
             out = pd.DataFrame(rows, columns=["section", "start", "end", "n_tokens", "n_crossing"])
-            out["id"] = ids
-            yield out[["id", "section", "start", "end", "n_tokens", "n_crossing"]]
+            out["id"], out["none"] = ids, none
+            yield out[["id", "none", "section", "start", "end", "n_tokens", "n_crossing"]]
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(count, SCHEMA).withColumn("id", F.nullif("id", F.lit(NULL_ID)))
+    own = F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(F.coalesce(own, F.lit(0).cast("long")).alias("id"), own.isNull().alias("none"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInPandas(count, SCHEMA).withColumn("id", F.when(~F.col("none"), F.col("id"))).drop("none")
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:

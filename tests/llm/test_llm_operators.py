@@ -249,6 +249,17 @@ def test_token_files(spark, docs, rows, none, tmp_path):
         at += n
     assert Counter((r[0], r[2], r[3]) for r in got) == want
     assert token_files.token_files(none).count() == 0
+    # A reader that knows the folder alone.
+    out = f"file://{tmp_path}/files"
+    token_files.write_token_files(docs, out, order=[-F.length(F.coalesce("text", F.lit("")))])
+    texts, base = [], 0
+    for line in token_files.read_manifest(out):
+        ids, off, names = token_files.open_part(out, line["part"], line["dtype"])
+        assert line["base"] == base and len(ids) == line["tokens"] == off[-1] and len(names) == line["docs"]
+        base += line["tokens"]
+        texts += [(n, tok.decode(ids[a : b - 1].tolist(), skip_special_tokens=False)) for n, a, b in zip(names, off.tolist(), off[1:].tolist())]
+    assert Counter(texts) == Counter((r[0], r[1] or "") for r in rows)
+    assert [len(t) for _, t in texts] == sorted((len(r[1] or "") for r in rows), reverse=True)
 
 
 def test_language_id(spark, none):
@@ -352,12 +363,18 @@ def test_token_counts(docs, rows, none):
     assert [g[3] for g in got[:2]] == [inside(1, 4), inside(5, 8)] and sum(g[3] for g in got) == len(ids)
 
 
-def test_pipeline_stages(spark, docs, none, sf):
+def test_pipeline_stages(spark, docs, none, sf, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name
         assert stage(spark, none, sf).count() == 0, name
     assert corpus_pipeline.run(spark, sf).count() > 0
+    # The last stage keeps the order of the mix.
+    mixing.mix(docs, seed=3).coalesce(2).write.parquet(f"{tmp_path}/mix")
+    mixed = spark.read.parquet(f"{tmp_path}/mix")
+    want = [r.doc_id for r in mixed.select("doc_id", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()]
+    got = [r.doc_id for r in corpus_pipeline.tokens(spark, mixed, sf).orderBy("start").collect()]
+    assert got == want and want != sorted(want, key=lambda i: (i is not None, i or 0))
 
 
 def leaking(spark, item, *texts):
