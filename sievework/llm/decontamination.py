@@ -137,9 +137,9 @@ class Template:
         self.starts = np.cumsum(self.lengths) - self.lengths
 
 
-def split_words(texts: list) -> tuple[pa.Array, np.ndarray]:
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts (null: none), and how many each text has."""
-    lists = pc.ascii_split_whitespace(pa.array([t if isinstance(t, str) else "" for t in texts], pa.large_string()))
+    lists = pc.ascii_split_whitespace(texts.fill_null(""))
     words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     empty = pc.equal(words, "").to_numpy(zero_copy_only=False)  # before leading and after trailing white space
     if empty.any():
@@ -217,7 +217,7 @@ class Wanted:
         return out.astype(bool)
 
 
-def _hits(texts: list, ids: np.ndarray, sizes: list[int] | None, wanted: Wanted | None) -> pd.DataFrame:
+def _hits(texts: pa.Array, ids: np.ndarray, sizes: list[int] | None, wanted: Wanted | None) -> pd.DataFrame:
     """Rows of ``SCHEMA``: windows of the texts, the wanted ones if given, with the
     text's hash and 8 bytes of hash for each slot's value. With no ``sizes`` each text
     has windows of the size that suits it: it is an item. A negative size is that of
@@ -279,24 +279,26 @@ def _value(words: pa.Array, a: int, b: int, second: bool) -> bytes:
 
 
 SCHEMA = "id long, ver long, h long, pos int, size int, slots binary"
-#: Characters of texts that are scanned together.
-TOGETHER = 2_000_000
+ARROW = pa.schema([("id", pa.int64()), ("ver", pa.int64()), ("h", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("slots", pa.binary())])
+#: Bytes of texts that are scanned together.
+TOGETHER = 1_000_000
 
 
 def template_windows(df: DataFrame, id_col: str, text_col: str, sizes=None, wanted: Wanted | None = None) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast((wanted.power, wanted.bits)) if wanted is not None else None
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = Wanted(*shared.value) if shared else None
-        for f in frames:
-            texts, ids = f["t"].tolist(), f["i"].to_numpy(np.int64)
-            length = np.cumsum([len(t) if isinstance(t, str) else 0 for t in texts])
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            length = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             for a, b in _runs(length // TOGETHER):
-                found = _hits(texts[a:b], ids[a:b], sizes, keep)
+                found = _hits(texts.slice(a, b - a), ids[a:b], sizes, keep)
                 if len(found):
-                    yield found
+                    yield pa.RecordBatch.from_pandas(found, ARROW, preserve_index=False)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
-    return df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL").mapInPandas(run, SCHEMA)
+    return df.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).filter("i IS NOT NULL").mapInArrow(run, SCHEMA)
 
 
 def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
