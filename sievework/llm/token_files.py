@@ -121,10 +121,10 @@ def encoder(path: str, dtype: str):
     return encode
 
 
-def _batches(columns: tuple, n: int = 256):
-    """Rows of an Arrow batch in lists of at most ``n``."""
-    for k in range(0, len(columns[0]), n):
-        yield tuple(c[k : k + n] for c in columns)
+def _batches(batch: pa.RecordBatch, n: int = 256):
+    """The columns of an Arrow batch as lists of at most ``n`` rows."""
+    for k in range(0, batch.num_rows, n):
+        yield tuple(c.to_pylist() for c in batch.slice(k, n).columns)
 
 
 def file_system(uri: str):
@@ -146,7 +146,7 @@ def _writer(out: str, path: str, dtype: str, end_id: int):
         docs = tokens = 0
         files = None
         for batch in batches:
-            for ids, texts in _batches((batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            for ids, texts in _batches(batch):
                 if files is None:
                     files = [fs.open_output_stream(f"{own}.{x}") for x in FILES]
                     files[1].write(np.zeros(1, "<i8").tobytes())
