@@ -20,6 +20,12 @@ SEVERITY = {
 QUERY_CODES = ("query_eq_caption", "query_near_caption", "query_too_short", "query_too_long", "query_boilerplate", "duplicate_query_frequent", "empty_field")
 UNRELATED_CODES = ("offline_unrelated", "generic_unrelated", "unrelated_eq_query", "unrelated_eq_caption", "duplicate_unrelated_frequent", "empty_field")
 CAPTION_CODES = ("captions_not_diverse", "caption_too_short")
+# The codes that the report's estimates count, which differ from those above.
+ESTIMATES = {
+    "query": ("query_eq_caption", "query_near_caption", "query_too_short", "query_boilerplate", "duplicate_query_frequent", "empty_field"),
+    "unrelated": ("offline_unrelated", "generic_unrelated", "unrelated_eq_query", "unrelated_eq_caption", "duplicate_unrelated_frequent", "empty_field"),
+    "captions": ("captions_not_diverse", "caption_too_short", "empty_field"),
+}
 
 
 def reasons(rows: DataFrame) -> DataFrame:
@@ -65,20 +71,26 @@ def with_frequencies(rows: DataFrame) -> DataFrame:
 
 
 def flags(rows: DataFrame, query_threshold: int = 15, unrelated_threshold: int = 100, overlap: float = 0.85, min_query: int = 8, max_query: int = 120, min_caption: int = 12) -> DataFrame:
-    """Adds flags (code, severity), codes, max_severity."""
-    cap = F.filter(F.transform("captions", T.strip), lambda c: c != "")
-    q, u = T.strip(F.col("query")), T.strip(F.col("unrelated_query"))
-    nq, nu = T.norm_quality(q), T.norm_quality(u)
+    """Adds flags (code, severity), codes, max_severity. Null captions are none.
+
+    Normal forms and token sets are columns of a step of their own, so that pairs of
+    captions compare what is already there."""
+    form = lambda c: F.struct(c.alias("t"), T.norm_quality(c).alias("n"), T.token_set(c).alias("k"))
+    trimmed = F.filter(F.transform(F.coalesce("captions", F.array().cast("array<string>")), T.strip), lambda c: c != "")
+    names = ("_cap", "_q", "_u")
+    rows = with_frequencies(rows).withColumn("_cap", F.transform(trimmed, form)).withColumns({"_q": form(T.strip(F.col("query"))), "_u": form(T.strip(F.col("unrelated_query")))})
+    cap, q, u, nq, nu = F.col("_cap"), F.col("_q.t"), F.col("_u.t"), F.col("_q.n"), F.col("_u.n")
     flag = lambda code: F.struct(F.lit(code).alias("code"), F.lit(SEVERITY.get(code, 10)).alias("severity"))
     on = lambda cond, code: F.when(cond, flag(code))
-    hit = F.try_element_at(F.filter(F.transform(cap, lambda c: F.when(T.norm_quality(c) == nq, "query_eq_caption").when(T.overlap_ratio(q, c) >= overlap, "query_near_caption")), lambda x: x.isNotNull()), F.lit(1))
-    pair = F.exists(F.sequence(F.lit(1), F.size(cap)), lambda i: F.exists(F.slice(cap, i + 1, F.size(cap)), lambda b: T.near_duplicate(F.try_element_at(cap, i), b)))
-    several = F.transform(F.filter(cap, lambda c: F.length(c) < min_caption), lambda c: flag("caption_too_short"))
+    share = lambda c: F.when(F.size("_q.k") > 0, F.size(F.array_intersect(F.col("_q.k"), c["k"])) / F.size("_q.k")).otherwise(0.0)
+    hit = F.try_element_at(F.filter(F.transform(cap, lambda c: F.when(c["n"] == nq, "query_eq_caption").when(share(c) >= overlap, "query_near_caption")), lambda x: x.isNotNull()), F.lit(1))
+    pair = F.exists(F.sequence(F.lit(1), F.size(cap)), lambda i: F.exists(F.slice(cap, i + 1, F.size(cap)), lambda b: T.near_forms(F.try_element_at(cap, i), b)))
+    several = F.transform(F.filter(cap, lambda c: F.length(c["t"]) < min_caption), lambda c: flag("caption_too_short"))
     one = F.array(
         on(~F.coalesce(F.col("domain"), F.lit("")).isin(*DOMAINS), "bad_domain"),
         *[on(F.coalesce(T.strip(F.col(c)), F.lit("")) == "", "empty_field") for c in ("source", "query", "unrelated_query")],
         on(F.size(cap) < 2, "empty_field"),
-        on((F.size(cap) >= 2) & (F.size(T.greedy_distinct(cap)) < 2) | (F.size(cap) >= 2) & pair, "captions_not_diverse"),
+        on((F.size(cap) >= 2) & pair, "captions_not_diverse"),  # so fewer than two that are distinct, too
         on((q != "") & (F.length(q) < min_query), "query_too_short"),
         on(F.length(q) > max_query, "query_too_long"),
         on(q.rlike("(?i)" + T.BOILERPLATE), "query_boilerplate"),
@@ -87,12 +99,12 @@ def flags(rows: DataFrame, query_threshold: int = 15, unrelated_threshold: int =
         on((u != "") & (nu == T.OFFLINE_UNRELATED), "offline_unrelated"),
         on((u != "") & (nu != T.OFFLINE_UNRELATED) & T.is_generic(u), "generic_unrelated"),
         on((nq != "") & (nq == nu), "unrelated_eq_query"),
-        on((nu != "") & F.exists(cap, lambda c: T.norm_quality(c) == nu), "unrelated_eq_caption"),
+        on((nu != "") & F.exists(cap, lambda c: c["n"] == nu), "unrelated_eq_caption"),
         on((F.col("domain") == "general") & T.aerialish(q), "domain_style_mismatch"),
         on(F.coalesce("query_n", F.lit(0)) >= query_threshold, "duplicate_query_frequent"),
         on(F.coalesce("unrelated_n", F.lit(0)) >= unrelated_threshold, "duplicate_unrelated_frequent"),
     )
-    out = with_frequencies(rows).withColumn("flags", F.concat(F.array_compact(one), several))
+    out = rows.withColumn("flags", F.concat(F.array_compact(one), several)).drop(*names)
     return out.withColumns({"codes": F.array_sort(F.array_distinct(F.col("flags.code"))), "max_severity": F.coalesce(F.array_max(F.col("flags.severity")), F.lit(0))})
 
 
@@ -130,14 +142,15 @@ def latest(log: DataFrame, key: str, value: str, version: str) -> DataFrame:
 
 def assign_unrelated(rows: DataFrame, bank: DataFrame) -> DataFrame:
     """Give each row (id) its own bank phrase: ranks of one meet ranks of the other,
-    and rows beyond the bank's size get none; ``repair_unrelated`` is the whole repair.
+    and rows beyond the bank's size have a null phrase; ``repair_unrelated`` is the
+    whole repair, with a bank that is large enough.
 
-    Ranks come from range partitions and their offsets, so that no single task
-    orders all rows."""
-    return ranked(rows.select("id"), "id").join(ranked(bank.select("phrase"), "phrase"), "rank").select("id", "phrase")
+    Ranks come from ranges and their offsets, so that no single task orders all
+    rows."""
+    return ranked(rows.select("id"), "id").join(ranked(bank.select("phrase"), "phrase"), "rank", "left").select("id", "phrase")
 
 
-# The vocabularies of the distractor bank.
+# The vocabularies of the distractor bank.
 SUBJECTS = (
     "copper kettle", "paper lantern", "granite quarry", "tram depot", "rowing boat", "market awning", "grain silo", "telescope mirror", "loom workshop", "salt cellar",
     "brick chimney", "stone mill wheel", "violin maker", "beekeeper suit", "ice cream cart", "tin whistle", "chess tournament", "fishing trawler", "glass blower", "rubber duck",
@@ -193,13 +206,19 @@ def repair_unrelated(flagged: DataFrame, bank: DataFrame | None = None, least: i
     return rows.join(taken, "id", "left").select("id", F.when(F.col("asks"), F.col("phrase")).otherwise(F.col("unrelated_query")).alias("unrelated_query"), how.alias("how"))
 
 
-def ranked(df: DataFrame, *order: str) -> DataFrame:
-    """Adds rank, from 1, over the whole table: a range partition's rows are
-    numbered within it, after the counts of the partitions before."""
+def ranked(df: DataFrame, *order: str, ranges: int = 64) -> DataFrame:
+    """Adds rank, from 1, over the whole table: rows are numbered within ranges of the
+    order, after the counts of the ranges before. The ranges' bounds are values of a
+    sample, stated in the plan, so counts and numbers agree however often computed."""
     from pyspark.sql.window import Window
 
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    parts = parts.withColumns({"_p": F.shiftright("_m", 33), "_i": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per partition
+    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(20 * ranges).distinct().orderBy(*order).collect()
+    kinds = [df.schema[c].dataType for c in order]
+    bounds = sample[20::20]
+    key = F.struct(*[F.col(c) for c in order])
+    at = sum(((key >= F.struct(*[F.lit(v).cast(k) for v, k in zip(b, kinds)])).cast("int") for b in bounds), F.lit(0))
+    parts = df.withColumn("_p", at)
+    counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per range
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
-    return parts.join(before, "_p").withColumn("rank", F.col("_before") + F.col("_i") + 1).drop("_m", "_p", "_i", "_before")
+    numbered = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    return numbered.join(F.broadcast(before), "_p").withColumn("rank", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")

@@ -64,14 +64,14 @@ meta AS (SELECT conv_id AS id, CASE conv_id % 3 WHEN 0 THEN 'general' WHEN 1 THE
   CASE WHEN conv_id % 13 = 0 THEN '' ELSE 'src' || (conv_id % 5) END AS source, captions,
   CASE conv_id % 5 WHEN 0 THEN captions[1] WHEN 1 THEN 'photo of ' || left(captions[1], 40) WHEN 2 THEN '' WHEN 3 THEN left(captions[1], 6) ELSE 'aerial view of the coast' END AS query,
   CASE WHEN conv_id % 7 = 0 THEN '{T.OFFLINE_UNRELATED}' WHEN conv_id % 11 = 0 THEN captions[1] WHEN conv_id % 17 = 0 THEN 'Mountain landscapes' ELSE b.text END AS unrelated_query
-  FROM convs LEFT JOIN benchmark b ON b.item_id = conv_id % 40)"""
+  FROM convs LEFT JOIN benchmark b ON b.item_id = conv_id % (SELECT count(*) FROM benchmark))"""
 
 
 def meta(spark, sf_dir: str) -> DataFrame:
     convs = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("c")).select("conv_id", F.col("c.text").alias("captions"))
     item = read(spark, sf_dir, "benchmark").select((F.col("item_id")).alias("_item"), F.col("text").alias("_text"))
     i, first = F.col("conv_id"), F.get("captions", F.lit(0))
-    return convs.join(item, F.pmod("conv_id", F.lit(40)) == F.col("_item"), "left").select(
+    return convs.crossJoin(F.broadcast(item.agg(F.count("*").alias("_n")))).join(item, F.expr("conv_id % _n") == F.col("_item"), "left").select(
         i.alias("id"),
         F.when(i % 3 == 0, "general").when(i % 3 == 1, "satellite").otherwise("other").alias("domain"),
         F.when(i % 13 == 0, "").otherwise(F.concat(F.lit("src"), (i % 5).cast("string"))).alias("source"),
@@ -176,6 +176,8 @@ f AS (SELECT *, list_sort(list_distinct(flags)) AS codes, CAST(coalesce(list_max
 
 
 def flagged(spark, sf_dir):
+    """Rows with flags. Fan-outs of them explode outer: a plain explode has a filter of
+    its own pushed down, which computes the flags twice."""
     return quality.flags(meta(spark, sf_dir))
 
 
@@ -188,13 +190,13 @@ def flag_rows(spark, sf_dir):
 @query(FLAGGED + ", x AS (SELECT unnest(flags) AS code FROM f) SELECT code, count(*) AS n FROM x GROUP BY code")
 def flag_counts(spark, sf_dir):
     """Flag instances by code."""
-    return flagged(spark, sf_dir).select(F.explode("flags.code").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    return flagged(spark, sf_dir).select(F.explode_outer("flags.code").alias("code")).filter("code IS NOT NULL").groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query(FLAGGED + ", x AS (SELECT id, unnest(codes) AS code FROM f) SELECT code, count(*) AS n, min(id) AS first_id FROM x GROUP BY code")
 def flags_by_code(spark, sf_dir):
     """The fan-out by code: rows of each code's file."""
-    return flagged(spark, sf_dir).select("id", F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return flagged(spark, sf_dir).select("id", F.explode_outer("codes").alias("code")).filter("code IS NOT NULL").groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 @query(FLAGGED + " SELECT id, max_severity FROM f ORDER BY max_severity DESC, id LIMIT 100")
@@ -207,8 +209,10 @@ def s_any(codes):
     return "list_has_any(codes, [" + ", ".join(f"'{c}'" for c in codes) + "])"
 
 
-@query(FLAGGED + f""" SELECT count(*) AS n, count(*) FILTER (len(codes) > 0) AS flagged, round(100.0 * count(*) FILTER (len(codes) > 0) / count(*), 2) AS pct,
-  count(*) FILTER ({s_any(quality.QUERY_CODES)}) AS repair_query, count(*) FILTER ({s_any(quality.UNRELATED_CODES)}) AS repair_unrelated, count(*) FILTER ({s_any(quality.CAPTION_CODES)}) AS repair_captions,
+@query(FLAGGED + """ SELECT count(*) AS n, count(*) FILTER (len(codes) > 0) AS flagged, round(100.0 * count(*) FILTER (len(codes) > 0) / count(*), 2) AS pct,
+  count(*) FILTER (list_has_any(codes, ['query_eq_caption', 'query_near_caption', 'query_too_short', 'query_boilerplate', 'duplicate_query_frequent', 'empty_field'])) AS repair_query,
+  count(*) FILTER (list_has_any(codes, ['offline_unrelated', 'generic_unrelated', 'unrelated_eq_query', 'unrelated_eq_caption', 'duplicate_unrelated_frequent', 'empty_field'])) AS repair_unrelated,
+  count(*) FILTER (list_has_any(codes, ['captions_not_diverse', 'caption_too_short', 'empty_field'])) AS repair_captions,
   round(1.0 - count(DISTINCT nullif(nq, '')) / count(*), 4) AS query_collisions, round(1.0 - count(DISTINCT nullif(nu, '')) / count(*), 4) AS unrelated_collisions FROM f""")
 def audit_summary(spark, sf_dir):
     """Counts, repair estimates and collision rates of the audit."""
@@ -216,7 +220,7 @@ def audit_summary(spark, sf_dir):
     n = F.count("*")
     unique = lambda c: F.round(1 - F.count_distinct(F.nullif(T.norm_quality(F.col(c)), F.lit(""))) / n, 4)
     some = F.count_if(F.size("codes") > 0)
-    return f.agg(n.alias("n"), some.alias("flagged"), F.round(F.try_divide(some * 100.0, n), 2).alias("pct"), *[F.count_if(quality.needs(F.col("codes"), c)).alias(f"repair_{k}") for k, c in (("query", quality.QUERY_CODES), ("unrelated", quality.UNRELATED_CODES), ("captions", quality.CAPTION_CODES))],
+    return f.agg(n.alias("n"), some.alias("flagged"), F.round(F.try_divide(some * 100.0, n), 2).alias("pct"), *[F.count_if(quality.needs(F.col("codes"), c)).alias(f"repair_{k}") for k, c in quality.ESTIMATES.items()],
         unique("query").alias("query_collisions"), unique("unrelated_query").alias("unrelated_collisions"))
 
 
@@ -247,9 +251,10 @@ def repair_queries(spark, sf_dir):
 
 
 @query(META + f""", need AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM meta WHERE id % 7 = 0),
-bank AS (SELECT phrase, row_number() OVER (ORDER BY phrase) AS r FROM (SELECT DISTINCT {s_norm('text')} AS phrase FROM benchmark WHERE length({s_norm('text')}) >= 12)) SELECT id, phrase FROM need JOIN bank USING (r)""")
+bank AS (SELECT phrase, row_number() OVER (ORDER BY phrase) AS r FROM (SELECT DISTINCT {s_norm('text')} AS phrase FROM benchmark WHERE length({s_norm('text')}) >= 12)) SELECT id, phrase FROM need LEFT JOIN bank USING (r)""")
 def assigned_phrases(spark, sf_dir):
-    """Bank phrases handed out one to a row that has the offline sentinel."""
+    """Bank phrases handed out one to a row that has the offline sentinel; rows beyond
+    the bank have none."""
     rows = meta(spark, sf_dir).filter(T.norm_quality(F.col("unrelated_query")) == T.OFFLINE_UNRELATED)
     bank = read(spark, sf_dir, "benchmark").select(T.norm_quality(F.col("text")).alias("phrase")).filter(F.length("phrase") >= 12).distinct()
     return quality.assign_unrelated(rows, bank)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import strip
 from ..schema import META
 
 #: Rows that a guarded read may bring to the driver.
@@ -30,7 +31,7 @@ def json_lines(spark: SparkSession, path: str, max_rows: int | None = None) -> D
 
 def caption_csv(spark: SparkSession, path: str) -> DataFrame:
     """Header CSV with filepath, title, title_multi_objects."""
-    return spark.read.csv(path, header=True, mode="PERMISSIVE", multiLine=True, escape='"')
+    return spark.read.csv(path, header=True, mode="PERMISSIVE", multiLine=True, escape='"', encoding="UTF-8")
 
 
 def split(spark: SparkSession, directory: str, name: str = "all") -> DataFrame:
@@ -65,6 +66,8 @@ def guarded(rows: DataFrame, most: int = MATERIALISE) -> list:
 
 
 def query_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Caption cache in which later lines win."""
-    lines = spark.read.schema("caption string, related_query string, unrelated_query string").json(path).withColumn("_n", F.monotonically_increasing_id())
-    return lines.filter("caption IS NOT NULL").withColumn("caption", F.trim("caption")).groupBy("caption").agg(F.max_by(F.struct("related_query", "unrelated_query"), "_n").alias("q")).select("caption", "q.*")
+    """Caption cache in which later lines win: later files by name, then later places
+    in a file."""
+    lines = spark.read.text(path).select("value", F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("_at"))
+    entry = lines.select(F.from_json("value", "caption string, related_query string, unrelated_query string").alias("e"), "_at").select("e.*", "_at").filter("caption IS NOT NULL")
+    return entry.withColumn("caption", strip(F.col("caption"))).groupBy("caption").agg(F.max_by(F.struct("related_query", "unrelated_query"), "_at").alias("q")).select("caption", "q.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,15 +11,25 @@ from ..schema import META
 
 
 def export(rows: DataFrame, directory: str, shard_rows: int = 4096) -> dict:
-    """Parquet by split, at most ``shard_rows`` a file; returns the manifest. An
-    empty table is an error. Splits share one write, so none lands in another."""
-    rows = rows if "split" in rows.columns else rows.withColumn("split", F.lit("train"))
-    rows.write.mode("overwrite").option("maxRecordsPerFile", shard_rows).partitionBy("split").parquet(f"{directory}/data")
-    written = rows.sparkSession.read.parquet(f"{directory}/data")
-    counts = written.groupBy("split", "domain").count().collect()  # splits x domains rows
-    if not counts:
+    """Parquet by split, at most ``shard_rows`` a file; returns the manifest and writes
+    it beside the data. Splits share one write, so none lands in another. An empty
+    table is an error that leaves an older export alone; a new one is written beside
+    it and takes its place when whole."""
+    if rows.limit(1).count() == 0:
         raise ValueError("nothing to export")
-    return {"rows": sum(r["count"] for r in counts), "splits": {s: {r["domain"]: r["count"] for r in counts if r["split"] == s} for s in sorted({r["split"] for r in counts})}}
+    rows = rows if "split" in rows.columns else rows.withColumn("split", F.lit("train"))
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(directory).getFileSystem(spark._jsc.hadoopConfiguration())
+    rows.write.mode("overwrite").option("maxRecordsPerFile", shard_rows).partitionBy("split").parquet(f"{directory}/.new")
+    counts = spark.read.parquet(f"{directory}/.new").groupBy("split", "domain").count().collect()  # splits x domains rows
+    fs.delete(path(f"{directory}/data"), True)
+    fs.rename(path(f"{directory}/.new"), path(f"{directory}/data"))
+    manifest = {"rows": sum(r["count"] for r in counts), "splits": {s: {r["domain"]: r["count"] for r in counts if r["split"] == s} for s in sorted({r["split"] for r in counts})}}
+    stream = fs.create(path(f"{directory}/info.json"), True)
+    stream.write(bytearray(json.dumps(manifest, indent=1, sort_keys=True).encode()))
+    stream.close()
+    return manifest
 
 
 def metadata_lines(rows: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.quality import ranked
 from ..operators.sampling import hash_key
 
 
@@ -42,9 +43,41 @@ def bank(stream: DataFrame, key: str, value: str, order: str, capacity: int = 12
 
 
 def queue(stream: DataFrame, key: str, size: int, take: Callable[[DataFrame, int], None], checkpoint: str, seed: int = 42):
-    """Feed ``take`` at most ``size`` rows a micro-batch, in hash order; consumed
-    rows are those behind the checkpoint, so none comes twice."""
-    return stream.writeStream.foreachBatch(lambda df, i: take(df.orderBy(hash_key(f"{seed}:{i}", key), key).limit(size), i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Feed ``take`` ``size`` rows a micro-batch, in hash order of those that wait.
+
+    Rows that are not handed out wait in ``checkpoint/held``, a table per batch, and
+    come first in line with the next batch; :func:`drain` hands out what waits when
+    the stream is over. A batch that is repeated reads the same table again, so none
+    is lost; ``take`` gets the batch's number and must accept a repeat."""
+    held = f"{checkpoint}/held"
+
+    def step(df: DataFrame, i: int) -> None:
+        every = df if not i else df.unionByName(_waiting(df.sparkSession, f"{held}/{i - 1}", df))
+        _hand_out(every, key, size, seed, f"{held}/{i}", lambda part: take(part, i))
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _waiting(spark, path: str, like: DataFrame) -> DataFrame:
+    return spark.read.schema(like.schema).parquet(path)
+
+
+def _hand_out(rows: DataFrame, key: str, size: int, seed: int, rest: str, take: Callable[[DataFrame], None]) -> int:
+    """``size`` rows to ``take``, the others to the table ``rest``; how many those are."""
+    line = ranked(rows.withColumn("_order", hash_key(seed, key)), "_order", key).drop("_order")
+    line.filter(F.col("rank") > size).drop("rank").write.mode("overwrite").parquet(rest)
+    take(line.filter(F.col("rank") <= size).drop("rank"))
+    return rows.sparkSession.read.parquet(rest).limit(1).count()
+
+
+def drain(spark, like: DataFrame, key: str, size: int, take: Callable[[DataFrame, int], None], checkpoint: str, last: int, seed: int = 42) -> None:
+    """Hand out what waits after batch ``last``, ``size`` rows a call with numbers
+    from ``last + 1`` on."""
+    more = True
+    while more:
+        waiting = _waiting(spark, f"{checkpoint}/held/{last}", like)
+        last += 1
+        more = bool(_hand_out(waiting, key, size, seed, f"{checkpoint}/held/{last}", lambda part, i=last: take(part, i)))
 
 
 def tumbling(stream: DataFrame, ts: str, span: str, late: str, *keys: str) -> DataFrame:

@@ -15,7 +15,7 @@ def one(spark, col, **values):
     return spark.createDataFrame([tuple(values.values())], list(values)).select(col).first()[0]
 
 
-@pytest.mark.parametrize("captions, kept", [(["A dog.", "a dog.", "A cat."], 2), (["an airport with planes parked", "An airport with planes parked.", "airport with planes parked"], 1), (["red barn in a field", "two boats on a lake"], 2), (["", " "], 0)])
+@pytest.mark.parametrize("captions, kept", [(["A dog.", "a dog.", "A cat."], 2), (["a tram waits at the depot", "A tram waits at the depot.", "tram waits at the depot"], 1), (["green kite above a hill", "three spoons on a tray"], 2), (["", " "], 0)])
 def test_greedy_captions(spark, captions, kept):
     df = spark.createDataFrame([(captions,)], "c array<string>")
     assert len(df.select(T.greedy_distinct(F.col("c"))).first()[0]) == kept
@@ -27,6 +27,8 @@ def test_text_rules(spark):
     assert one(spark, T.strip_boilerplate(F.col("x")), x="Photo of a barn.") == "a barn"
     assert one(spark, T.aerialish(F.col("x")), x="a Top-down view")
     assert one(spark, T.text_list(F.col("x")), x="['A', ' b ', '']") == ["a", "b"]
+    assert one(spark, T.text_list(F.col("x")), x='["it\'s a dog", \'say "b"\', \'c\\\'d\']') == ["it's a dog", 'say "b"', "c'd"]
+    assert one(spark, T.text_list(F.col("x")), x="[not a list") == ["[not a list"] and one(spark, T.text_list(F.col("x")), x="[]") == []
 
 
 def test_official_split_sizes_and_exact_mode(spark):
@@ -39,8 +41,8 @@ def test_official_split_sizes_and_exact_mode(spark):
 
 
 def test_flags(spark):
-    same = [("%d" % i, "general", "s", ["a red barn in a field", "two boats on a lake"], "the same query", "some other thing") for i in range(20)]
-    odd = [("x", "general", "s", ["a red barn in a field", "two boats on a lake"], "a red barn in a field", T.OFFLINE_UNRELATED)]
+    same = [("%d" % i, "general", "s", ["a green kite above a hill", "three spoons on a tray"], "the same query", "some other thing") for i in range(20)]
+    odd = [("x", "general", "s", ["a green kite above a hill", "three spoons on a tray"], "a green kite above a hill", T.OFFLINE_UNRELATED)]
     rows = spark.createDataFrame(same + odd, "id string, domain string, source string, captions array<string>, query string, unrelated_query string")
     got = {r.id: r.codes for r in quality.flags(rows, query_threshold=10).collect()}
     assert got["3"] == ["duplicate_query_frequent"] and got["x"] == ["offline_unrelated", "query_eq_caption"]
@@ -48,6 +50,47 @@ def test_flags(spark):
     assert fixed["x"][0] == "local_keywords" and fixed["3"][0] == "external"  # frequent queries go to the external queue
 
 
+def test_rows_without_captions_are_flagged(spark):
+    rows = spark.createDataFrame([("a", "general", "s", None, "a long enough query", "some other thing"), ("b", None, None, [None, ""], None, None)], "id string, domain string, source string, captions array<string>, query string, unrelated_query string")
+    got = {r.id: (r.codes, r.max_severity) for r in quality.flags(rows).collect()}
+    assert got == {"a": (["empty_field"], 100), "b": (["bad_domain", "empty_field"], 100)}
+
+
+def test_ranks_and_assignment_lose_no_row(spark):
+    values = [None, *range(0, 3000, 3), *[7] * 5]
+    got = sorted((r["rank"], r.v) for r in quality.ranked(spark.createDataFrame([(v,) for v in values], "v long").repartition(3), "v").collect())
+    assert [r for r, _ in got] == [*range(1, len(values) + 1)] and [v for _, v in got] == sorted(values, key=lambda v: (v is not None, v or 0))
+    rows, bank = spark.createDataFrame([(str(i),) for i in range(5)], "id string"), spark.createDataFrame([("x",), ("y",)], "phrase string")
+    assert [(r.id, r.phrase) for r in quality.assign_unrelated(rows, bank).orderBy("id").collect()] == [("0", "x"), ("1", "y"), ("2", None), ("3", None), ("4", None)]
+
+
+def test_an_empty_export_leaves_the_old_one(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "general"), ("2", "general")], "id string, domain string")
+    assert writers.export(rows, str(tmp_path / "e")) == json.loads((tmp_path / "e/info.json").read_text())
+    with pytest.raises(ValueError):
+        writers.export(rows.limit(0), str(tmp_path / "e"))
+    assert readers.split(spark, str(tmp_path / "e")).count() == 2
+
+
+def test_later_cache_lines_win(spark, tmp_path):
+    for name, lines in (("a.jsonl", [("x ", "old"), ("y", "kept")]), ("b.jsonl", [("x", "older"), ("\tx", "new"), (None, "n")])):
+        (tmp_path / name).write_text("\n".join(json.dumps({"caption": c, "related_query": q}) for c, q in lines) + "\n\n")
+    assert {(r.caption, r.related_query) for r in readers.query_cache(spark, str(tmp_path)).collect()} == {("x", "new"), ("y", "kept")}
+
+
+def test_pair_shapes(spark):
+    def got(config, **row):
+        kind = ", ".join(f"{k} {'array<string>' if isinstance(v, list) else 'int' if k == 'label' else 'string'}" for k, v in row.items())
+        return [tuple(r) for r in pairs.text_pairs(spark.createDataFrame([tuple(row.values())], kind), config).collect()]
+
+    assert got("triplet", text="A", paraphrases="['a', \"it's b\"]", negative="n") == [("a", "it's b", None)]
+    assert got("triplet", text="A", paraphrases=["a", " "], positive="p", negative="n") == [("a", "p", "n")]
+    assert got("pair", anchor="x", caption1="y", positive="p", caption2="q") == [("y", "q", None)]
+    assert got("pair", anchor="x", s1="y", s2="z") == [("x", "z", None)] and got("default", sentence_a="y", sentence_b="y") == []
+    assert got("pair-class", premise="x", hypothesis="y", label=1) == [] and got("pair-class", premise="x", hypothesis="y", label=None) == [("x", "y", None)]
+    assert got("triplet", sentence1="x", simplified="y", negative="X") == [("x", "y", None)]
+
+
 def test_similarity_join_matches_brute_force(spark):
     import random
 
@@ -171,6 +214,8 @@ def test_streams(spark, tmp_path):
     q = state.queue(stream, "i", 4, lambda df, i: seen.append([r.i for r in df.collect()]), str(tmp_path / "c2"))
     assert q.awaitTermination(120)
     assert [len(s) for s in seen] == [4, 4]
+    state.drain(spark, spark.read.parquet(str(tmp_path / "in")), "i", 4, lambda df, i: seen.append([r.i for r in df.collect()]), str(tmp_path / "c2"), 1)
+    assert [len(s) for s in seen] == [4, 4, 4, 4, 4] and sorted(sum(seen, [])) == [*range(20)]
 
 
 def test_similar_members_name_every_text(spark, tmp_path):
