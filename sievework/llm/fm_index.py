@@ -9,24 +9,22 @@ from __future__ import annotations
 import numpy as np
 
 
-class Bits:
-    """A packed bit vector with rank: a byte per 8 bits and a count per 64 bytes."""
+# Ones among the first k bits of a byte, at 8 * byte + k.
+PREFIX = np.array([bin(b & ((1 << k) - 1)).count("1") for b in range(256) for k in range(8)], np.int64)
+
 
-    ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+class Bits:
+    """A packed bit vector with rank: each byte beside the ones before it."""
 
     def __init__(self, bits: np.ndarray):
-        self.bytes = np.append(np.packbits(bits, bitorder="little"), np.uint8(0))
-        sums = np.add.reduceat(self.ONES[self.bytes], np.arange(0, len(self.bytes), 64), dtype=np.int64)
-        self.blocks = np.concatenate([[0], np.cumsum(sums)[:-1]])
-        # Ones before each byte within its block of 64 bytes: at most 504.
-        within = np.cumsum(self.ONES[self.bytes], dtype=np.int64) - self.ONES[self.bytes]
-        self.within = (within - self.blocks[np.arange(len(self.bytes)) >> 6]).astype(np.uint16)
+        packed = np.append(np.packbits(bits, bitorder="little"), np.uint8(0)).astype(np.int64)
+        ones = np.array([bin(i).count("1") for i in range(256)], np.int64)[packed]
+        self.cells = (np.cumsum(ones) - ones) << 8 | packed
 
     def rank1(self, i: np.ndarray) -> np.ndarray:
         """Ones among the first i bits."""
-        b = i >> 3
-        mask = ((1 << (i & 7)) - 1).astype(np.uint8)
-        return self.blocks[b >> 6] + self.within[b] + self.ONES[self.bytes[b] & mask]
+        cell = self.cells[i >> 3]
+        return (cell >> 8) + PREFIX[(cell & 255) << 3 | i & 7]
 
 
 class WaveletTree:
@@ -43,13 +41,13 @@ class WaveletTree:
             values = np.concatenate([values[bit == 0], values[bit == 1]])
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Occurrences of ``symbol`` among the first ``i`` values, elementwise."""
-        lo, hi = np.zeros_like(i), i
+        """Occurrences of ``symbol`` among the first ``i`` values, elementwise; ``i``
+        may have several rows."""
+        at = np.concatenate([np.zeros((1, len(symbol)), np.int64), np.atleast_2d(i)])
         for level, bits, zeros in zip(range(self.levels - 1, -1, -1), self.bits, self.zeros):
-            one = ((symbol >> level) & 1).astype(bool)
-            lo1, hi1 = bits.rank1(lo), bits.rank1(hi)
-            lo, hi = np.where(one, zeros + lo1, lo - lo1), np.where(one, zeros + hi1, hi - hi1)
-        return hi - lo
+            ones = bits.rank1(at)
+            at = np.where(((symbol >> level) & 1).astype(bool), zeros + ones, at - ones)
+        return (at[1:] - at[0]).reshape(np.shape(i))
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -91,8 +89,7 @@ class FMIndex:
         step = 0
         while len(live):
             symbol = stream[ends[live] - step]
-            c = symbol + 1
-            lo, hi = self.before[c] + self.tree.rank(c, lo), self.before[c] + self.tree.rank(c, hi)
+            lo, hi = self._step(symbol, lo, hi)
             step += 1
             ok = (symbol > 0) & (self.held[hi] - self.held[lo] >= least_count)
             length[live[ok]] = step
@@ -100,31 +97,53 @@ class FMIndex:
             live, lo, hi = live[ok], lo[ok], hi[ok]
         return length
 
+    def _step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The intervals of patterns with one symbol more in front."""
+        c = symbol + 1
+        return self.before[c] + self.tree.rank(c, np.stack([lo, hi]))
+
     def repeats(self, stream: np.ndarray, first: np.ndarray, size: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pattern, offset, n): runs of n windows of the patterns
         ``stream[first : first + size]`` that the index holds twice.
 
         A search from a pattern's end reports all windows within its match. Where it
-        breaks, at p, the shortest of some runs from p on that are held once is
-        found, and the search goes on before that run's end, since all windows
-        over it fail."""
+        breaks, at p, runs from p on are tried, of 1, 2, 4... symbols, until one is
+        held once; the search goes on before that run's end, since all windows over
+        it fail. A step takes every pattern's search or trial one symbol on."""
         out = []
-        live, end = np.flatnonzero(size >= window), (first + size - 1)[size >= window]
-        while len(live):
-            length = self.matching(stream, end, end - first[live] + 1)
-            full = length >= window
-            out.append((live[full], (end - length + 1 - first[live])[full], (length - window + 1)[full]))
-            at = end - length
-            more = at >= first[live]
-            live, at, end = live[more], at[more], end[more]
-            once = end.copy()  # the end of a run from ``at`` on that is held once
-            open_, n = np.arange(len(at)), 1
-            while len(open_):
-                open_ = open_[at[open_] + n - 1 < end[open_]]
-                held = self.matching(stream, at[open_] + n - 1, n) >= n
-                once[open_[~held]] = (at[open_] + n - 1)[~held]
-                open_, n = open_[held], 2 * n
-            end = np.minimum(at + window - 1, once - 1)
-            more = end - first[live] + 1 >= window
-            live, end = live[more], end[more]
+        own = np.flatnonzero(size >= window)  # of the pattern, as all arrays here
+        start, end = first[own], (first + size - 1)[own]
+        last, depth, tried = end.copy(), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)  # tried: symbols of a trial, 0 in a search
+        broke = np.zeros(len(own), np.int64)
+        lo, hi = np.zeros(len(own), np.int64), np.full(len(own), self.n, np.int64)
+        while len(own):
+            at = last - depth
+            symbol = stream[at]
+            lo, hi = self._step(symbol, lo, hi)
+            held = (symbol > 0) & (self.held[hi] - self.held[lo] >= 2)
+            depth += held
+            search = tried == 0
+            over = np.where(search, ~held | (at == start), ~held | (at == broke))
+            if not over.any():
+                continue
+            done = over & search
+            hit = done & (depth >= window)
+            out.append((own[hit], (last - depth + 1 - start)[hit], (depth - window + 1)[hit]))
+            ended = done & held  # the whole pattern
+            trial = done & ~held
+            broke[trial], end[trial], tried[trial] = at[trial], last[trial], 1
+            again = over & ~search & held
+            tried[again] *= 2
+            trial |= again
+            last[trial] = (broke + tried - 1)[trial]
+            # A trial as long as what the search had is known to be held once.
+            once = over & ~search & ~held
+            bound = np.where(once, last, end)
+            once |= trial & (last >= end)
+            last[once] = np.minimum(broke + window, bound)[once] - 1
+            tried[once] = 0
+            ended |= once & (last - start + 1 < window)
+            depth[over], lo[over], hi[over] = 0, 0, self.n
+            if ended.any():
+                own, start, end, last, depth, tried, broke, lo, hi = (x[~ended] for x in (own, start, end, last, depth, tried, broke, lo, hi))
         return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))

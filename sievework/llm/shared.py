@@ -67,13 +67,13 @@ def join_salted(rows: DataFrame, others: DataFrame, on: list[str], salts: int =
     """Inner join of ``rows``, a written table, with ``others``, of which a key may
     have several. A key with over 1 / ``HOT`` of all rows is dealt to ``salts``
     places, to each of which its few other rows go, so that none can fill a task."""
-    counts = rows.groupBy(*on).agg(F.count("*").alias("n"))
     least = rows.count() // HOT
+    key = F.xxhash64(*on)
+    hot = [r.k for r in rows.groupBy(*on).agg(F.count("*").alias("n")).filter(F.col("n") > least).select(key.alias("k")).collect()]  # under HOT rows
     salt = fresh([*rows.columns, *others.columns], "salt")
-    hot = table(counts.filter(F.col("n") > least).select(*on, F.lit(salts).alias(salt)), "hot-keys")  # under HOT rows
-    n = F.coalesce(F.col(salt), F.lit(1))
-    dealt = rows.join(F.broadcast(hot), on, "left").withColumn(salt, F.pmod(F.xxhash64(*rows.columns), n))
-    met = others.join(F.broadcast(hot), on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
+    many = F.lit(least > 0) & key.isin(hot) if hot else F.lit(False)
+    dealt = rows.withColumn(salt, F.when(many, F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(F.lit(0).cast("long")))
+    met = others.withColumn(salt, F.explode(F.when(many, F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
     return dealt.join(met, [*on, salt]).drop(salt)
 
 

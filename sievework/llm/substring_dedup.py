@@ -35,7 +35,7 @@ WINDOW = 35
 GRAM = 6
 CROWD = 500
 #: Segments of one FM-index shard, about.
-SHARD = 6000
+SHARD = 4000
 PRIME = 0x9E3779B97F4A7C15
 INVERSE = pow(PRIME, -1, 1 << 64)
 
