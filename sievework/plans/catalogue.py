@@ -354,6 +354,16 @@ def consecutive_pairs(spark, sf_dir):
     return t.filter("anchor <> '' AND positive <> '' AND anchor <> positive")
 
 
+@query(f"""WITH p AS (SELECT text AS a, lead(text) OVER w AS b, lead(text, 2) OVER w AS c FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)),
+q AS (SELECT {s_train('a')} AS anchor, {s_train('b')} AS positive, nullif({s_train('c')}, '') AS n FROM p)
+SELECT anchor, positive, CASE WHEN n <> anchor AND n <> positive THEN n END AS negative FROM q WHERE anchor <> '' AND positive <> '' AND anchor <> positive""")
+def text_pairs(spark, sf_dir):
+    """Pairs of consecutive turns with the turn after them as the negative."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    said = read(spark, sf_dir, "conversations")
+    return pairs.text_pairs(said.select(F.col("text").alias("anchor"), F.lead("text").over(w).alias("positive"), F.lead("text", 2).over(w).alias("negative")))
+
+
 @query(META + f""", l AS (SELECT id, list_filter(list_concat(list_transform(captions, lambda c: {s_train('c')}), [{s_train('query')}]), lambda x: x <> '') AS t FROM meta),
 u AS (SELECT id, unnest(t) AS v, generate_subscripts(t, 1) AS i FROM l), d AS (SELECT id, v, min(i) AS i FROM u GROUP BY id, v), k AS (SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY i) AS pos FROM d)
 SELECT id, CAST(pos - 1 AS BIGINT) AS pos, md5(v) AS text FROM k WHERE pos <= 4""")
