@@ -23,6 +23,8 @@ from .shared import ascii_lower, table
 # Verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "params", "labels", "hyphens", "suffix_rate", "suffix_share")
+#: Places of the suffix statistics, and folds whose labels a training row does not see.
+BUCKETS, FOLDS = 4096, 5
 
 
 def parts(df: DataFrame, url_col: str = "url") -> DataFrame:
@@ -77,31 +79,50 @@ class Model:
         return out
 
 
-def suffix_statistics(df: DataFrame, suffixes: DataFrame) -> DataFrame:
+def bucket(suffix: str = "suffix") -> Column:
+    """A suffix's place in the statistics: a hash, so that their table is bounded."""
+    return F.pmod(F.xxhash64(suffix), F.lit(BUCKETS)).cast("int")
+
+
+def fold(url: str = "url") -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), F.col(url)), F.lit(FOLDS)).cast("int")
+
+
+def suffix_statistics(df: DataFrame, suffixes: DataFrame, own_fold: bool = False) -> DataFrame:
     """Adds a suffix's smoothed block rate and its share of the labelled urls. The
-    table is bounded by the training sample, so it may be broadcast."""
-    return df.join(F.broadcast(suffixes), "suffix", "left").withColumns(
-        {"suffix_rate": F.coalesce("suffix_rate", F.lit(0.5)), "suffix_share": F.coalesce("suffix_share", F.lit(0.0))}
-    )
+    table has at most ``BUCKETS`` times ``FOLDS`` rows, hence broadcast. With
+    ``own_fold`` a row's rate and share leave the urls of its own fold out, so that no
+    row's label is in its features."""
+    sums = suffixes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    every = suffixes.groupBy().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    out = df.withColumns({"bucket": bucket(), "fold": fold()}).join(F.broadcast(sums), "bucket", "left").crossJoin(F.broadcast(every))
+    n, ones, total = F.coalesce("n", F.lit(0)), F.coalesce("ones", F.lit(0)), F.col("all")
+    if own_fold:
+        mine = suffixes.select("bucket", "fold", F.col("n").alias("own_n"), F.col("ones").alias("own_ones"))
+        size = suffixes.groupBy("fold").agg(F.sum("n").alias("own_all"))
+        out = out.join(F.broadcast(mine), ["bucket", "fold"], "left").join(F.broadcast(size), "fold", "left")
+        n, ones, total = n - F.coalesce("own_n", F.lit(0)), ones - F.coalesce("own_ones", F.lit(0)), total - F.coalesce("own_all", F.lit(0))
+    return out.withColumns({"suffix_rate": (ones + 1) / (n + 2), "suffix_share": n / F.greatest(total, F.lit(1))}).select(*df.columns, "suffix_rate", "suffix_share")
 
 
 def fit(labelled: DataFrame, sample: int = 20_000, trees: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.5) -> Model:
-    """Boosted trees for the logistic loss on rows of lexical features and ``y`` (0/1).
+    """Boosted trees for the logistic loss on rows of ``url`` and ``y`` (0/1).
 
-    At most ``sample`` rows train, those with the smallest hash of their url;
-    sums are of integers, so that fits agree whatever the order of rows.
+    A url counts once, with the share of its labels that are 1, however often it is
+    repeated. Suffix statistics are of all labelled urls; at most ``sample`` urls train
+    the trees, those with the smallest hash. Sums are of integers, so that fits agree
+    whatever the order of rows.
     """
-    spark = labelled.sparkSession
-    rows = table(labelled.orderBy(F.xxhash64("url"), "url").limit(sample).repartition(4), "url-sample")
-    total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
-    stats = rows.groupBy("suffix").agg(((F.sum("y") + 1) / (F.count("*") + 2)).alias("suffix_rate"), (F.count("*") / F.lit(float(max(1, total.n)))).alias("suffix_share"))
+    urls = table(labelled.groupBy("url").agg((F.sum("y") / F.count("*")).alias("y")), "urls")
+    stats = lexical(parts(urls)).withColumns({"bucket": bucket(), "fold": fold()}).groupBy("bucket", "fold").agg(F.count("*").alias("n"), (F.sum(F.round(F.col("y") * 1e6).cast("long")) / 1e6).alias("ones"))
     model = Model(suffixes=table(stats.coalesce(1), "url-suffixes"))
+    rows = table(suffix_statistics(lexical(parts(urls.orderBy(F.xxhash64("url"), "url").limit(sample).repartition(4))), model.suffixes, True).select("y", *FEATURES), "url-sample")
+    total = rows.agg(F.count("*").alias("n"), (F.sum(F.round(F.col("y") * 1e6).cast("long")) / 1e6).alias("y")).first()
     if not total.n:
         return model
     model.prior = math.log((total.y + 1) / (total.n - total.y + 1))
     if total.y in (0, total.n):
         return model
-    rows = suffix_statistics(rows, model.suffixes).select("y", *FEATURES)
     cuts = rows.agg(*[F.percentile_approx(f, [i / bins for i in range(1, bins)], 10_000).alias(f) for f in FEATURES]).first()
     edges = {f: sorted(set(cuts[f])) for f in FEATURES}
     binned = table(rows.withColumns({f"b{i}": sum((F.col(f) > e).cast("int") for e in edges[f]) for i, f in enumerate(FEATURES)}), "url-bins")
@@ -152,6 +173,20 @@ def _best_split(rows: list, edges: dict) -> tuple | None:
     return best
 
 
+def labels(ruled: DataFrame) -> DataFrame:
+    """The labelled urls (url, y): those that a rule decides."""
+    return ruled.filter("ruled IS NOT NULL").select("url", (F.col("ruled") == "block").cast("int").alias("y"))
+
+
+def held_out(labelled: DataFrame, sample: int = 20_000) -> DataFrame:
+    """One row (n, right, blocked): over the different urls of one fold, how many the
+    model that was fitted to the others judges by their label, and how many block."""
+    model = fit(labelled.filter(fold() != 0), sample)
+    urls = labelled.filter(fold() == 0).groupBy("url").agg((F.avg("y") > 0.5).alias("y"))
+    judged = suffix_statistics(lexical(parts(urls)), model.suffixes).withColumn("m", model.margin() > 0)
+    return judged.agg(F.count("*").alias("n"), F.count_if(F.col("m") == F.col("y")).alias("right"), F.count_if("y").alias("blocked"))
+
+
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, sample: int = 20_000) -> DataFrame:
     """A row per page: id, host, path, rule, verdict, score (block probability).
 
@@ -160,7 +195,7 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     df = parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     df = lexical(df.withColumns({"rule": text, "ruled": verdict}))
-    model = fit(df.filter("ruled IS NOT NULL").withColumn("y", (F.col("ruled") == "block").cast("int")), sample)
+    model = fit(labels(df), sample)
     score = 1 / (1 + F.exp(-model.margin()))
     out = suffix_statistics(df, model.suffixes).withColumn("score", score)
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") > 0.5, "block").otherwise("allow")).alias("verdict"), F.round("score", 6).alias("score"))

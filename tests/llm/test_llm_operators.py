@@ -347,6 +347,27 @@ def test_trees_learn(spark):
     assert right == 400
 
 
+def test_trees_learn_beside_a_frequent_url(spark):
+    """Repeats of one labelled url fill no sample; a label is not in its own features."""
+    data = [(f"http://a.example.{'net' if i % 2 else 'org'}/{'en' if i % 4 < 2 else 'fr'}/{i}", i % 2) for i in range(200)]
+    df = spark.createDataFrame(data + [data[0]] * 3000, "url string, y int")
+    model = url_filter.fit(df, sample=100)
+    sums = {tuple(r) for r in model.suffixes.groupBy("bucket").agg(F.sum("n"), F.sum("ones")).select("sum(n)", "sum(ones)").collect()}
+    assert sums == {(100, 0.0), (100, 100.0)}
+    held = url_filter.held_out(df).first()
+    assert held.n == held.right and 0 < held.blocked < held.n
+    lone = url_filter.lexical(url_filter.parts(spark.createDataFrame([("http://b.example.xyz/", 1)], "url string, y int")))
+    one = url_filter.fit(lone)
+    assert url_filter.suffix_statistics(lone, one.suffixes, True).first().suffix_rate == 0.5
+    assert url_filter.suffix_statistics(lone, one.suffixes).first().suffix_rate == 2 / 3
+
+
+def test_url_filter_null_and_repeated_ids(spark):
+    rows = [(None, "http://x.net/"), (None, "http://x.net/"), (1, None), (1, "http://" + "a" * 200_000 + ".org/fr/"), (2, "http://x.com/?" + "k=v&" * 20_000)]
+    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert sorted(((r.page_id or 0, r.rule or "") for r in got)) == [(0, "net/"), (0, "net/"), (1, ""), (1, "org/fr/"), (2, "")]
+
+
 def test_token_counts(docs, rows, none):
     tok = Tokenizer.from_file(token_files.tokenizer_file())
     total = Counter()
