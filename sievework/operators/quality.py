@@ -222,3 +222,24 @@ def ranked(df: DataFrame, *order: str, ranges: int = 64) -> DataFrame:
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
     numbered = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     return numbered.join(F.broadcast(before), "_p").withColumn("rank", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
+
+
+#: Ranks of one block of :func:`moving_mean`: weights within it stay far from zero.
+BLOCK = 512
+
+
+def moving_mean(rows: DataFrame, key: str, order: str, value: str, momentum: float = 0.99) -> DataFrame:
+    """(key, n, mean): the exponential moving mean of each key in order, the first value
+    as it is. Null values are left out.
+
+    A value's weight depends on its distance from the key's last value alone, so sums
+    by block of ranks, then of blocks, give the mean; a hot key fills no task."""
+    line = ranked(rows.filter(F.col(value).isNotNull()).select(key, order, value), key, order).withColumn("_block", F.floor(F.col("rank") / BLOCK))
+    decay = lambda d: F.pow(F.lit(momentum), d)
+    last = (F.col("_block") + 1) * BLOCK
+    blocks = line.groupBy(key, "_block").agg(
+        F.sum(F.col(value) * (1 - momentum) * decay(last - F.col("rank"))).alias("_sum"), F.min("rank").alias("_from"), F.max("rank").alias("_to"), F.min_by(value, "rank").alias("_v")
+    )
+    ends = blocks.groupBy(key).agg(F.min("_from").alias("_first"), F.max("_to").alias("_last"), F.min_by("_v", "_from").alias("_initial"))
+    total = blocks.select(key, "_block", "_sum").join(ends, key).groupBy(key, "_first", "_last", "_initial").agg(F.sum(F.col("_sum") * decay(F.col("_last") - last)).alias("_sum"))
+    return total.select(key, (F.col("_last") - F.col("_first") + 1).alias("n"), (F.col("_sum") + momentum * F.col("_initial") * decay(F.col("_last") - F.col("_first"))).alias("mean"))

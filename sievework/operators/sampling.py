@@ -14,15 +14,33 @@ def hash_key(seed, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
+def first_by_hash(rows: DataFrame, most, seed=42, key: str = "id", group: str | None = None, *parts: str) -> DataFrame:
+    """Of each group the first rows in the order of a hash of ``parts`` (the key, if
+    none), then of the key. ``most`` makes the number of a group from columns (group, n).
+
+    The hash's first 16 bits are counted, which tells the place where a group is cut;
+    only the rows of that place are put in order. So no task sorts a group, and no
+    row comes to the driver, however many are taken. A null group is one of its own."""
+    names = rows.columns
+    keyed = rows.withColumns({"_h": hash_key(seed, *(parts or (key,))), "_g": F.struct((F.col(group) if group else F.lit(0)).alias(group or "all"))}).withColumn("_b", F.substring("_h", 1, 4))
+    w = Window.partitionBy("_g")
+    places = keyed.groupBy("_g", "_b").agg(F.count("*").alias("_c")).withColumns({"_n": F.sum("_c").over(w), "_to": F.sum("_c").over(w.orderBy("_b"))})
+    wanted = F.least(most(F.col(f"_g.{group}") if group else F.lit(0), F.col("_n")), F.col("_n"))
+    cut = places.withColumn("_need", wanted - F.col("_to") + F.col("_c")).filter((F.col("_need") > 0) & (F.col("_need") <= F.col("_c"))).select("_g", F.col("_b").alias("_cut"), "_need")
+    near = keyed.join(cut, "_g").filter(F.col("_b") <= F.col("_cut"))
+    edge = near.filter(F.col("_b") == F.col("_cut")).withColumn("_r", F.row_number().over(w.orderBy("_h", key))).filter(F.col("_r") <= F.col("_need"))
+    return near.filter(F.col("_b") < F.col("_cut")).select(*names).unionByName(edge.select(*names))
+
+
 def official_split(rows: DataFrame, seed: int = 42, denom: int = 16) -> DataFrame:
-    """Adds split: per domain the first n div denom ids in hash order are test."""
+    """Adds split: per domain the first n div denom ids in hash order are test. Rows of
+    one id share their split; a null domain is one of its own, a null id a train row."""
     if denom < 2:
         raise ValueError("denom must be at least 2")
     ids = rows.select("domain", "id").distinct()
-    n = ids.groupBy("domain").agg(F.floor(F.count("*") / denom).alias("n_test"))
-    w = Window.partitionBy("domain").orderBy(hash_key(seed, "domain", "id"), "id")
-    split = ids.withColumn("r", F.row_number().over(w)).join(n, "domain").select("domain", "id", F.when(F.col("r") <= F.col("n_test"), "test").otherwise("train").alias("split"))
-    return rows.join(split, ["domain", "id"])
+    test = first_by_hash(ids, lambda g, n: F.floor(n / denom), seed, "id", "domain", "domain", "id").select(F.col("domain").alias("_domain"), F.col("id").alias("_id"), F.lit("test").alias("_split"))
+    joined = rows.drop("split").join(test, F.col("domain").eqNullSafe(F.col("_domain")) & (F.col("id") == F.col("_id")), "left")
+    return joined.withColumn("split", F.coalesce("_split", F.lit("train"))).drop("_domain", "_id", "_split")
 
 
 def official_split_exact(rows: DataFrame, seed: int = 42, denom: int = 16) -> DataFrame:
@@ -47,15 +65,13 @@ def keep_or_split(rows: DataFrame, force: bool = False) -> DataFrame:
 
 
 def reservoir(rows: DataFrame, k: int, seed: int = 42, key: str = "id") -> DataFrame:
-    """Exactly k rows, uniform by hash order."""
-    return rows.orderBy(hash_key(seed, key), key).limit(k)
+    """Exactly k rows (all, if there are fewer), uniform by hash order."""
+    return first_by_hash(rows, lambda g, n: F.lit(k), seed, key)
 
 
 def per_group(rows: DataFrame, group: str, quota: dict, seed: int = 42) -> DataFrame:
     """The first quota[g] rows of each group in hash order; others go."""
-    w = Window.partitionBy(group).orderBy(hash_key(seed, "id"), "id")
-    most = F.coalesce(*[F.when(F.col(group) == g, n) for g, n in quota.items()], F.lit(0))
-    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(quota.values())).filter(F.col("_r") <= most).drop("_r")
+    return first_by_hash(rows.filter(F.col(group).isin(*quota)), lambda g, n: F.coalesce(*[F.when(g == name, k) for name, k in quota.items()], F.lit(0)), seed, "id", group)
 
 
 def balanced(rows: DataFrame, most: int | None, fraction: float, seed: int = 42) -> DataFrame:

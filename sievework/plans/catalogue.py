@@ -589,9 +589,10 @@ s AS (SELECT item_id, conv_id, turn, c, CASE WHEN contains(c, t) THEN 1 + least(
 k AS (SELECT item_id, conv_id, turn, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, conv_id, turn, c) AS rank FROM s WHERE score > 0) SELECT item_id, conv_id, turn, rank::INT AS rank, round(score, 6) AS score FROM k WHERE rank <= 5""")
 def lexical_topk(spark, sf_dir):
     """Five best turns of each query item: substring first, else word overlap."""
-    q = read(spark, sf_dir, "benchmark").filter(F.col("item_id") % 50 == 0).select("item_id", T.norm_train(F.col("text")).alias("t"))
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", T.norm_train(F.col("text")).alias("c"))
-    score = F.when(F.contains("c", "t"), 1 + F.least(F.length("t") / F.greatest(F.length("c"), F.lit(1)), F.lit(1.0))).otherwise(T.set_jaccard(T.word_set(F.col("t")), T.word_set(F.col("c"))))
+    form = lambda df, name, *keep: df.select(*keep, T.norm_train(F.col("text")).alias(name)).withColumn(f"{name}_words", T.word_set(F.col(name)))
+    q = form(read(spark, sf_dir, "benchmark").filter(F.col("item_id") % 50 == 0), "t", "item_id")
+    c = form(read(spark, sf_dir, "conversations"), "c", "conv_id", "turn")
+    score = F.when(F.contains("c", "t"), 1 + F.least(F.length("t") / F.greatest(F.length("c"), F.lit(1)), F.lit(1.0))).otherwise(T.set_jaccard(F.col("t_words"), F.col("c_words")))
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "conv_id", "turn", "c")
     return c.crossJoin(q).withColumn("score", score).filter("score > 0").withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("item_id", "conv_id", "turn", "rank", F.round("score", 6).alias("score"))
 
@@ -619,8 +620,8 @@ e AS (SELECT user_id, i, value AS m FROM o WHERE i = 1 UNION ALL SELECT o.user_i
 SELECT user_id, round(arg_max(m, i), 6) AS ema FROM e GROUP BY user_id""")
 def ema_by_user(spark, sf_dir):
     """Exponential moving mean, initialised by the first value."""
-    v = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("v")).select("user_id", F.col("v.value").alias("v"))
-    return v.select("user_id", F.round(F.aggregate(F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0))), F.get("v", F.lit(0)), lambda m, x: m * 0.99 + x * 0.01), 6).alias("ema"))
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return quality.moving_mean(e, "user_id", "event_id", "value").select("user_id", F.round("mean", 6).alias("ema"))
 
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -103,3 +103,30 @@ def test_geometry_of_a_cone_and_a_spread(spark):
     assert abs(a.uniformity - 1) < 1e-9 and abs(a.center - 1) < 1e-9 and b.center < 0.01 and b.uniformity < 0.4 and b.total < a.total
     with pytest.raises(Exception, match="beyond the raster"):
         losses.grid_affinity(cone.select("id", F.lit(0).alias("tok"), "vec"), cone.select("id", F.lit(9).alias("tok"), "vec"), spark.createDataFrame([(0, 0)], "q long, d long"), 2, 2).collect()
+
+
+def test_cuts_by_hash_match_an_order(spark):
+    import hashlib
+
+    from sievework.operators import quality, sampling
+
+    ids = [(i, None if i % 5 == 0 else "g" if i % 5 < 4 else "s") for i in range(3000)]
+    df = spark.createDataFrame(ids, "id long, domain string")
+    key = lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i)
+    for k in (0, 1, 700, 3000, 5000):
+        assert sorted(r.id for r in sampling.reservoir(df, k).collect()) == sorted(sorted(range(3000), key=key)[:k])
+    got = sampling.official_split(df.unionByName(df)).collect()
+    assert len(got) == 6000
+    for d in (None, "g", "s"):
+        own = [i for i, e in ids if e == d]
+        first = sorted(own, key=lambda i: (hashlib.md5(":".join(["42", *([d] if d else []), str(i)]).encode()).hexdigest(), i))[: len(own) // 16]
+        assert {r.id for r in got if r.domain == d and r.split == "test"} == set(first)
+    assert sampling.official_split(df.limit(0)).count() == 0 and sampling.reservoir(df.limit(0), 5).count() == 0
+    assert sampling.per_group(df.unionByName(df), "domain", {"g": 3, "s": 10**6, "none": 4}).groupBy("domain").count().orderBy("domain").collect() == [("g", 3), ("s", 1200)]
+    values = [(u, i, float((i * 7919) % 101)) for u, n in (("a", 3000), ("b", 1), ("c", 512)) for i in range(n)]
+    rows = spark.createDataFrame([*values, ("d", 1, None)], "u string, i long, v double")
+    want = {}
+    for u, i, v in values:
+        want[u] = v if u not in want else 0.99 * want[u] + 0.01 * v
+    means = {r.u: r.mean for r in quality.moving_mean(rows, "u", "i", "v").collect()}
+    assert means.keys() == want.keys() and all(abs(means[u] - want[u]) < 1e-9 for u in want)
