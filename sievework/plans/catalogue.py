@@ -144,7 +144,9 @@ def similar_members(spark, sf_dir):
     return dedup.similarity_join(items_and_turns(spark, sf_dir))[1]
 
 
-@query()
+@query(META.replace("WITH", "WITH RECURSIVE", 1) + f""", t AS (SELECT id, len(captions)::INT AS n, list_filter(list_transform(captions, lambda c: {STRIP.format('c')}), lambda c: c <> '') AS cap FROM meta),
+g AS (SELECT id, n, cap, 1 AS i, []::VARCHAR[] AS acc FROM t UNION ALL SELECT id, n, cap, i + 1, CASE WHEN len(list_filter(acc, lambda k: {s_near('k', 'cap[i]')})) > 0 THEN acc ELSE list_append(acc, cap[i]) END FROM g WHERE i <= len(cap))
+SELECT id, n, len(acc)::INT AS kept FROM g WHERE i = len(cap) + 1""")
 def greedy_captions(spark, sf_dir):
     """Captions that the order-dependent dedup keeps."""
     return meta(spark, sf_dir).select("id", F.size("captions").alias("n"), F.size(T.greedy_distinct(F.col("captions"))).alias("kept"))
@@ -574,7 +576,11 @@ def token_dropout(spark, sf_dir):
     return e.withColumns({"r": F.row_number().over(w), "n": n}).filter(F.col("r") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.6, 0))).select("d", "vec_id")
 
 
-@query()
+@query("""WITH RECURSIVE u AS (SELECT vec_id // 8 AS id, vec_id % 8 AS t, list_transform(embedding::DOUBLE[], lambda x: x / greatest(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12)) AS v FROM embeddings),
+r AS (SELECT id, t, v AS s, 1 AS n, 0 AS g FROM u WHERE t = 0 UNION ALL
+  SELECT id, t, CASE WHEN ok THEN list_transform(list_zip(s, v), lambda z: z[1] + z[2]) ELSE v END, CASE WHEN ok THEN n + 1 ELSE 1 END, CASE WHEN ok THEN g ELSE g + 1 END
+  FROM (SELECT u.id, u.t, u.v, r.s, r.n, r.g, list_dot_product(r.s, u.v) / greatest(sqrt(list_dot_product(r.s, r.s)), 1e-12) >= 0.2 AS ok FROM r JOIN u ON u.id = r.id AND u.t = r.t + 1))
+SELECT id, g::BIGINT AS tok, max(n)::BIGINT AS n FROM r GROUP BY id, g""")
 def merged_tokens(spark, sf_dir):
     """Consecutive similar tokens merged."""
     return vectors.merge_consecutive(tokens(spark, sf_dir)[1], 0.2).select("id", "tok", "n")
