@@ -71,3 +71,32 @@ def query_cache(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select("value", F.struct("_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("_at"))
     entry = lines.select(F.from_json("value", "caption string, related_query string, unrelated_query string").alias("e"), "_at").select("e.*", "_at").filter("caption IS NOT NULL")
     return entry.withColumn("caption", strip(F.col("caption"))).groupBy("caption").agg(F.max_by(F.struct("related_query", "unrelated_query"), "_at").alias("q")).select("caption", "q.*")
+
+
+def flagged_rows(spark: SparkSession, directory: str, rows: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """(id, codes) of rows with a wanted code: from the audit's flag lines if there are
+    any, else by an audit of ``rows``."""
+    from ..operators import quality, records
+
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{directory}/flags")
+    written = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    found = spark.read.schema("id string, codes array<string>").json(f"{directory}/flags") if written else quality.flags(rows).select("id", "codes")
+    return records.with_codes(found.select("id"), found, wanted)
+
+
+def first_source(*sources) -> tuple[str, DataFrame]:
+    """(name, rows) of the first of (name, reader) pairs whose reader gives a row; what
+    fails or is empty is logged and passed over, and if all are, that is an error."""
+    import logging
+
+    tried = []
+    for name, reader in sources:
+        try:
+            rows = reader()
+            if rows.limit(1).count():
+                return name, rows
+            tried.append(f"{name}: empty")
+        except Exception as e:  # noqa: BLE001  # any source may give way to the next
+            tried.append(f"{name}: {type(e).__name__}")
+        logging.getLogger(__name__).warning("source passed over, %s", tried[-1])
+    raise ValueError("no source has rows; " + "; ".join(tried))

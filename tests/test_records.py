@@ -130,3 +130,32 @@ def test_cuts_by_hash_match_an_order(spark):
         want[u] = v if u not in want else 0.99 * want[u] + 0.01 * v
     means = {r.u: r.mean for r in quality.moving_mean(rows, "u", "i", "v").collect()}
     assert means.keys() == want.keys() and all(abs(means[u] - want[u]) < 1e-9 for u in want)
+
+
+def test_answers_and_settings(spark):
+    from sievework.functions import parsing
+
+    one = '{"related_query": " A Kite ", "unrelated_query": "Tea"}'
+    fence = "`" * 3
+    texts = [one, f"Sure [1: \n{fence}json\n[{one}]\n{fence} bye", f"[{one}, {one}]", "no", None, '{"related_query": "", "unrelated_query": "x"}', "[" * 3000, f"[oops] {one}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.a for r in df.select("i", parsing.parsed_answer(F.col("t")).alias("a")).collect()}
+    assert [i for i, a in got.items() if a] == [0, 1, 7] and tuple(got[1][0]) == ("a kite", "tea")
+    assert len(parsing.query_entries(texts[2], 2)) == 2 and df.limit(0).select(parsing.parsed_answer(F.col("t"))).count() == 0
+    assert parsing.source_spec("a, b:2, c:pair-class ,d:x:y,e:x:0.5,", []) == [("a", "pair", 1.0), ("b", "pair", 2.0), ("c", "pair-class", 1.0), ("d", "x", 1.0), ("e", "x", 0.5)]
+    assert parsing.source_spec(" mix ", [("z", "pair", 1.0)]) == parsing.source_spec(None, [("z", "pair", 1.0)]) == [("z", "pair", 1.0)]
+
+
+def test_flags_and_sources_by_precedence(spark, tmp_path):
+    from sievework.operators import quality
+    from sievework.sources import readers, writers
+
+    rows = spark.createDataFrame([("a", "general", "s", ["one kite aloft here", "a harbour wall in fog"], "kite", "tea leaves in a tin"), ("b", "general", "s", ["one kite aloft here", "a harbour wall in fog"], "kites over a town", "tea leaves in a box")], "id string, domain string, source string, captions array<string>, query string, unrelated_query string")
+    live = {r.id: r.codes for r in readers.flagged_rows(spark, str(tmp_path / "none"), rows, ["query_too_short"]).collect()}
+    writers.audit(quality.flags(rows), str(tmp_path / "q"))
+    read = {r.id: r.codes for r in readers.flagged_rows(spark, str(tmp_path / "q"), rows, ["query_too_short"]).collect()}
+    assert live == read == {"a": ["query_too_short"]}
+    name, got = readers.first_source(("lost", lambda: spark.read.parquet(str(tmp_path / "lost"))), ("empty", lambda: rows.limit(0)), ("rows", lambda: rows))
+    assert name == "rows" and got.count() == 2
+    with pytest.raises(ValueError, match="no source"):
+        readers.first_source(("empty", lambda: rows.limit(0)))
