@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import remove, shared_dir, table
 
 #: Entries of a lexicon at most, and letters of the beginnings that are counted.
 MOST, SHORTEST, LONGEST = 20_000, 3, 9
@@ -164,11 +164,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col) == 1).alias("toxic"))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter(F.col("id").isNotNull() & ~held_out("id"))
-    rows = rows.join(known, "id").withColumn("x", folding("text")).select("id", (F.crc32(F.col("id").cast("string")) % 3 == 0).alias("half"), "toxic", "x.folded", "x.sigs")
-    rows = table(rows, "toxicity-rows")
+    # Labels grow as documents do, so they are never broadcast.
+    rows = rows.join(known.hint("merge"), "id").withColumn("x", folding("text")).select("id", (F.crc32(F.col("id").cast("string")) % 3 == 0).alias("half"), "toxic", "x.folded", "x.sigs")
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "toxicity-folded")
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     least = rows.select("id", "toxic", F.explode("sigs").alias("sig")).groupBy("toxic", "sig").agg(F.min("id").alias("id"))
     firsts = least.groupBy("id").agg(F.count("*").alias("_n"))
-    return table(rows.join(firsts, "id", "left").withColumn("own", F.coalesce(F.col("_n") == F.size("sigs"), F.lit(False))).drop("_n", "sigs"), "toxicity-rows")
+    marked = rows.join(firsts.hint("merge"), "id", "left").withColumn("own", F.coalesce(F.col("_n") == F.size("sigs"), F.lit(False)))
+    out = table(marked.drop("_n", "sigs"), "toxicity-rows")
+    remove(spark, path)
+    return out
 
 
 HALVES = {"first": ("p0", "n0"), "second": ("p1", "n1"), "whole": ("p", "n")}
