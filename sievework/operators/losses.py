@@ -146,9 +146,9 @@ def jet(t: Column) -> Column:
     return F.struct(byte(ramp(x - 2, F.lit(1.0))).alias("red"), byte(ramp(x, 4 - x)).alias("green"), byte(ramp(2 - x, F.lit(1.0))).alias("blue"))
 
 
-def earlier_top_k(scores: DataFrame, k: int = 2) -> DataFrame:
-    """The k most similar of the entries stored before each query (smaller ids)."""
-    return vectors.top_k(scores.filter(F.col("d") < F.col("q")), k)
+def earlier_top_k(entries: DataFrame, k: int = 2) -> DataFrame:
+    """The k most similar of the entries (id, tok, vec) stored before each (smaller ids)."""
+    return vectors.maxsim_top_k(entries, entries, k, earlier=True)
 
 
 def dequantised(codes: Column, scale: Column) -> Column:

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query tokens of one block: what a task holds of the query side.
-BLOCK = 4096
-
+from .maxsim import maxsim, maxsim_top_k, token_maxsim  # noqa: F401  # part of this module's functions
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -21,43 +19,6 @@ def prefix_normalize(v: Column, dim: int) -> Column:
     return F.transform(p, lambda x: x / F.greatest(F.sqrt(dot(p, p)), F.lit(1e-12)))
 
 
-def token_maxsim(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(q, qt, d, s): for each query token its best similarity among a document's
-    tokens. Both sides are (id, tok, vec).
-
-    Query tokens go to the tasks in blocks of ``BLOCK`` vectors, a pass over the
-    documents each; a batch's scores are one matrix product, and maxima are
-    pre-aggregated by batch.
-    """
-    spark = docs.sparkSession
-    rows = [(r.id, r.tok, r.vec) for r in queries.select("id", "tok", "vec").orderBy("id", "tok").toLocalIterator()]
-    out = None
-    for k in range(0, max(1, len(rows)), BLOCK):
-        part = rows[k : k + BLOCK]
-        if not part:
-            return spark.createDataFrame([], "q long, qt long, d long, s double")
-        shared = spark.sparkContext.broadcast(([r[0] for r in part], [r[1] for r in part], np.array([r[2] for r in part], np.float64)))
-
-        def score(frames, shared=shared):
-            q, t, m = shared.value
-            for f in frames:
-                if len(f):
-                    s = m @ np.stack([np.asarray(v, np.float64) for v in f["vec"]]).T
-                    ids, at = np.unique(f["id"].to_numpy(), return_inverse=True)
-                    best = np.full((len(q), len(ids)), -np.inf)
-                    np.maximum.at(best, (slice(None), at), s)
-                    yield pd.DataFrame({"q": np.repeat(q, len(ids)), "qt": np.repeat(t, len(ids)), "d": np.tile(ids, len(q)), "s": best.ravel()})
-
-        one = docs.select("id", "vec").mapInPandas(score, "q long, qt long, d long, s double")
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("q", "qt", "d").agg(F.max("s").alias("s"))
-
-
-def maxsim(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(q, d, score): mean over query tokens of the best similarity."""
-    return token_maxsim(queries, docs).groupBy("q", "d").agg(F.avg("s").alias("score"))
-
-
 def top_k(scores: DataFrame, k: int, by: str = "q", order: str = "score", tie: str = "d") -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc(order), F.asc(tie))
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

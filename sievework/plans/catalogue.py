@@ -468,7 +468,7 @@ def scores(spark, sf_dir):
 @query(TOK + ", r AS (SELECT q, d, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS rank FROM sc) SELECT q, d, rank::INT AS rank, round(score, 6) AS score FROM r WHERE rank <= 10")
 def maxsim_topk(spark, sf_dir):
     """Ten best documents of each query by mean MaxSim."""
-    return vectors.top_k(scores(spark, sf_dir)[0], 10).select("q", "d", "rank", F.round("score", 6).alias("score"))
+    return vectors.maxsim_top_k(*tokens(spark, sf_dir), 10).select("q", "d", "rank", F.round("score", 6).alias("score"))
 
 
 @query("WITH p AS (SELECT vec_id, unnest([8, 16, 32]) AS dim, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, dim, round(v[1] / greatest(sqrt(list_dot_product(v[1:dim], v[1:dim])), 1e-12), 6) AS first FROM p")

@@ -122,7 +122,7 @@ r AS (SELECT q, d, score, row_number() OVER (PARTITION BY q ORDER BY score DESC,
 def earlier_entries(spark, sf_dir):
     """The two most similar of the queries stored before each query."""
     q, _ = tokens(spark, sf_dir)
-    return losses.earlier_top_k(vectors.maxsim(q, q), 2).select("q", "d", "rank", F.round("score", 6).alias("score"))
+    return losses.earlier_top_k(q, 2).select("q", "d", "rank", F.round("score", 6).alias("score"))
 
 
 @query("""WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS m FROM embeddings)
