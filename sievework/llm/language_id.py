@@ -15,7 +15,6 @@ rows each give a row; an empty table gives none; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +26,14 @@ from pyspark.sql.window import Window
 from .shared import fresh
 
 BUCKETS = 1 << 16
-LETTER = re.compile(r"[^\W\d_]")
 #: Sharpness of the softmax over ridge outputs (which lie near -1 and 1).
 SHARP = 4.0
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def presence(text: str) -> np.ndarray:
     """Sorted bucket numbers of the whole text's n-grams, n from 1 to 3."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -67,7 +69,7 @@ class Classifier:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
-        at = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.languages else []
+        at = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.languages else []
         if at:
             s = self.scores([texts[i] for i in at])
             best = s.argmax(1)
@@ -79,7 +81,7 @@ class Classifier:
 
 def train(rows: list[tuple[str, str]], landmarks: int = 160, ridge: float = 1e-3) -> Classifier:
     """Fit on (text, lang) rows, every ``len / landmarks``-th of which is a landmark."""
-    rows = [(t, g) for t, g in rows if t and LETTER.search(t)]
+    rows = [(t, g) for t, g in rows if t and has_letter(t)]
     languages = sorted({g for _, g in rows})
     if not rows:
         return Classifier([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.llm import filter_audit, lexical_search, registry, toxicity
+from sievework.llm import filter_audit, language_id, lexical_search, registry, toxicity
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -186,3 +186,9 @@ def test_toxicity_on_odd_rows(spark, docs, rows, none):
     assert none.select(toxicity.toxicity(none, model)).count() == 0
     ids = [r[0] for r in docs.select(toxicity.held_out()).collect()]
     assert ids == [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 1 for r in rows]
+
+
+def test_number_signs_are_no_letters(spark):
+    model = language_id.train([("hello there world", "en"), ("bonjour le monde", "fr")] * 3)
+    lang, score = model.predict(["5 ½ ²", "Ⅷ ③ ٣", "_ -", "½ a", "ª", None, ""])
+    assert lang[:3] == ["und"] * 3 and score[:3] == [0.0] * 3 and "und" not in lang[3:5] and lang[5:] == ["und"] * 2
