@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import written
 
 # Domains, severities by code, codes that ask for a repair.
 DOMAINS = ("general", "satellite")
@@ -90,7 +91,7 @@ def flags(rows: DataFrame, query_threshold: int = 15, unrelated_threshold: int =
         on(~F.coalesce(F.col("domain"), F.lit("")).isin(*DOMAINS), "bad_domain"),
         *[on(F.coalesce(T.strip(F.col(c)), F.lit("")) == "", "empty_field") for c in ("source", "query", "unrelated_query")],
         on(F.size(cap) < 2, "empty_field"),
-        on((F.size(cap) >= 2) & pair, "captions_not_diverse"),  # so fewer than two that are distinct, too
+        on((F.size(cap) == 1) | pair, "captions_not_diverse"),  # two or more without a near pair are all distinct
         on((q != "") & (F.length(q) < min_query), "query_too_short"),
         on(F.length(q) > max_query, "query_too_long"),
         on(q.rlike("(?i)" + T.BOILERPLATE), "query_boilerplate"),
@@ -172,38 +173,47 @@ def distractor_bank(spark, n: int) -> DataFrame:
         part[name] = F.element_at(F.array(*map(F.lit, words)), (F.floor(i / at) % len(words) + 1).cast("int"))
         at *= len(words)
     again = F.floor(i / at)
-    phrase = F.concat(part["style"], F.lit(" of "), part["subject"], F.lit(" "), part["setting"], F.when(again > 0, F.concat(F.lit(" view "), again.cast("string"))).otherwise(""))
+    phrase = F.concat(part["style"], F.lit(" of "), part["subject"], F.lit(" "), part["setting"], F.when(again > 0, F.concat(F.lit(", take "), again.cast("string"))).otherwise(""))
     return spark.range(n).select(phrase.alias("phrase"))
 
 
-#: Bank phrases that are tried for a row.
-TRIES = 3
-
-
 def repair_unrelated(flagged: DataFrame, bank: DataFrame | None = None, least: int = 80_000) -> DataFrame:
     """(id, unrelated_query, how) for every row: kept, local_bank with a phrase of its
-    own, or failed where no phrase is left.
+    own, or failed where every phrase left is the row's query or one of its captions.
 
     A row asks by any code of ``UNRELATED_CODES``, empty_field only if this is the
     empty field. Phrases in use in the corpus, generic ones and those under 12
-    characters go from the bank. The r-th of n rows tries the phrases r, n + r and
-    2 n + r and takes the first that is neither its query nor one of its captions, so
-    no two rows meet. Without ``bank`` one of ``least`` or more phrases is built that
-    has all those tries."""
+    characters go from the bank. Rows and phrases meet by rank in rounds: who cannot
+    take each other meet others in the next, in another order, until a count of the
+    pairs that cannot meet tells that no other are left. Without ``bank`` one of
+    ``least`` phrases or two for each row that asks is built."""
+    spark = flagged.sparkSession
     u = T.strip(F.coalesce("unrelated_query", F.lit("")))
     asks = needs(F.col("codes"), [c for c in UNRELATED_CODES if c != "empty_field"]) | (u == "")
-    used = flagged.select("unrelated_query").filter(~F.coalesce(T.is_generic(F.col("unrelated_query")), F.lit(True))).select(T.norm_quality(F.col("unrelated_query")).alias("norm")).distinct()
-    rows = flagged.select("id", "unrelated_query", "query", "captions", asks.alias("asks")).persist()
-    n = rows.filter("asks").count()
-    bank = bank if bank is not None else distractor_bank(flagged.sparkSession, max(least, TRIES * n + used.count()))
+    banned = F.array_distinct(F.transform(F.concat(F.coalesce("captions", F.array().cast("array<string>")), F.array("query")), T.norm_quality))
+    rows = written(flagged.select(F.monotonically_increasing_id().alias("_row"), "id", "unrelated_query", banned.alias("banned"), asks.alias("asks")), "asking")
+    used = rows.select("unrelated_query").filter(~F.coalesce(T.is_generic(F.col("unrelated_query")), F.lit(True))).select(T.norm_quality(F.col("unrelated_query")).alias("norm")).distinct()
+    left = rows.filter("asks").select("_row", "banned")
+    n = left.count()
+    if bank is None:
+        bank = distractor_bank(spark, max(least, 2 * n + used.count()))
     free = bank.withColumn("norm", T.norm_quality(F.col("phrase"))).filter((F.length("phrase") >= 12) & ~T.is_generic(F.col("phrase")))
-    free = free.dropDuplicates(["norm"]).join(used, "norm", "left_anti").withColumn("_o", F.xxhash64("norm"))
-    banned = F.transform(F.concat(F.coalesce("captions", F.array().cast("array<string>")), F.array("query")), T.norm_quality)
-    tries = ranked(rows.filter("asks").select("id", banned.alias("banned")), "id").select("id", "banned", F.posexplode(F.array(*[F.col("rank") + k * n for k in range(TRIES)])).alias("k", "rank"))
-    taken = tries.join(ranked(free, "_o", "norm").select("rank", "phrase", "norm"), "rank").filter(~F.coalesce(F.array_contains("banned", F.col("norm")), F.lit(False)))
-    taken = taken.groupBy("id").agg(F.min_by("phrase", "k").alias("phrase"))
+    free = written(free.groupBy("norm").agg(F.min("phrase").alias("phrase")).join(used, "norm", "left_anti"), "phrases")
+    m, taken, turn = free.count(), None, 0
+    while n and m:
+        turn += 1
+        shuffled = lambda df, c: ranked(df.withColumn("_o", F.xxhash64(c, F.lit(turn))), "_o", c).drop("_o")  # noqa: B023, E731
+        met = shuffled(left, "_row").join(shuffled(free, "norm"), "rank").filter(~F.coalesce(F.array_contains("banned", F.col("norm")), F.lit(False)))
+        now = written(met.select("_row", "phrase", "norm"), "assigned")
+        taken = now if taken is None else taken.unionByName(now)
+        left, free = written(left.join(now, "_row", "left_anti"), "asking"), written(free.join(now, "norm", "left_anti"), "phrases")
+        n, m = left.count(), free.count()
+        if n and m and left.select(F.explode("banned").alias("norm")).join(free, "norm").count() == n * m:
+            break
+    if taken is None:
+        taken = spark.createDataFrame([], "_row long, phrase string")
     how = F.when(~F.col("asks"), "kept").when(F.col("phrase").isNotNull(), "local_bank").otherwise("failed")
-    return rows.join(taken, "id", "left").select("id", F.when(F.col("asks"), F.col("phrase")).otherwise(F.col("unrelated_query")).alias("unrelated_query"), how.alias("how"))
+    return rows.join(taken.select("_row", "phrase"), "_row", "left").select("id", F.when(F.col("asks"), F.col("phrase")).otherwise(F.col("unrelated_query")).alias("unrelated_query"), how.alias("how"))
 
 
 def ranked(df: DataFrame, *order: str, ranges: int = 64) -> DataFrame:

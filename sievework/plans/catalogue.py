@@ -165,7 +165,7 @@ nd AS (SELECT DISTINCT a.id FROM e a JOIN e b ON a.id = b.id AND a.i < b.i WHERE
 fl AS (SELECT m.*, list_concat(list_filter([
   CASE WHEN domain NOT IN ('general', 'satellite') THEN 'bad_domain' END, CASE WHEN {STRIP.format('source')} = '' THEN 'empty_field' END,
   CASE WHEN q = '' THEN 'empty_field' END, CASE WHEN u = '' THEN 'empty_field' END, CASE WHEN len(cap) < 2 THEN 'empty_field' END,
-  CASE WHEN nd.id IS NOT NULL THEN 'captions_not_diverse' END, CASE WHEN q <> '' AND length(q) < 8 THEN 'query_too_short' END, CASE WHEN length(q) > 120 THEN 'query_too_long' END,
+  CASE WHEN nd.id IS NOT NULL OR len(cap) = 1 THEN 'captions_not_diverse' END, CASE WHEN q <> '' AND length(q) < 8 THEN 'query_too_short' END, CASE WHEN length(q) > 120 THEN 'query_too_long' END,
   CASE WHEN regexp_matches(q, '(?i){T.BOILERPLATE}') THEN 'query_boilerplate' END,
   CASE WHEN q <> '' THEN list_filter(list_transform(cap, lambda c: CASE WHEN {s_norm('c')} = nq THEN 'query_eq_caption' WHEN {OVER('q', 'c')} >= 0.85 THEN 'query_near_caption' END), lambda x: x IS NOT NULL)[1] END,
   CASE WHEN u = '' THEN NULL WHEN nu = '{T.OFFLINE_UNRELATED}' THEN 'offline_unrelated' WHEN nu = '' OR regexp_matches(nu, '(?i){"|".join(T.GENERIC_UNRELATED)}') THEN 'generic_unrelated' END,

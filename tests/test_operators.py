@@ -223,8 +223,8 @@ def test_similar_members_name_every_text(spark, tmp_path):
 
     from sievework.plans import catalogue
 
-    spark.createDataFrame([(1, "A red barn, in a field"), (2, "in a FIELD a red barn!"), (3, "two boats"), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame([(7, 1, "field: in a red barn"), (7, 2, "a red barn in a big field"), (8, 1, "")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "A blue tractor, by a hedge"), (2, "by a HEDGE a blue tractor!"), (3, "two boats"), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, 1, "hedge: by a blue tractor"), (7, 2, "a blue tractor by a big hedge"), (8, 1, "")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {tuple(r) for r in catalogue.QUERIES["similar_members"](spark, str(tmp_path)).collect()}
     assert got == {(1, 1), (2, 1), (1000701, 1), (3, 3), (1000702, 1000702)}
     assert {(r.a, r.b) for r in catalogue.QUERIES["similar_pairs"](spark, str(tmp_path)).collect()} == {(1, 1000702)}
@@ -236,8 +236,8 @@ def test_similar_members_name_every_text(spark, tmp_path):
 
 def test_every_row_that_asks_gets_a_phrase(spark):
     schema = "id string, captions array<string>, query string, unrelated_query string, codes array<string>"
-    good = [("k", ["a red barn", "two boats"], "barns", "an unrelated thing", [])]
-    asks = [(f"a{i}", ["a red barn", "first phrase of all"], "second phrase of all", u, [c]) for i, (u, c) in enumerate([(T.OFFLINE_UNRELATED, "offline_unrelated"), ("x y", "duplicate_unrelated_frequent"), ("", "empty_field"), ("barns", "unrelated_eq_query")])]
+    good = [("k", ["a blue tractor", "two boats"], "tractors", "an unrelated thing", [])]
+    asks = [(f"a{i}", ["a blue tractor", "first phrase of all"], "second phrase of all", u, [c]) for i, (u, c) in enumerate([(T.OFFLINE_UNRELATED, "offline_unrelated"), ("x y", "duplicate_unrelated_frequent"), ("", "empty_field"), ("tractors", "unrelated_eq_query")])]
     rows = spark.createDataFrame([*good, *asks, ("e", ["one"], "", "still an own phrase", ["empty_field"])], schema)
     got = {r.id: (r.unrelated_query, r.how) for r in quality.repair_unrelated(rows, least=1).collect()}
     assert got["k"] == ("an unrelated thing", "kept") and got["e"] == ("still an own phrase", "kept")
