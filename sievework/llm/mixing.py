@@ -11,7 +11,7 @@ a document is read from these drawn blocks.
 
 Everything grows with the number of blocks and is a table: targets come from
 aggregates over the sources, the tree goes down ``LEVELS`` levels a pass, each
-pass a group per node.
+pass a group per node and range of sources.
 
 Defined results: a null text has size 0; a null source is one source, ordered
 last; null ids hash as one value; rows equal in id and text share the cut in
@@ -35,11 +35,12 @@ from .shared import SPACE, fresh, join_counted, n_words, table
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-#: Words of a block and of a shard. Blocks grow only where a mix would have more
-#: than ``DRAWS`` draws (numpy draws from populations of under 10^9).
-BLOCK, SHARD, DRAWS = 20_000, 2_000_000, 500_000_000
-#: Levels of the tree that one pass goes down.
-LEVELS = 6
+#: Words of a block and of a shard.
+BLOCK, SHARD = 20_000, 2_000_000
+#: Levels of the tree that one pass goes down, and sources of a group.
+LEVELS, RANGE = 6, 4096
+#: Numpy's bound of a population, and standard deviations summed beyond it.
+NUMPY_MOST, WIDE = 10**9, 12
 #: Rows of a table of sources or draws that may be broadcast; larger ones are joined.
 SMALL = 200_000
 # Primes above any number of blocks: multiplied by one, the places of an epoch are permuted.
@@ -96,47 +97,127 @@ def place(block: Column, blocks: Column, sno: Column, epoch: Column, seed: int)
     return F.pmod((prime % blocks) * block + F.pmod(F.xxhash64(epoch, sno, F.lit(seed)), blocks), blocks)
 
 
-def split(draws: np.ndarray, shards: int, seed: tuple) -> tuple[np.ndarray, np.ndarray, int]:
-    """A node's draws of each source, divided between the left and right half of its
-    shards in proportion, drawn without replacement; and the left half's shards."""
-    left = shards // 2
-    n = int(draws.sum()) * left // shards
-    rng = np.random.default_rng(seed)
-    mine = rng.multivariate_hypergeometric(draws, n, method="marginals") if len(draws) else draws
-    return mine, draws - mine, left
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` draws without replacement are good. Numpy draws from populations
+    under 10^9; beyond, the distribution is summed around its mode, ``WIDE`` standard
+    deviations to either side, from the ratios of neighbouring values."""
+    if good + bad < NUMPY_MOST:
+        return int(rng.hypergeometric(good, bad, n)) if n else 0
+    low, high = max(0, n - bad), min(n, good)
+    mode = (n + 1) * (good + 1) // (good + bad + 2)
+    sd = math.sqrt(n * (good / (good + bad)) * (bad / (good + bad)) * max(1, good + bad - n) / (good + bad)) + 1
+    a, b = max(low, mode - int(WIDE * sd)), min(high, mode + int(WIDE * sd))
+    k = np.arange(a, b, dtype=np.float64)
+    ratio = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    log = np.concatenate([[0.0], np.cumsum(ratio)])
+    weight = np.cumsum(np.exp(log - log.max()))
+    return a + int(np.searchsorted(weight, rng.random() * weight[-1], "right"))
+
+
+def draw(rng: np.random.Generator, colours: np.ndarray, n: int) -> np.ndarray:
+    """A multivariate hypergeometric draw of ``n``, colour by colour."""
+    left = int(colours.sum())
+    if left < NUMPY_MOST:
+        return rng.multivariate_hypergeometric(colours, n, method="marginals") if len(colours) else colours
+    out = np.zeros_like(colours)
+    for i, c in enumerate(colours.tolist()):
+        left -= c
+        out[i] = hypergeometric(rng, c, left, n) if left else n
+        n -= int(out[i])
+    return out
+
+
+def lefts(total: int, shards: int) -> list[int]:
+    """Of a node's subtree, in heap order from 1, how many draws go left at each node:
+    a share by the halves' shards."""
+    out, now = [0] * (1 << LEVELS), {1: (total, shards)}
+    for i in range(1, 1 << LEVELS):
+        n, s = now.pop(i, (0, 1))
+        if s > 1:
+            out[i] = n * (s // 2) // s
+            now[2 * i], now[2 * i + 1] = (out[i], s // 2), (n - out[i], s - s // 2)
+    return out
+
+
+def deal(draws: np.ndarray, shards: int, left: list[int], rng: np.random.Generator):
+    """(what goes left of each item at each node of the subtree; its leaves as (number,
+    first shard, shards, starts, draws)). At every node the items' draws that go left
+    are drawn together and sum to ``left``."""
+    gone = np.zeros((len(draws), 1 << LEVELS), np.int64)
+    now, leaves = {1: (0, shards, np.zeros_like(draws), draws)}, []
+    for i in range(1, 2 << LEVELS):
+        if i not in now:
+            continue
+        low, s, start, own = now.pop(i)
+        if s == 1 or i >= 1 << LEVELS:
+            leaves.append((i, low, s, start, own))
+            continue
+        gone[:, i] = mine = draw(rng, own, left[i])
+        now[2 * i], now[2 * i + 1] = (low, s // 2, start, mine), (low + s // 2, s - s // 2, start + mine, own - mine)
+    return gone, leaves
+
+
+NODE = "node string, low long, shards long, sno long, start long, draws long"
+
+
+def _ranges(seed: int, height: int):
+    """Cuts (node, item, left) of one node's items with one parent."""
+
+    def cuts(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("item")
+        gone, _ = deal(f["draws"].to_numpy(), int(f["shards"].iat[0]), _left(f), _rng(f, seed, height))
+        return pd.DataFrame({"node": f["node"].iat[0], "item": f["item"].to_numpy(), "left": list(gone)})
+
+    return cuts
+
+
+def _sources(seed: int):
+    """The leaves, as rows of ``NODE``, of one node's sources of one range."""
 
+    def down(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("item")
+        _, leaves = deal(f["draws"].to_numpy(), int(f["shards"].iat[0]), _left(f), _rng(f, seed, 0))
+        node, begin, base = f["node"].iat[0], f["start"].to_numpy(), int(f["low"].iat[0])
+        out = [pd.DataFrame({"node": f"{node}.{i}", "low": base + low, "shards": s, "sno": f["item"].to_numpy(), "start": begin + start, "draws": own})[own > 0] for i, low, s, start, own in leaves]
+        return pd.concat(out, ignore_index=True)
 
-NODE = "node long, low long, shards long, sno long, start long, draws long"
+    return down
 
 
-def _descend(seed: int, levels: int):
-    """A node's subtrees ``levels`` below, as rows of ``NODE`` with draws."""
+def _left(f: pd.DataFrame) -> list[int]:
+    given = f["left"].iat[0]
+    return lefts(int(f["draws"].sum()), int(f["shards"].iat[0])) if given is None else [int(x) for x in given]
 
-    def down(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("sno")
-        now = [(int(f["node"].iat[0]), int(f["low"].iat[0]), int(f["shards"].iat[0]), f["sno"].to_numpy(), f["start"].to_numpy(), f["draws"].to_numpy())]
-        for _ in range(levels):
-            below = []
-            for node, low, shards, sno, start, draws in now:
-                if shards == 1:
-                    below.append((node, low, shards, sno, start, draws))
-                    continue
-                mine, rest, left = split(draws, shards, (seed, low, shards))
-                for k, (at, begin, n, first) in enumerate(((low, start, mine, left), (low + left, start + mine, rest, shards - left))):
-                    some = n > 0
-                    below.append((2 * node + k, at, first, sno[some], begin[some], n[some]))
-            now = below
-        return pd.concat([pd.DataFrame({"node": node, "low": low, "shards": shards, "sno": sno, "start": start, "draws": draws}) for node, low, shards, sno, start, draws in now], ignore_index=True)
 
-    return down
+def _rng(f: pd.DataFrame, seed: int, height: int) -> np.random.Generator:
+    return np.random.default_rng((seed, height, int(f["low"].iat[0]), int(f["shards"].iat[0]), int(f["parent"].iat[0])))
 
 
 def splitting_tree(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """(shard, sno, start, draws): which run of each source's ``draws`` a shard has,
-    of ``quotas`` (sno, draws). A level's rows are at most as many as all draws."""
-    now = quotas.filter("draws > 0").select(F.lit(1).cast("long").alias("node"), F.lit(0).cast("long").alias("low"), F.lit(shards).cast("long").alias("shards"), "sno", F.lit(0).cast("long").alias("start"), "draws")
+    of ``quotas`` (sno, draws). A level's rows are at most as many as all draws.
+
+    A node's sources are dealt in ranges of ``RANGE``, these in ranges of ranges: first
+    how many draws of each range go left, then, given these, how many of each source
+    within. So a group has ``RANGE`` rows at most, and the draw is that of all
+    sources together."""
+    now = quotas.filter("draws > 0").select(F.lit("1").alias("node"), F.lit(0).cast("long").alias("low"), F.lit(shards).cast("long").alias("shards"), "sno", F.lit(0).cast("long").alias("start"), "draws")
+    most, heights = (quotas.agg(F.max("sno")).first()[0] or 0) + 1, 1
+    while RANGE**heights < most:
+        heights += 1
     for _ in range(0, math.ceil(math.log2(shards)) if shards > 1 else 0, LEVELS):
-        now = table(now.groupBy("node").applyInPandas(_descend(seed, LEVELS), NODE), "mix-nodes")
+        cuts = None
+        for h in reversed(range(heights)):
+            items = now.withColumn("item", F.floor(F.col("sno") / RANGE**h))
+            if h:
+                items = items.groupBy("node", "low", "shards", "item").agg(F.sum("draws").alias("draws"))
+            items = items.withColumn("parent", F.floor(F.col("item") / RANGE))
+            items = items.withColumn("left", F.lit(None).cast("array<long>")) if cuts is None else items.join(cuts.withColumnRenamed("item", "parent"), ["node", "parent"])
+            group = items.groupBy("node", "parent")
+            if h:
+                cuts = table(group.applyInPandas(_ranges(seed, h), "node string, item long, left array<long>"), "mix-cuts")
+            else:
+                now = table(group.applyInPandas(_sources(seed), NODE), "mix-nodes")
     return now.select(F.col("low").alias("shard"), "sno", "start", "draws")
 
 
@@ -147,7 +228,6 @@ def plan(rows: DataFrame, block_words: int = BLOCK, shard_words: int = SHARD, se
     shard, partial: whether that block is cut), both written."""
     goals = targets(rows)
     words = goals.agg(F.sum("target")).first()[0] or 0.0
-    block_words = max(block_words, math.ceil(words / DRAWS))
     want, size = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
     epochs = F.least(F.expr("2L"), F.floor(F.col("want") / size))
     sources = goals.withColumn("want", want).withColumns({"epochs": epochs.cast("int"), "blocks": F.greatest(F.ceil(F.col("source_size") / block_words), F.lit(1))})

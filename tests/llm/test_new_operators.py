@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.llm import filter_audit, language_id, lexical_search, registry, toxicity
+from sievework.llm import filter_audit, language_id, lexical_search, mixing, registry, toxicity
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -192,3 +192,47 @@ def test_number_signs_are_no_letters(spark):
     model = language_id.train([("hello there world", "en"), ("bonjour le monde", "fr")] * 3)
     lang, score = model.predict(["5 ½ ²", "Ⅷ ③ ٣", "_ -", "½ a", "ª", None, ""])
     assert lang[:3] == ["und"] * 3 and score[:3] == [0.0] * 3 and "und" not in lang[3:5] and lang[5:] == ["und"] * 2
+
+
+@pytest.mark.parametrize("height", [3, 4096])
+def test_ranges_of_sources_deal_every_draw(spark, monkeypatch, height):
+    monkeypatch.setattr(mixing, "RANGE", height)
+    q = [1000, 70, 0, 333, *range(1, 40)]
+    quotas = spark.createDataFrame(list(enumerate(q)), "sno long, draws long")
+    t = mixing.splitting_tree(quotas, 150, 1).collect()
+    for s, n in enumerate(q):
+        own = sorted((r.start, r.draws, r.shard) for r in t if r.sno == s)
+        assert sum(d for _, d, _ in own) == n and [r[2] for r in own] == sorted({r[2] for r in own})
+        assert all(a + d == b for (a, d, _), (b, _, _) in zip(own, own[1:]))
+    per = Counter()
+    for r in t:
+        per[r.shard] += r.draws
+    assert len(per) == 150 and max(per.values()) - min(per.values()) <= 1 + math.log2(150)
+    assert sorted(map(tuple, t)) == sorted(map(tuple, mixing.splitting_tree(quotas, 150, 1).collect()))
+
+
+def test_a_million_sources(spark):
+    quotas = spark.range(1_000_000).select(F.col("id").alias("sno"), (1 + F.pmod(F.xxhash64("id"), F.lit(3))).alias("draws"))
+    t = mixing.splitting_tree(quotas, 40)
+    assert t.agg(F.sum("draws")).first()[0] == quotas.agg(F.sum("draws")).first()[0]
+    per = [r.n for r in t.groupBy("shard").agg(F.sum("draws").alias("n")).collect()]
+    assert len(per) == 40 and max(per) - min(per) <= 7
+
+
+def test_draws_beyond_numpy(monkeypatch):
+    """The own sampler has the distribution of numpy's, and takes populations over 10^9."""
+    rng = np.random.default_rng(1)
+    good, bad, n = 300, 700, 200
+    want = np.array([rng.hypergeometric(good, bad, n) for _ in range(4000)])
+    big = [rng.hypergeometric(40, 60, 30) for _ in range(4000)]
+    monkeypatch.setattr(mixing, "NUMPY_MOST", 10)
+    got = np.array([mixing.hypergeometric(rng, good, bad, n) for _ in range(4000)])
+    assert abs(got.mean() - want.mean()) < 0.5 and abs(got.std() / want.std() - 1) < 0.05
+    own = [mixing.hypergeometric(rng, 40, 60, 30) for _ in range(4000)]
+    assert np.abs(np.bincount(own, minlength=31) - np.bincount(big, minlength=31)).sum() < 900
+    v = mixing.draw(rng, np.array([5, 0, 7, 30]), 20)
+    assert v.sum() == 20 and (v <= [5, 0, 7, 30]).all() and mixing.hypergeometric(rng, 12, 0, 12) == 12 and mixing.hypergeometric(rng, 0, 12, 5) == 0
+    monkeypatch.undo()
+    huge = np.array([4 * 10**9, 10, 0, 10**10], np.int64)
+    v = mixing.draw(rng, huge, 5 * 10**9)
+    assert v.sum() == 5 * 10**9 and (v <= huge).all() and abs(v[0] / huge.sum() * 2.8 - 4 / 14) < 1e-4
