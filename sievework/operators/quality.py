@@ -216,22 +216,19 @@ def repair_unrelated(flagged: DataFrame, bank: DataFrame | None = None, least: i
     return rows.join(taken.select("_row", "phrase"), "_row", "left").select("id", F.when(F.col("asks"), F.col("phrase")).otherwise(F.col("unrelated_query")).alias("unrelated_query"), how.alias("how"))
 
 
-def ranked(df: DataFrame, *order: str, ranges: int = 64) -> DataFrame:
+def ranked(df: DataFrame, *order: str) -> DataFrame:
     """Adds rank, from 1, over the whole table: rows are numbered within ranges of the
-    order, after the counts of the ranges before. The ranges' bounds are values of a
-    sample, stated in the plan, so counts and numbers agree however often computed."""
+    order, after the counts of the ranges before. The rows are written once, range by
+    range, so counts and numbers agree however often computed; there are as many ranges
+    as shuffle partitions, and equal values are spread over them by a hash of the row."""
     from pyspark.sql.window import Window
 
-    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(20 * ranges).distinct().orderBy(*order).collect()
-    kinds = [df.schema[c].dataType for c in order]
-    bounds = sample[20::20]
-    key = F.struct(*[F.col(c) for c in order])
-    at = sum(((key >= F.struct(*[F.lit(v).cast(k) for v, k in zip(b, kinds)])).cast("int") for b in bounds), F.lit(0))
-    parts = df.withColumn("_p", at)
+    keyed = df.withColumn("_tie", F.xxhash64(*df.columns))
+    parts = written(keyed.repartitionByRange(*order, "_tie").withColumn("_p", F.spark_partition_id()), "ranges")
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))  # a row per range
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
-    numbered = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    return numbered.join(F.broadcast(before), "_p").withColumn("rank", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before")
+    numbered = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order, "_tie")))
+    return numbered.join(F.broadcast(before), "_p").withColumn("rank", F.col("_before") + F.col("_i")).drop("_p", "_i", "_before", "_tie")
 
 
 #: Ranks of one block of :func:`moving_mean`: weights within it stay far from zero.
