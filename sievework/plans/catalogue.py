@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import dedup, pairs, quality, sampling, vectors
+from ..operators import captions, dedup, pairs, quality, sampling, vectors
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -589,18 +589,15 @@ def merged_tokens(spark, sf_dir):
 LEX_Q = f"WITH q AS (SELECT item_id, {s_train('text')} AS t FROM benchmark WHERE item_id % 50 = 0)"
 
 
-@query(LEX_Q + rf""", c AS (SELECT q.item_id, conv_id, turn, q.t, {s_train('text')} AS c FROM q, conversations),
+@query(LEX_Q + rf""", c AS (SELECT q.item_id, conv_id, turn, q.t, {s_train('text')} AS c FROM q, conversations WHERE q.t <> ''),
 w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(c, '\s+'), lambda x: x <> '')) AS b FROM c),
 s AS (SELECT item_id, conv_id, turn, c, CASE WHEN contains(c, t) THEN 1 + least(length(t) / greatest(length(c), 1), 1) ELSE {s_jaccard('a', 'b')} END AS score FROM w),
 k AS (SELECT item_id, conv_id, turn, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, conv_id, turn, c) AS rank FROM s WHERE score > 0) SELECT item_id, conv_id, turn, rank::INT AS rank, round(score, 6) AS score FROM k WHERE rank <= 5""")
 def lexical_topk(spark, sf_dir):
     """Five best turns of each query item: substring first, else word overlap."""
-    form = lambda df, name, *keep: df.select(*keep, T.norm_train(F.col("text")).alias(name)).withColumn(f"{name}_words", T.word_set(F.col(name)))
-    q = form(read(spark, sf_dir, "benchmark").filter(F.col("item_id") % 50 == 0), "t", "item_id")
-    c = form(read(spark, sf_dir, "conversations"), "c", "conv_id", "turn")
-    score = F.when(F.contains("c", "t"), 1 + F.least(F.length("t") / F.greatest(F.length("c"), F.lit(1)), F.lit(1.0))).otherwise(T.set_jaccard(F.col("t_words"), F.col("c_words")))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "conv_id", "turn", "c")
-    return c.crossJoin(q).withColumn("score", score).filter("score > 0").withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("item_id", "conv_id", "turn", "rank", F.round("score", 6).alias("score"))
+    items = read(spark, sf_dir, "benchmark").filter(F.col("item_id") % 50 == 0)
+    found = captions.caption_top_k(items, read(spark, sf_dir, "conversations"), 5, ["conv_id", "turn"])
+    return found.withColumn("score", F.round("score", 6))
 
 
 # ---- state in batch form, and event windows (an extra beyond the reference's own)
