@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import strip
 from ..schema import META
+from .versions import Versions
 
 #: Rows that a guarded read may bring to the driver.
 MATERIALISE = 512
@@ -35,8 +36,10 @@ def caption_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split(spark: SparkSession, directory: str, name: str = "all") -> DataFrame:
-    """Shards of one split, or all, with the split's name; partial shards are left out."""
-    rows = spark.read.parquet(f"{directory}/data")
+    """Shards of one split, or all, with the split's name, of the newest export; shards
+    that no manifest names are left out."""
+    versions = Versions(spark, directory)
+    rows = spark.read.parquet(f"{versions.path}/{versions.current()[1]['shards']}")
     return rows if name == "all" else rows.filter(F.col("split") == name)
 
 
