@@ -5,26 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def similarity_join(rows: DataFrame, threshold: float = 0.72) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, jaccard) of similar token sets (``id``, ``tokens``), and membership (id, rep).
 
     Tokens are ordered by rarity; similar sets share one of the first
-    n - ceil(t n) + 1, so only these are joined; lengths filter next. Equal sets
-    are joined once, through their least id.
+    n - ceil(t n) + 1, so only these are joined, as (set, place, size) without the
+    sets. Sizes and places tell what two sets can share at most; the sets
+    themselves are compared for the pairs that are left. Equal sets are joined once,
+    through their least id.
     """
     sets = rows.filter(F.size("tokens") > 0).select("id", F.array_sort("tokens").alias("tokens"))
-    groups = sets.groupBy("tokens").agg(F.min("id").alias("rep"))
+    groups = written(sets.groupBy("tokens").agg(F.min("id").alias("rep")), "sets")
     member = sets.join(groups, "tokens").select("id", "rep")
     rarity = groups.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     ordered = (
         groups.select("rep", F.explode("tokens").alias("t")).join(rarity, "t").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("s"))
         .select("rep", F.transform("s", lambda x: x["t"]).alias("s"), F.size("s").alias("k"))
     )
-    prefix = ordered.withColumn("t", F.explode(F.slice("s", 1, (F.col("k") - F.ceil(F.col("k") * threshold) + 1).cast("int"))))
+    short = F.slice("s", 1, (F.col("k") - F.ceil(F.col("k") * threshold) + 1).cast("int"))
+    prefix = written(ordered.select("rep", "k", F.posexplode(short).alias("i", "t")), "prefixes")
     a, b = prefix.alias("a"), prefix.alias("b")
     length = (F.col("a.k") >= F.col("b.k") * threshold) & (F.col("b.k") >= F.col("a.k") * threshold)
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.rep") < F.col("b.rep")) & length)
-    both = F.size(F.array_intersect("a.s", "b.s"))
-    near = pairs.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), (both / (F.col("a.k") + F.col("b.k") - both)).alias("jaccard")).filter(F.col("jaccard") >= threshold).distinct()
+    # At the first token that two sets share, this many are left on the shorter side at most.
+    most = F.least(F.col("a.k") - F.col("a.i"), F.col("b.k") - F.col("b.i"))
+    enough = most * (1 + threshold) >= threshold * (F.col("a.k") + F.col("b.k")) - 1e-9
+    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.rep") < F.col("b.rep")) & length & enough).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    full = pairs.join(groups.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(groups.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
+    both = F.size(F.array_intersect("ta", "tb"))
+    near = full.select("a", "b", (both / (F.size("ta") + F.size("tb") - both)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
     return near, member

@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
+
+
+#: Groups whose cuts are broadcast.
+FEW = 100_000
+
 
 def hash_key(seed, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
@@ -27,6 +33,9 @@ def first_by_hash(rows: DataFrame, most, seed=42, key: str = "id", group: str |
     places = keyed.groupBy("_g", "_b").agg(F.count("*").alias("_c")).withColumns({"_n": F.sum("_c").over(w), "_to": F.sum("_c").over(w.orderBy("_b"))})
     wanted = F.least(most(F.col(f"_g.{group}") if group else F.lit(0), F.col("_n")), F.col("_n"))
     cut = places.withColumn("_need", wanted - F.col("_to") + F.col("_c")).filter((F.col("_need") > 0) & (F.col("_need") <= F.col("_c"))).select("_g", F.col("_b").alias("_cut"), "_need")
+    # A row a group: rows stay where they are unless there are very many groups.
+    cut = written(cut, "cuts")
+    cut = F.broadcast(cut) if cut.count() <= FEW else cut
     near = keyed.join(cut, "_g").filter(F.col("_b") <= F.col("_cut"))
     edge = near.filter(F.col("_b") == F.col("_cut")).withColumn("_r", F.row_number().over(w.orderBy("_h", key))).filter(F.col("_r") <= F.col("_need"))
     return near.filter(F.col("_b") < F.col("_cut")).select(*names).unionByName(edge.select(*names))

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..operators import captions, dedup, pairs, quality, sampling, vectors
+from ..operators import captions, dedup, pairs, quality, sampling, vectors, windows
+from ..sources import scratch
+from ..sources.store import ProgressStore
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -119,29 +121,31 @@ def turn_similarity(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", F.round(T.jaccard(a, b), 6).alias("jaccard"), F.round(T.overlap_ratio(a, b), 6).alias("overlap"), T.near_duplicate(a, b).alias("near"))
 
 
-@query(f"""WITH t AS (SELECT item_id AS id, list_sort({s_tokens('text')}) AS s FROM benchmark UNION ALL SELECT 1000000 + conv_id * 100 + turn, list_sort({s_tokens('text')}) FROM conversations),
-g AS (SELECT s, min(id) AS rep FROM t WHERE len(s) > 0 GROUP BY s)
-SELECT a.rep AS a, b.rep AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS jaccard
-FROM g a JOIN g b ON a.rep < b.rep AND len(a.s) >= 0.72 * len(b.s) AND len(b.s) >= 0.72 * len(a.s) AND len(list_intersect(a.s, b.s)) >= 0.72 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))""")
+SETS = f"""WITH t AS (SELECT doc_id AS id, list_sort({s_tokens('text')}) AS s FROM documents UNION ALL SELECT -1 - item_id, list_sort({s_tokens('text')}) FROM benchmark),
+g AS (SELECT s, min(id) AS rep, len(s) AS n FROM t WHERE len(s) > 0 GROUP BY s)"""
+
+
+@query(SETS + """, u AS (SELECT rep, n, unnest(s) AS w FROM g),
+p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.w = b.w AND a.rep < b.rep AND a.n >= 0.72 * b.n AND b.n >= 0.72 * a.n GROUP BY a.rep, b.rep)
+SELECT a, b, round(c / (na + nb - c), 6) AS jaccard FROM p WHERE c >= 0.72 * (na + nb - c)""")
 def similar_pairs(spark, sf_dir):
-    """Similarity join of items and turns: pairs of class representatives; their
+    """Similarity join of documents and items: pairs of class representatives; their
     members are in ``similar_members``."""
-    near, _ = dedup.similarity_join(items_and_turns(spark, sf_dir))
+    near, _ = dedup.similarity_join(texts_and_items(spark, sf_dir))
     return near.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-def items_and_turns(spark, sf_dir):
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), T.token_set(F.col("text")).alias("tokens"))
-    said = read(spark, sf_dir, "conversations").select((F.lit(1000000) + F.col("conv_id") * 100 + F.col("turn")).alias("id"), T.token_set(F.col("text")).alias("tokens"))
-    return items.unionByName(said)
+def texts_and_items(spark, sf_dir):
+    texts = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.token_set(F.col("text")).alias("tokens"))
+    items = read(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("id"), T.token_set(F.col("text")).alias("tokens"))
+    return texts.unionByName(items)
 
 
-@query(f"""WITH t AS (SELECT item_id AS id, list_sort({s_tokens('text')}) AS s FROM benchmark UNION ALL SELECT 1000000 + conv_id * 100 + turn, list_sort({s_tokens('text')}) FROM conversations),
-g AS (SELECT s, min(id) AS rep FROM t WHERE len(s) > 0 GROUP BY s) SELECT id, rep FROM t JOIN g USING (s)""")
+@query(SETS + " SELECT id, rep FROM t JOIN g USING (s)")
 def similar_members(spark, sf_dir):
-    """The class representative of every item and turn with tokens: the texts that a
-    pair of ``similar_pairs`` stands for."""
-    return dedup.similarity_join(items_and_turns(spark, sf_dir))[1]
+    """The class representative of every document and item with tokens: the texts that
+    a pair of ``similar_pairs`` stands for."""
+    return dedup.similarity_join(texts_and_items(spark, sf_dir))[1]
 
 
 @query(META.replace("WITH", "WITH RECURSIVE", 1) + f""", t AS (SELECT id, len(captions)::INT AS n, list_filter(list_transform(captions, lambda c: {STRIP.format('c')}), lambda c: c <> '') AS cap FROM meta),
@@ -346,9 +350,30 @@ def source_shares(spark, sf_dir):
     return d.groupBy("source").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
 
 
+@query(SPLIT + """ SELECT domain, split, count(*) AS n, min(id) AS first_id, max(id) AS last_id, CAST(sum(id) AS BIGINT) AS id_sum FROM s GROUP BY domain, split""")
+def split_manifest(spark, sf_dir):
+    """What a manifest of the official split says of each part."""
+    split = sampling.official_split(records(spark, sf_dir).select("id", "domain"))
+    return split.groupBy("domain", "split").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("id").alias("id_sum"))
+
+
 # ---- pairs, resume, batches
 
 
+@query("""WITH r AS (SELECT user_id, event_id % 4 AS part, arg_max(event_type, event_id) AS event_type, CASE WHEN max(event_id) % 3 = 0 THEN arg_max(value, event_id) END AS value FROM events GROUP BY ALL)
+SELECT user_id, arg_max(event_type, part) AS event_type, round(arg_max(value, part) FILTER (value IS NOT NULL), 6) AS value FROM r GROUP BY user_id""")
+def stored_progress(spark, sf_dir):
+    """Four parts of users' last events through the progress store, one compaction between."""
+    store = ProgressStore(spark, scratch.folder(spark, "progress"), "user_id", "user_id long, event_type string, value double")
+    events = read(spark, sf_dir, "events")
+    for part in range(4):
+        last = events.filter(F.col("event_id") % 4 == part).groupBy("user_id").agg(F.max_by(F.struct("event_type", "value"), "event_id").alias("e"), F.max("event_id").alias("i"))
+        store.append(last.select("user_id", "e.event_type", F.when(F.col("i") % 3 == 0, F.col("e.value")).alias("value")), "parts", part)
+        if part == 2:
+            store.compact()
+    return store.snapshot().withColumn("value", F.round("value", 6))
+
+
 @query(TURNS + f", q AS (SELECT conv_id, turn, {s_train('a')} AS anchor, {s_train('b')} AS positive FROM p WHERE b IS NOT NULL) SELECT conv_id, turn, anchor, positive FROM q WHERE anchor <> '' AND positive <> '' AND anchor <> positive")
 def consecutive_pairs(spark, sf_dir):
     """Text pairs of consecutive turns."""
@@ -606,15 +631,14 @@ def lexical_topk(spark, sf_dir):
 @query("SELECT event_id, CAST(count(*) OVER w AS BIGINT) AS n, round(avg(value) OVER w, 6) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING)")
 def fifo_bank(spark, sf_dir):
     """The last sixteen values before each event of a user."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-16, -1)
-    return read(spark, sf_dir, "events").select("event_id", F.count("*").over(w).alias("n"), F.round(F.avg("value").over(w), 6).alias("mean"))
+    e = read(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return windows.over_last(e, "user_id", "event_id", 16, n=lambda w: F.count("*").over(w), mean=lambda w: F.round(F.avg("value").over(w), 6)).select("event_id", "n", "mean")
 
 
 @query("WITH o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) SELECT user_id, i // 8 AS win, count(*) AS n, round(avg(value), 6) AS mean FROM o GROUP BY ALL")
 def accumulation_windows(spark, sf_dir):
     """Tumbling windows of eight events of a user."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    o = read(spark, sf_dir, "events").withColumn("win", F.floor((F.row_number().over(w) - 1) / 8).cast("long"))
+    o = windows.numbered(read(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id").withColumn("win", F.expr("i div 8"))
     return o.groupBy("user_id", "win").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
 

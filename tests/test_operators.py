@@ -223,13 +223,13 @@ def test_similar_members_name_every_text(spark, tmp_path):
 
     from sievework.plans import catalogue
 
-    spark.createDataFrame([(1, "A blue tractor, by a hedge"), (2, "by a HEDGE a blue tractor!"), (3, "two boats"), (4, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame([(7, 1, "hedge: by a blue tractor"), (7, 2, "a blue tractor by a big hedge"), (8, 1, "")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, "A blue tractor, by a hedge"), (2, "by a HEDGE a blue tractor!"), (3, "two boats"), (4, None), (7, "hedge: by a blue tractor"), (8, "a blue tractor by a big hedge"), (9, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "hedge tractor a by blue")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {tuple(r) for r in catalogue.QUERIES["similar_members"](spark, str(tmp_path)).collect()}
-    assert got == {(1, 1), (2, 1), (1000701, 1), (3, 3), (1000702, 1000702)}
-    assert {(r.a, r.b) for r in catalogue.QUERIES["similar_pairs"](spark, str(tmp_path)).collect()} == {(1, 1000702)}
+    assert got == {(1, -1), (2, -1), (7, -1), (-1, -1), (3, 3), (8, 8)}
+    assert {(r.a, r.b) for r in catalogue.QUERIES["similar_pairs"](spark, str(tmp_path)).collect()} == {(-1, 8)}
     con = duckdb.connect()
-    for t in ("benchmark", "conversations"):
+    for t in ("benchmark", "documents"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert set(con.sql(catalogue.SQL["similar_members"]).fetchall()) == got
 
@@ -250,3 +250,16 @@ def test_every_row_that_asks_gets_a_phrase(spark):
     n = len(quality.SUBJECTS) * len(quality.SETTINGS) * len(quality.STYLES) + 500
     bank = quality.distractor_bank(spark, n)
     assert bank.distinct().count() == n and bank.filter(T.is_generic(F.col("phrase")) | (F.length("phrase") < 12)).count() == 0
+
+
+def test_long_groups_are_windowed_by_blocks(spark, monkeypatch):
+    from sievework.operators import windows
+
+    monkeypatch.setattr(windows, "BLOCK", 7)
+    events = [(u, i, float(i * (u or 3) % 13)) for u, n in ((1, 60), (2, 3), (None, 20)) for i in range(n)]
+    df = spark.createDataFrame(events, "u long, i long, v double")
+    got = {(r.u, r.i): (r.n, r.m) for r in windows.over_last(df, "u", "i", 5, n=lambda w: F.count("*").over(w), m=lambda w: F.sum("v").over(w)).collect()}
+    for u, i, _ in events:
+        before = [v for w, j, v in events if w == u and i - 5 <= j < i]
+        assert got[u, i] == (len(before), sum(before) if before else None)
+    assert all(r.i == r.place for r in windows.numbered(df.withColumnRenamed("i", "place"), "u", "place").collect()) and len(got) == len(events)
