@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import quality, records
+from ..operators import quality, ragged, records
+from ..sources import ordinals
 from .catalogue import FLAGGED, META, OVER, STRIP, flagged, meta, query, read, s_any, s_norm, s_train
 
 CAPS = f"list_filter(list_transform(captions, lambda c: {s_train('c')}), lambda c: c <> '')"
@@ -118,3 +119,28 @@ def padded_tokens(spark, sf_dir):
 def log_means(spark, sf_dir):
     """Means since the last log line, each of fifty steps."""
     return read(spark, sf_dir, "events").groupBy(F.expr("event_id div 50").alias("window_no")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("""WITH o AS (SELECT doc_id, length(text) AS n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, count(*) OVER () AS total FROM documents)
+SELECT item_id AS place, ordinal, doc_id, n_chars FROM benchmark JOIN o ON ordinal = (item_id * 7919) % total""")
+def rows_by_ordinal(spark, sf_dir):
+    """Rows of the documents by their ordinals, a stated one for each item."""
+    index = ordinals.row_groups(spark, f"{sf_dir}/documents.parquet")
+    total = index.agg(F.sum("n").alias("total"))  # a row
+    wanted = read(spark, sf_dir, "benchmark").crossJoin(F.broadcast(total)).select(F.col("item_id").alias("place"), ((F.col("item_id") * 7919) % F.col("total")).alias("ordinal"))
+    return ordinals.rows_at(index, wanted, "doc_id long, text string").select("place", "ordinal", "doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
+LENGTHS = "l AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9\\s]')) AS n FROM documents)"
+
+
+@query(f"""WITH {LENGTHS}, r AS (SELECT doc_id, least(n, 512) AS n, row_number() OVER (ORDER BY least(n, 512), doc_id) - 1 AS i FROM l WHERE n > 0),
+b AS (SELECT doc_id, n, i // 16 AS batch, i % 16 AS row FROM r), w AS (SELECT batch, max(n) AS width, count(*) AS rows, sum(n) AS held FROM b GROUP BY batch)
+SELECT doc_id, batch, CAST(row AS BIGINT) AS row, CAST(n AS BIGINT) AS n, CAST(width AS BIGINT) AS width, CAST(sum(n) OVER (PARTITION BY batch ORDER BY row) - n AS BIGINT) AS start FROM b JOIN w USING (batch) WHERE rows = 16""")
+def ragged_batches(spark, sf_dir):
+    """Documents' pieces in full batches of sixteen of like length: the row, width and
+    start of each in its batch."""
+    t = F.coalesce("text", F.lit(""))
+    n = F.regexp_count(t, F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]")).cast("long")
+    sized = read(spark, sf_dir, "documents").select("doc_id", F.least(n, F.lit(512).cast("long")).alias("n"))
+    return ragged.batches(sized, "doc_id", "n", 16, drop_last=True)
