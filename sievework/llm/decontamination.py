@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
-from .shared import fresh, join_salted, table
+from .shared import forget, fresh, join_salted, table
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -288,6 +288,7 @@ def template_windows(df: DataFrame, id_col: str, text_col: str, sizes=None, want
     shared = df.sparkSession.sparkContext.broadcast((wanted.power, wanted.bits)) if wanted is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("pieces")
         keep = Wanted(*shared.value) if shared else None
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)

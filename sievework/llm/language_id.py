@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import fresh
+from .shared import forget, fresh
 
 BUCKETS = 1 << 16
 #: Sharpness of the softmax over ridge outputs (which lie near -1 and 1).
@@ -140,6 +140,7 @@ def language_id(docs: DataFrame, model: Classifier, text_col: str = "text", lang
 
     @F.pandas_udf("l string, s double")
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget("pieces")
         model = Classifier(*shared.value)
         for t in texts:
             lang, score = model.predict([x if isinstance(x, str) else None for x in t])

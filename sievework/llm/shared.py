@@ -86,6 +86,13 @@ def worker_cache(name: str, make):
     return getattr(cache, name)
 
 
+def forget(name: str) -> None:
+    """Give up what the worker process has kept under ``name`` for another operator."""
+    cache = sys.modules.get("sievework_worker_cache")
+    if cache is not None:
+        cache.__dict__.pop(name, None)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, prefixed until it clashes with no column (names ignore case)."""
     taken = {c.lower() for c in columns}

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import fresh, join_counted, table
+from .shared import forget, fresh, join_counted, table
 
 SEED = 42
 BITS = 2
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.pandas_udf("long")
     def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget("pieces")
         for t in texts:
             yield pd.Series(np.array([fingerprint(x if isinstance(x, str) else None) for x in t], np.uint64).astype(np.int64))
 
