@@ -130,6 +130,33 @@ def repair_query(flagged: DataFrame, overlap: float = 0.85) -> DataFrame:
     return flagged.withColumn("how", how).withColumn("new_query", F.when(F.col("how") == "local_strip", bare).when(F.col("how") == "local_keywords", words).when(F.col("how") == "kept", q))
 
 
+# Codes besides which a frequent query is still mended here, and those that ask for a new query.
+MENDED_HERE = ("query_eq_caption", "query_near_caption", "query_boilerplate", "query_too_short", "empty_field")
+NEW_QUERY = ("query_eq_caption", "query_near_caption", "query_too_short", "duplicate_query_frequent", "empty_field")
+
+
+def repair_query_by_caption(flagged: DataFrame, overlap: float = 0.85) -> DataFrame:
+    """Adds new_query and how: kept, local, or external for rows that the rule leaves to
+    an outside service.
+
+    A query that only needs it loses its prefix; others get :func:`T.search_query`,
+    unless that is short, mostly repeats a caption, or is the query again. A row
+    whose only fault is a frequent query goes to the service."""
+    codes, q = F.col("codes"), T.strip(F.coalesce("query", F.lit("")))
+    asks = needs(codes, [c for c in QUERY_CODES if c != "empty_field"]) | (q == "")
+    bare = F.when((q == "") | F.array_contains(codes, "query_boilerplate"), T.strip_boilerplate(q)).otherwise(q)
+    fresh_ = needs(codes, NEW_QUERY) | (bare == "")
+    again = T.strip_boilerplate(bare)
+    texts = F.filter(F.coalesce("captions", F.array().cast("array<string>")), lambda c: F.coalesce(T.strip(c), F.lit("")) != "")
+    rows = flagged.withColumn("_words", T.search_query(F.col("captions"), F.col("domain")))
+    words = F.col("_words")
+    good = (F.length(words) >= 8) & ~F.exists(texts, lambda c: T.overlap_ratio(words, c) >= overlap) & (T.norm_quality(words) != T.norm_quality(bare))
+    made = F.when(fresh_, F.when(good, words)).when(again != bare, again)
+    frequent = F.array_contains(codes, "duplicate_query_frequent") & ~needs(codes, MENDED_HERE)
+    how = F.when(~asks, "kept").when(frequent | made.isNull(), "external").otherwise("local")
+    return rows.withColumn("how", how).withColumn("new_query", F.when(F.col("how") == "local", made).when(F.col("how") == "kept", F.col("query"))).drop("_words")
+
+
 def overlay(rows: DataFrame, progress: DataFrame, key: str, column: str) -> DataFrame:
     """Non-empty values of ``progress`` over those of ``rows``."""
     p = progress.select(key, F.col(column).alias("_p"))

@@ -256,6 +256,32 @@ def repair_queries(spark, sf_dir):
     return quality.repair_query(flagged(spark, sf_dir)).select("id", "how", "new_query")
 
 
+STOP = "[" + ", ".join(f"'{w}'" for w in T.SEARCH_STOPWORDS) + "]"
+BARE = lambda x: f"rtrim({STRIP.format(f"regexp_replace({STRIP.format(x)}, '(?i){T.BOILERPLATE}', '')")}, '.')"
+AERIAL = f"regexp_matches(plain, '(?i){T.AERIALISH}')"
+
+
+@query(FLAGGED + f""", t AS (SELECT id, domain, list_filter(captions, lambda c: {STRIP.format('c')} <> '') AS texts FROM f),
+o AS (SELECT id, domain, unnest(list_concat(list_reverse(texts), texts[1:1])) AS c, unnest(range(0, len(texts) + 1)) AS i FROM t WHERE len(texts) > 0),
+p AS (SELECT id, domain, i, unnest(regexp_extract_all(lower(c), '[a-z0-9]+')) AS w, generate_subscripts(regexp_extract_all(lower(c), '[a-z0-9]+'), 1) AS pos FROM o),
+d AS (SELECT id, domain, i, w, row_number() OVER (PARTITION BY id, i ORDER BY min(pos)) AS r FROM p WHERE length(w) > 2 AND NOT list_contains({STOP}, w) GROUP BY id, domain, i, w),
+c AS (SELECT id, i, any_value(domain) AS domain, string_agg(w, ' ' ORDER BY r) FILTER (r <= 8) AS plain, bool_or(w = 'aerial') AS says FROM d GROUP BY id, i),
+x AS (SELECT id, i, CASE WHEN domain = 'satellite' AND NOT {AERIAL} AND NOT says THEN 'aerial ' || plain ELSE plain END AS q FROM c),
+y AS (SELECT x.id, i, q, list_max(list_transform(texts, lambda c: {OVER('q', 'c')})) AS o FROM x JOIN t ON t.id = x.id),
+k AS (SELECT id, coalesce(arg_min(q, i) FILTER (o < 0.75), arg_min(q, (o, i)) FILTER (o < 1.0)) AS q FROM y GROUP BY id),
+z AS (SELECT f.id, f.query, codes, q AS own, CASE WHEN q = '' OR list_contains(codes, 'query_boilerplate') THEN {BARE('q')} ELSE q END AS bare, texts,
+  CASE WHEN len(texts) = 0 THEN '{T.NO_TEXT}' ELSE coalesce((SELECT k.q FROM k WHERE k.id = f.id), '{T.NO_QUERY}') END AS words FROM f JOIN t ON t.id = f.id),
+n AS (SELECT *, CASE WHEN {s_any(quality.NEW_QUERY)} OR bare = '' THEN
+    CASE WHEN length(words) >= 8 AND len(list_filter(texts, lambda c: {OVER('words', 'c')} >= 0.85)) = 0 AND {s_norm('words')} <> {s_norm('bare')} THEN words END
+  WHEN {BARE('bare')} <> bare THEN {BARE('bare')} END AS made FROM z),
+h AS (SELECT *, CASE WHEN NOT ({s_any([c for c in quality.QUERY_CODES if c != 'empty_field'])} OR own = '') THEN 'kept'
+  WHEN (list_contains(codes, 'duplicate_query_frequent') AND NOT {s_any(quality.MENDED_HERE)}) OR made IS NULL THEN 'external' ELSE 'local' END AS how FROM n)
+SELECT id, how, CASE how WHEN 'local' THEN made WHEN 'kept' THEN query END AS new_query FROM h""")
+def caption_query_repairs(spark, sf_dir):
+    """Queries repaired from one caption's words, and what is left to a service."""
+    return quality.repair_query_by_caption(flagged(spark, sf_dir)).select("id", "how", "new_query")
+
+
 @query(META + f""", need AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM meta WHERE id % 7 = 0),
 bank AS (SELECT phrase, row_number() OVER (ORDER BY phrase) AS r FROM (SELECT DISTINCT {s_norm('text')} AS phrase FROM benchmark WHERE length({s_norm('text')}) >= 12)) SELECT id, phrase FROM need LEFT JOIN bank USING (r)""")
 def assigned_phrases(spark, sf_dir):

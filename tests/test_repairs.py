@@ -44,3 +44,14 @@ def test_more_rows_than_phrases(spark):
     got = [r.unrelated_query for r in quality.repair_unrelated(rows, spark.createDataFrame([(f"phrase of the bank {i}",) for i in range(7)], "phrase string")).collect()]
     assert len(got) == 40 and len({p for p in got if p}) == 7 == sum(p is not None for p in got)
     assert quality.repair_unrelated(rows.limit(0)).count() == 0
+
+
+def test_search_queries_by_hand(spark):
+    cases = [
+        ("satellite", ["Two boats"], "aerial two boats"), ("general", ["Two boats on the lake", "A crane"], T.NO_QUERY), ("general", [], T.NO_TEXT), ("general", None, T.NO_TEXT), ("general", [" ", "of the"], T.NO_QUERY),
+        ("satellite", ["one long row of many small houses beside four wide green fields", "An overhead shot of docks"], "aerial one long row small houses beside four wide"),
+        ("satellite", ["aerial docks and cranes", "top-down docks"], T.NO_QUERY),
+    ]
+    rows = spark.createDataFrame([(i, d, c) for i, (d, c, _) in enumerate(cases)], "i int, domain string, captions array<string>")
+    got = {r.i: r.q for r in rows.select("i", T.search_query(F.col("captions"), F.col("domain")).alias("q")).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, _, w in cases]
