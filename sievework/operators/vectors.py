@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .maxsim import maxsim, maxsim_top_k, token_maxsim  # noqa: F401  # part of this module's functions
+from .spread import merged_onto_seeds
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -125,17 +126,4 @@ def merge_consecutive(tokens: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 def farthest_points(tokens: DataFrame, k: int = 8, tau: float = 0.05) -> DataFrame:
     """k seeds by farthest-point sampling; tokens assigned by softmax; weighted sums."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(v, np.float64) for v in pdf.sort_values("tok")["vec"]])
-        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        seeds, far = [0], 1 - u @ u[0]
-        while len(seeds) < min(k, len(u)):
-            seeds.append(int(far.argmax()))
-            far = np.minimum(far, 1 - u @ u[seeds[-1]])
-        s = u @ u[seeds].T / tau
-        w = np.exp(s - s.max(1, keepdims=True))
-        merged = (w / w.sum(1, keepdims=True)).T @ x
-        return pd.DataFrame({"id": pdf["id"].iloc[0], "tok": range(len(seeds)), "vec": merged.tolist()})
-
-    return tokens.groupBy("id").applyInPandas(pick, "id long, tok long, vec array<double>")
+    return merged_onto_seeds(tokens, k, tau)

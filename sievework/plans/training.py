@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import losses, vectors
+from ..operators import losses, spread, vectors
 from .catalogue import TOK, query, read, s_jaccard, s_tokens, scores, tokens
 
 
@@ -134,6 +134,17 @@ def dequantised_sums(spark, sf_dir):
     return e.select("vec_id", F.round(F.aggregate(back, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
+@query(TOK + """, u AS (SELECT d, t, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS v FROM d),
+a AS (SELECT u.d, u.t, u.v, round(1 - list_dot_product(u.v, f.v), 12) AS far FROM u JOIN u f ON f.d = u.d AND f.t = 0),
+s2 AS (SELECT d, arg_max(t, (far, -t)) AS t FROM a GROUP BY d),
+b AS (SELECT a.d, a.t, least(a.far, round(1 - list_dot_product(a.v, u.v), 12)) AS far FROM a JOIN s2 ON s2.d = a.d JOIN u ON u.d = s2.d AND u.t = s2.t),
+s3 AS (SELECT d, arg_max(t, (far, -t)) AS t FROM b GROUP BY d)
+SELECT d AS id, 0 AS seed, 0::BIGINT AS tok FROM s2 UNION ALL SELECT d, 1, t::BIGINT FROM s2 UNION ALL SELECT d, 2, t::BIGINT FROM s3""")
+def farthest_seeds(spark, sf_dir):
+    """Three tokens of each document that lie far apart."""
+    return spread.farthest_seeds(tokens(spark, sf_dir)[1], 3).select("id", "seed", "tok")
+
+
 @query("SELECT event_id, round(CASE WHEN event_id < 100 THEN 0.001 * (event_id + 1) / 100 ELSE 0.001 * 0.5 * (1 + cos(pi() * (event_id - 100) / 99900)) END, 9) AS rate FROM events")
 def learning_rates(spark, sf_dir):
     """The schedule at each event's number."""
