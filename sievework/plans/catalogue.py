@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..operators import captions, dedup, pairs, quality, sampling, vectors, windows
 from ..sources import scratch
 from ..sources.store import ProgressStore
+from ..streaming import reservoir
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -350,6 +351,16 @@ def weighted_source_pick(spark, sf_dir):
     return records(spark, sf_dir).select("id", sampling.weighted_pick(F.col("id"), {"a": 1.0, "b": 1.5, "c": 1.5}).alias("pick"))
 
 
+@query("SELECT doc_id FROM documents WHERE n_chars > 0 ORDER BY -ln((('0x' || left(md5('42:' || doc_id), 13))::BIGINT + 0.5) / 4503599627370496.0) / n_chars, doc_id LIMIT 64")
+def weighted_reservoir(spark, sf_dir):
+    """A sample of 64 documents by length, as three batches of a stream bring them."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    sample = reservoir.Reservoir(spark, scratch.folder(spark, "sample"), "doc_id", "doc_id long, n_chars long", 64, "n_chars")
+    for i in range(3):
+        sample.add(rows.filter(F.col("doc_id") % 3 == i), "batches", i)
+    return sample.sample().select("doc_id")
+
+
 @query("SELECT conv_id, min(turn) AS first_turn, CAST(len(list_distinct(list(text))) AS BIGINT) AS n_captions FROM conversations WHERE trim(text) <> '' GROUP BY conv_id HAVING len(list_distinct(list(text))) >= 2")
 def caption_groups(spark, sf_dir):
     """Groups of at least two distinct captions."""
