@@ -215,3 +215,32 @@ def padded(x: Column, n: int, fill: str = "") -> tuple[Column, Column]:
     """An array cut or filled to ``n`` entries, and the mask of those that are its own."""
     held = F.least(F.size(x), F.lit(n))
     return F.concat(F.slice(x, 1, n), F.array_repeat(F.lit(fill), n - held)), F.concat(F.array_repeat(F.lit(1), held), F.array_repeat(F.lit(0), n - held))
+
+
+def padded_id(prefix: Column, number: Column, width: int = 6) -> Column:
+    """prefix-000123; a longer number stays whole."""
+    digits = number.cast("string")
+    return F.concat_ws("-", prefix, F.when(F.length(digits) >= width, digits).otherwise(F.lpad(digits, width, "0")))
+
+
+def safe_name(x: Column) -> Column:
+    """A name without the separators of paths."""
+    return F.replace(F.replace(x, F.lit("/"), F.lit("__")), F.lit(":"), F.lit("_"))
+
+
+def path_references(rows: DataFrame, column: str, files: DataFrame) -> DataFrame:
+    """Rows whose ``column`` is a text that names none of ``files`` (path): a reference, not
+    a file at hand."""
+    return rows.filter(F.col(column).isNotNull()).join(files.select(F.col("path").alias(column)), column, "left_anti")
+
+
+def folder_sizes(files: DataFrame) -> DataFrame:
+    """(folder, files, bytes) of a listing (path, length), folders below counted in."""
+    parts = F.split(F.regexp_replace("path", "/[^/]*$", ""), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return files.select("length", F.explode(above).alias("folder")).groupBy("folder").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def staging_ready(files: DataFrame, least: int = TINY) -> DataFrame:
+    """A listing (path, length, size as wanted or null) with whether a staged file is whole."""
+    return files.withColumn("ready", F.coalesce((F.col("length") >= least) & (F.col("size").isNull() | (F.col("size") == F.col("length"))), F.lit(False)))

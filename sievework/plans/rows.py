@@ -144,3 +144,27 @@ def ragged_batches(spark, sf_dir):
     n = F.regexp_count(t, F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]")).cast("long")
     sized = read(spark, sf_dir, "documents").select("doc_id", F.least(n, F.lit(512).cast("long")).alias("n"))
     return ragged.batches(sized, "doc_id", "n", 16, drop_last=True)
+
+
+@query("""WITH c AS (SELECT conv_id, turn, trim(text) AS t FROM conversations WHERE trim(coalesce(text, '')) <> ''), f AS (SELECT conv_id, t, min(turn) AS turn FROM c GROUP BY conv_id, t)
+SELECT conv_id, min(turn) AS first_turn, md5(string_agg(t, chr(10) ORDER BY turn, t)) AS captions, count(*) AS n FROM f GROUP BY conv_id HAVING count(*) >= 2""")
+def caption_lists(spark, sf_dir):
+    """Different captions of each group in the order in which they are first seen."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim(F.coalesce("text", F.lit(""))).alias("t")).filter("t <> ''")
+    first = c.groupBy("conv_id", "t").agg(F.min("turn").alias("turn"))
+    lists = first.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.array_sort(F.collect_list(F.struct("turn", "t"))).alias("l"), F.count("*").alias("n")).filter("n >= 2")
+    return lists.select("conv_id", "first_turn", F.md5(F.array_join("l.t", "\n")).alias("captions"), "n")
+
+
+@query("""SELECT 1000 * conv_id + turn AS text_id, conv_id AS image_id, min(1000 * conv_id + turn) OVER (PARTITION BY conv_id) AS primary_text FROM conversations""")
+def text_images(spark, sf_dir):
+    """The image of each text, and that image's first text."""
+    t = read(spark, sf_dir, "conversations").select((1000 * F.col("conv_id") + F.col("turn")).alias("text_id"), F.col("conv_id").alias("image_id"))
+    return t.join(t.groupBy("image_id").agg(F.min("text_id").alias("primary_text")), "image_id").select("text_id", "image_id", "primary_text")
+
+
+@query("SELECT doc_id, lang || '-' || lpad(doc_id::VARCHAR, 6, '0') AS id, replace(replace(source || '/' || lang || ':' || doc_id, '/', '__'), ':', '_') AS safe FROM documents")
+def file_ids(spark, sf_dir):
+    """Padded ids and names that are safe in paths."""
+    number = F.col("doc_id").cast("string")
+    return read(spark, sf_dir, "documents").select("doc_id", records.padded_id(F.col("lang"), F.col("doc_id")).alias("id"), records.safe_name(F.concat("source", F.lit("/"), "lang", F.lit(":"), number)).alias("safe"))

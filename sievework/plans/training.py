@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import losses, spread, vectors
+from ..operators import conditions, losses, spread, vectors
 from .catalogue import TOK, query, read, s_jaccard, s_tokens, scores, tokens
 
 
@@ -145,6 +145,31 @@ def farthest_seeds(spark, sf_dir):
     return spread.farthest_seeds(tokens(spark, sf_dir)[1], 3).select("id", "seed", "tok")
 
 
+@query("""WITH d AS (SELECT vec_id // 8 AS id, vec_id % 8 AS tok, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY md5('7:shuffle:' || id || ':' || tok), tok) - 1 AS tok FROM d),
+k AS (SELECT id, tok, v, row_number() OVER (PARTITION BY id ORDER BY md5('7:drop:' || id || ':' || tok), tok) AS r, count(*) OVER (PARTITION BY id) AS n FROM s WHERE tok < 6),
+t AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY tok) - 1 AS tok, v, ('0x' || left(md5('7:merge:' || id), 13))::BIGINT / 4503599627370496.0 < 0.3 AS one FROM k WHERE r <= greatest(round_even(n * 0.8, 0), 1)),
+x AS (SELECT id, tok, one, unnest(v) AS x, unnest(range(1, 65)) AS i FROM t),
+m AS (SELECT id, i, avg(x) AS x FROM x WHERE one GROUP BY id, i)
+SELECT id, tok, round(sum(i * x), 6) AS moment FROM x WHERE NOT one GROUP BY id, tok UNION ALL SELECT id, 0, round(sum(i * x) / greatest(sqrt(sum(x * x)), 1e-12), 6) FROM m GROUP BY id""")
+def condition_tokens(spark, sf_dir):
+    """Documents' tokens shuffled, cut, thinned and sometimes merged, by their moments."""
+    out = conditions.condition_tokens(tokens(spark, sf_dir)[1], 6, 0.2, 0.3, 7)
+    return out.select("id", "tok", F.round(vectors.dot(F.col("vec"), F.array(*[F.lit(float(i)) for i in range(1, 65)])), 6).alias("moment"))
+
+
+@query("""WITH m AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, 64)) AS i FROM embeddings) GROUP BY label, i), n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY label)
+SELECT a.label AS a, b.label AS b, round(sum(a.x * b.x) / any_value(greatest(p.n, 1e-12) * greatest(q.n, 1e-12)), 6) AS cosine FROM m a JOIN m b ON a.i = b.i AND a.label < b.label JOIN n p ON p.label = a.label JOIN n q ON q.label = b.label GROUP BY a.label, b.label""")
+def label_cosines(spark, sf_dir):
+    """Cosines of the labels' mean vectors, of which those that are too alike would be made anew."""
+    e = read(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    mean = e.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    norm = mean.groupBy("label").agg(F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.lit(1e-12)).alias("n"))
+    unit = mean.join(norm, "label").select("label", "i", (F.col("x") / F.col("n")).alias("x"))
+    a, b = unit.alias("a"), unit.alias("b")
+    return a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.label") < F.col("b.label"))).groupBy(F.col("a.label").alias("a"), F.col("b.label").alias("b")).agg(F.round(F.sum(F.col("a.x") * F.col("b.x")), 6).alias("cosine"))
+
+
 @query("SELECT event_id, round(CASE WHEN event_id < 100 THEN 0.001 * (event_id + 1) / 100 ELSE 0.001 * 0.5 * (1 + cos(pi() * (event_id - 100) / 99900)) END, 9) AS rate FROM events")
 def learning_rates(spark, sf_dir):
     """The schedule at each event's number."""

@@ -159,3 +159,13 @@ def test_flags_and_sources_by_precedence(spark, tmp_path):
     assert name == "rows" and got.count() == 2
     with pytest.raises(ValueError, match="no source"):
         readers.first_source(("empty", lambda: rows.limit(0)))
+
+
+def test_names_folders_and_staging(spark):
+    files = spark.createDataFrame([("a/b/x.jpg", 2000, None), ("a/y.jpg", 10, 10), ("a/b/c/z.jpg", 5000, 4999), ("a/b/w.jpg", 4000, 4000)], "path string, length long, size long")
+    assert {r.folder: (r.files, r.bytes) for r in records.folder_sizes(files).collect()} == {"a": (4, 11010), "a/b": (3, 11000), "a/b/c": (1, 5000)}
+    assert {r.path: r.ready for r in records.staging_ready(files).collect()} == {"a/b/x.jpg": True, "a/y.jpg": False, "a/b/c/z.jpg": False, "a/b/w.jpg": True}
+    rows = spark.createDataFrame([(1, "a/y.jpg"), (2, "elsewhere.png"), (3, None)], "i int, image string")
+    assert [r.i for r in records.path_references(rows, "image", files).collect()] == [2]
+    r = spark.createDataFrame([("g", 7), ("g", 12345678)], "d string, n long").select(records.padded_id(F.col("d"), F.col("n")).alias("i")).collect()
+    assert [x.i for x in r] == ["g-000007", "g-12345678"]
