@@ -113,7 +113,8 @@ def pair_queue(stream: DataFrame, key: str, source: str, weights: dict[str, floa
     """The stream's rows in the order in which the queue hands them out: (place, turn,
     the stream's columns). ``places`` queues of ``capacity`` / ``places`` rows work side
     by side, rows being dealt to them by a hash of ``key``. The session's state store
-    must be ``STORE``."""
+    must be ``STORE``. While rows wait their timers do, so ``availableNow`` never ends the
+    query: stop it when enough is handed out; a later start goes on from there."""
     columns = stream.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
     out = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("turn", T.LongType()), *stream.schema.fields])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text as T
 from sievework.functions.external import external_map
-from sievework.operators import dedup, pairs, quality, sampling, vectors
+from sievework.operators import dedup, maxsim, pairs, quality, sampling, vectors
 from sievework.sources import readers, writers
 from sievework.streaming import state
 
@@ -128,7 +128,7 @@ def test_maxsim_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     tok = lambda ids: spark.createDataFrame([(i, t, rng.normal(size=8).tolist()) for i, n in ids for t in range(n)], "id long, tok long, vec array<double>")
     q, d = tok([(0, 2), (1, 5), (2, 1)]), tok([(0, 3), (1, 1), (2, 6), (3, 2)])
-    monkeypatch.setattr(vectors, "BLOCK", 3)
+    monkeypatch.setattr(maxsim, "BLOCK", 3)
     got = {(r.q, r.d): r.score for r in vectors.maxsim(q, d).collect()}
     qs, ds = ({k: [np.array(r.vec) for r in x.collect() if r.id == k] for k in range(4)} for x in (q, d))
     for (i, j), s in got.items():

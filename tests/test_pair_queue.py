@@ -38,28 +38,25 @@ def test_queue_survives_a_restart(spark, store, tmp_path):
     source.mkdir()
     put = lambda name, ids: (source / name).write_text("\n".join(json.dumps({"id": i, "src": "ab"[i % 2], "anchor": f"a{i}", "positive": None if i % 7 == 0 else f"p{i}"}) for i in ids))
 
-    def run(until=None, idle=3_600_000, **how):
+    def run(until, idle=3_600_000):
         stream = spark.readStream.schema("id long, src string, anchor string, positive string").option("maxFilesPerTrigger", 1).json(str(source))
         line = pairs.pair_queue(stream, "id", "src", {"a": 2.0, "b": 1.0}, capacity=40, places=2, idle=idle, step=60)
-        q = line.writeStream.format("json").option("path", str(out)).option("checkpointLocation", str(check)).trigger(**how).start()
-        if until is None:
-            q.awaitTermination(240)
-        else:
-            end = time.time() + 120
-            while time.time() < end and len(got()) < until:
-                time.sleep(2)
-            q.stop()
+        q = line.writeStream.format("json").option("path", str(out)).option("checkpointLocation", str(check)).trigger(processingTime="0 seconds").start()
+        end = time.time() + 120
+        while time.time() < end and len(got()) < until:
+            time.sleep(1)
+        q.stop()
 
     def got():
         return spark.read.schema("id long, src string, anchor string, positive string, place int, turn long").json(str(out)).collect() if (out / "_spark_metadata").exists() else []
 
     put("1.json", range(60))
     put("2.json", range(60, 100))
-    run(availableNow=True)
+    run(until=60)
     first = got()
     assert 60 <= len(first) < 100 and len({r.id for r in first}) == len(first)  # at most 40 wait
     put("3.json", range(100, 130))
-    run(until=130, idle=1000, processingTime="0 seconds")  # then the timers hand out the rest
+    run(until=130, idle=1000)  # then the timers hand out the rest
     rows = got()
     assert sorted(r.id for r in rows) == list(range(130)) and {tuple(r) for r in first} <= {tuple(r) for r in rows}
     for place in (0, 1):
