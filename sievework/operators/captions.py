@@ -23,22 +23,31 @@ def grams(text: Column, n: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(at, lambda i: F.substr(text, i, n)), lambda g: F.length(g) == n))
 
 
-def _substrings(queries: DataFrame, captions: DataFrame) -> DataFrame:
-    """(q, row, score) of the captions that hold a query: those with its rarest gram are
-    looked at."""
-    sized = queries.select("q", "t", F.least(F.length("t"), F.lit(GRAM)).alias("n"))
-    asked = written(sized.select("q", "t", F.explode(grams(F.col("t"), F.col("n"))).alias("gram")), "grams")
-    sizes = [r.n for r in sized.select("n").distinct().collect()]  # GRAM at most
-    wanted = asked.select("gram").distinct()
-    has = F.array_distinct(F.concat(*[grams(F.col("c"), F.lit(n)) for n in sizes])) if sizes else F.array().cast("array<string>")
-    postings = written(captions.select("row", F.explode(has).alias("gram")).join(wanted, "gram", "left_semi"), "postings")
-    counted = asked.join(postings.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rarest = counted.groupBy("q", "t").agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
-    near = rarest.join(postings, "gram").join(captions.select("row", "c"), "row").filter(F.contains("c", "t"))
+def _substrings(queries: DataFrame, captions: DataFrame, postings: DataFrame) -> DataFrame:
+    """(q, row, score) of the captions that hold a query. The inner words of a query of
+    three or more are whole words of such a caption, so those with the rarest one are
+    looked at; for shorter queries, those with the rarest gram."""
+    parts = F.split(F.lower("t"), r"\s+")
+    inner = queries.select("q", "t", F.explode(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))).alias("word"))
+    near = _rarest(inner, postings, "word").join(captions.select("row", "c"), "row").filter(F.contains("c", "t"))
+    short = queries.filter(F.size(parts) < 3).select("q", "t", F.least(F.length("t"), F.lit(GRAM)).alias("n"))
+    sizes = [r.n for r in short.select("n").distinct().collect()]  # GRAM at most
+    if sizes:
+        asked = written(short.select("q", "t", F.explode(grams(F.col("t"), F.col("n"))).alias("gram")), "grams")
+        has = F.array_distinct(F.concat(*[grams(F.col("c"), F.lit(n)) for n in sizes]))
+        held = written(captions.select("row", F.explode(has).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi"), "postings")
+        near = near.unionByName(_rarest(asked, held, "gram").join(captions.select("row", "c"), "row").filter(F.contains("c", "t")))
     return near.select("q", "row", (1 + F.least(F.length("t") / F.length("c"), F.lit(1.0))).alias("score"))
 
 
-def _overlaps(queries: DataFrame, captions: DataFrame, k: int) -> DataFrame:
+def _rarest(asked: DataFrame, postings: DataFrame, part: str) -> DataFrame:
+    """(q, t, row) of the postings of each query's rarest part; of equal ones the least."""
+    counted = asked.join(postings.groupBy(part).agg(F.count("*").alias("df")), part, "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = counted.groupBy("q", "t").agg(F.min_by(part, F.struct("df", part)).alias(part))
+    return rarest.join(postings.select(part, "row"), part).select("q", "t", "row")
+
+
+def _overlaps(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
     """(q, row, score): at least the ``k`` captions of each query with the most similar
     words.
 
@@ -47,8 +56,6 @@ def _overlaps(queries: DataFrame, captions: DataFrame, k: int) -> DataFrame:
     to a place that this score tells, and its number of words is bounded by it; only
     such captions are compared."""
     asked = queries.select("q", F.size("words").alias("n"), F.explode("words").alias("word"))
-    wanted = asked.select("word").distinct()
-    postings = written(captions.select("row", F.size("words").alias("m"), F.explode("words").alias("word")).join(wanted, "word", "left_semi"), "postings")
     counted = asked.join(postings.groupBy("word").agg(F.count("*").alias("df")), "word")
     ranked = written(counted.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("df", "word"))), "words")
     first = _scored(ranked, ranked.filter("place = 1").join(postings, "word").select("q", "row"), postings)
@@ -76,8 +83,10 @@ def caption_top_k(queries: DataFrame, captions: DataFrame, k: int, keys: list[st
     asked = written(form(queries, "t", query).dropDuplicates([query, "t"]).withColumn("q", F.monotonically_increasing_id()), "queries")
     own = [F.col(c).alias(f"key_{i}") for i, c in enumerate(keys)]
     rows = written(form(captions, "c", *own).withColumn("row", F.monotonically_increasing_id()), "captions")
-    hits = written(_substrings(asked, rows), "hits")
-    found = hits.unionByName(_overlaps(asked, rows, k).join(hits, ["q", "row"], "left_anti"))
+    wanted = asked.select(F.explode("words").alias("word")).distinct()
+    postings = written(rows.select("row", F.size("words").alias("m"), F.explode("words").alias("word")).join(wanted, "word", "left_semi"), "postings")
+    hits = written(_substrings(asked, rows, postings), "hits")
+    found = hits.unionByName(_overlaps(asked, postings, k).join(hits, ["q", "row"], "left_anti"))
     order = [F.desc("score"), *[f"key_{i}" for i in range(len(keys))], "c"]
     # Those that tie with the k-th are told apart by their keys, so all of them are met with these.
     close = found.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") <= k)
