@@ -23,12 +23,14 @@ from ..sources.scratch import written
 PART, CALL = 4096, 50_000
 
 
-def pick(u: np.ndarray, k: int) -> list[int]:
-    """Places of the ``k`` picks among unit rows; equal distances go to the first."""
-    seeds, far = [0], np.round(1 - u @ u[0], 12)
-    while len(seeds) < min(k, len(u)):
+def pick(u: np.ndarray, k: int, again: bool = False) -> list[int]:
+    """Places of the ``k`` picks among unit rows; equal distances go to the first. With
+    ``again`` fewer rows are picked repeatedly."""
+    off = lambda i: np.round(1 - np.einsum("ij,j->i", u, u[i]), 12)  # noqa: E731  # by row: equal rows are equally far
+    seeds, far = [0], off(0)
+    while len(seeds) < (k if again else min(k, len(u))):
         seeds.append(int(far.argmax()))
-        far = np.minimum(far, np.round(1 - u @ u[seeds[-1]], 12))
+        far = np.minimum(far, off(seeds[-1]))
     return seeds
 
 
@@ -37,15 +39,17 @@ def _unit(vectors) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def farthest_seeds(tokens: DataFrame, k: int = 8) -> DataFrame:
-    """(id, seed, tok, vec): the picks of each id (id, tok, vec), in their order."""
+def farthest_seeds(tokens: DataFrame, k: int = 8, again: bool = False) -> DataFrame:
+    """(id, seed, tok, vec): the picks of each id (id, tok, vec), in their order. An id of
+    fewer tokens has as many picks, or with ``again`` ``k`` all the same: once all are
+    picked, the first is the farthest."""
     now = written(tokens.filter("vec IS NOT NULL").select("id", "tok", "vec"), "points")
 
     def picked(f: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, g in f.groupby(["id", "_part"], sort=False):
             g = g.sort_values("tok")
-            at = pick(_unit(g["vec"]), k)
+            at = pick(_unit(g["vec"]), k, again and last)
             out.append(pd.DataFrame({"id": g["id"].iat[0], "seed": range(len(at)), "tok": g["tok"].to_numpy()[at], "vec": [g["vec"].iat[i] for i in at]}))
         return pd.concat(out, ignore_index=True)
 

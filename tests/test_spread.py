@@ -50,3 +50,19 @@ def test_merge_onto_seeds_by_hand(spark, monkeypatch):
     got = {(r.id, r.tok): r.vec for r in vectors.farthest_points(df, 4).collect()}
     assert np.allclose([got[1, k] for k in range(4)], want) and got[2, 0] == [1.0, 0.0, 0.0, 0.0, 0.0] and len(got) == 5
     assert vectors.farthest_points(df.limit(0), 4).count() == 0
+
+
+def test_small_groups_have_as_many_seeds_as_the_sql(spark, tmp_path):
+    import duckdb
+
+    from sievework.plans import catalogue, training  # noqa: F401
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(8, 64))
+    rows = [(v, x[v % 8 % 3].tolist()) for v in range(8)] + [(v, rng.normal(size=64).tolist()) for v in (8, 16, 17)]  # copies; one token; two
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in catalogue.QUERIES["farthest_seeds"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert got == sorted(con.sql(catalogue.SQL["farthest_seeds"]).fetchall())
+    assert [g[1:] for g in got[3:]] == [(0, 0), (1, 0), (2, 0), (0, 0), (1, 1), (2, 0)]
