@@ -2,38 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
+#: Hash places that tokens are counted by, sizes for which one more token has to be shared, 64-bit words of a set's parities.
+COUNTS, STEP, WORDS = 1 << 22, 64, 4
+
+
+def _key() -> Column:
+    """A digest of the sorted tokens, none of which holds a zero character."""
+    return F.unhex(F.sha2(F.array_join(F.array_sort("tokens"), "\0"), 256))
+
+
+def classes(rows: DataFrame) -> DataFrame:
+    """(id, rep): the least id with an equal token set, for every ``id`` with ``tokens``.
+    Sets are compared by digests, so that no shuffle carries them."""
+    keyed = written(rows.filter(F.size("tokens") > 0).select("id", _key().alias("key")), "classes")
+    return keyed.join(keyed.groupBy("key").agg(F.min("id").alias("rep")), "key").select("id", "rep")
+
 
 def similarity_join(rows: DataFrame, threshold: float = 0.72) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, jaccard) of similar token sets (``id``, ``tokens``), and membership (id, rep).
+    """Pairs (a, b, jaccard) of similar token sets (``id``, ``tokens``), and membership (id, rep)."""
+    return similar(rows, threshold), classes(rows)
+
 
-    Tokens are ordered by rarity; similar sets share one of the first
-    n - ceil(t n) + 1, so only these are joined, as (set, place, size) without the
-    sets. Sizes and places tell what two sets can share at most; the sets
-    themselves are compared for the pairs that are left. Equal sets are joined once,
-    through their least id.
+def similar(rows: DataFrame, threshold: float = 0.72) -> DataFrame:
+    """Pairs (a, b, jaccard) of similar token sets (``id``, ``tokens``), equal ones once, by
+    their least id.
+
+    Tokens are 64-bit hashes, ordered by rarity, as counts of hash places tell it: any order
+    that all sets share will do. Of sets that share m tokens, the first l shared ones are
+    among the first n - m + l of each; l is 1, and 1 more for each ``STEP`` tokens of the smaller
+    set. So only tokens of these places are joined, counted by pair, and pairs
+    with l of them are compared. A joined row has its set's parities: how many tokens, odd or even,
+    have each of 64 ``WORDS`` hashes. No more of them differ than tokens do,
+    which leaves most pairs out before they are shuffled.
     """
-    sets = rows.filter(F.size("tokens") > 0).select("id", F.array_sort("tokens").alias("tokens"))
-    groups = written(sets.groupBy("tokens").agg(F.min("id").alias("rep")), "sets")
-    member = sets.join(groups, "tokens").select("id", "rep")
-    rarity = groups.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    ordered = (
-        groups.select("rep", F.explode("tokens").alias("t")).join(rarity, "t").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("s"))
-        .select("rep", F.transform("s", lambda x: x["t"]).alias("s"), F.size("s").alias("k"))
-    )
-    short = F.slice("s", 1, (F.col("k") - F.ceil(F.col("k") * threshold) + 1).cast("int"))
-    prefix = written(ordered.select("rep", "k", F.posexplode(short).alias("i", "t")), "prefixes")
-    a, b = prefix.alias("a"), prefix.alias("b")
-    length = (F.col("a.k") >= F.col("b.k") * threshold) & (F.col("b.k") >= F.col("a.k") * threshold)
-    # At the first token that two sets share, this many are left on the shorter side at most.
-    most = F.least(F.col("a.k") - F.col("a.i"), F.col("b.k") - F.col("b.i"))
-    enough = most * (1 + threshold) >= threshold * (F.col("a.k") + F.col("b.k")) - 1e-9
-    pairs = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.rep") < F.col("b.rep")) & length & enough).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    full = pairs.join(groups.select(F.col("rep").alias("a"), F.col("tokens").alias("ta")), "a").join(groups.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")), "b")
+    hashed = rows.filter(F.size("tokens") > 0).select("id", _key().alias("key"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+    sets = written(hashed.groupBy("key").agg(F.min("id").alias("rep"), F.first("h").alias("h")).select("rep", "h"), "sets")
+    pairs = compared(sets, threshold)
+    full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("h").alias("ta")), "a").join(sets.select(F.col("rep").alias("b"), F.col("h").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
-    near = full.select("a", "b", (both / (F.size("ta") + F.size("tb") - both)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
-    return near, member
+    return full.select("a", "b", (both / (F.size("ta") + F.size("tb") - both)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
+
+
+def compared(sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of hashed sets (rep, h) that may be similar."""
+    counts = sets.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(COUNTS - 1).cast("int").alias("at")).agg(F.count("*").alias("n")).toArrow()  # COUNTS rows at most
+    levels = np.zeros(COUNTS, np.uint8)
+    levels[counts["at"].to_numpy()] = np.ceil(4 * np.log2(counts["n"].to_numpy()))
+    shared = sets.sparkSession.sparkContext.broadcast(levels)
+
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out: list[tuple] = []
+            for h in f["h"]:
+                h, k = np.asarray(h, np.int64), len(h)
+                level = shared.value[h & (COUNTS - 1)]
+                top = np.lexsort((h, level))[: k - int(np.ceil(k * threshold - 1e-9)) + 1 + k // STEP]
+                at = np.flatnonzero(level[top])  # a token of level 0 is in no other set
+                bit = (h >> 40) % (64 * WORDS)
+                one = np.uint64(1) << (bit % 64).astype(np.uint64)
+                parity = [np.bitwise_xor.reduce(one[bit // 64 == w], initial=np.uint64(0)) for w in range(WORDS)]
+                out.append((k, at, h[top[at]], parity))
+            n = [len(at) for _, at, _, _ in out]
+            words = np.array([p for *_, p in out], np.uint64).reshape(-1, WORDS).view(np.int64)
+            yield pd.DataFrame({"rep": np.repeat(f["rep"].to_numpy(), n), "k": np.repeat([x[0] for x in out], n), "i": np.concatenate([x[1] for x in out]), "h": np.concatenate([x[2] for x in out]), **{f"s{w}": np.repeat(words[:, w], n) for w in range(WORDS)}})
+
+    prefix = written(sets.mapInPandas(first, "rep long, k int, i int, h long, " + ", ".join(f"s{w} long" for w in range(WORDS))), "prefixes")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    size = F.col("a.k") + F.col("b.k")
+    most = F.ceil(size * (threshold / (1 + threshold)) - 1e-9)  # that a pair must share at least
+    more = F.least("a.k", "b.k") / STEP
+    differ = sum((F.bit_count(F.col(f"a.s{w}").bitwiseXOR(F.col(f"b.s{w}"))) for w in range(WORDS)), F.lit(0))
+    early = [F.col(f"{x}.i") <= F.col(f"{x}.k") - most + F.floor(more) for x in "ab"]
+    length = (F.col("a.k") >= F.col("b.k") * threshold - 1e-9) & (F.col("b.k") >= F.col("a.k") * threshold - 1e-9)
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.rep") < F.col("b.rep")) & length & early[0] & early[1] & (differ <= size - 2 * most))
+    return met.groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.floor(more).alias("_more")).agg(F.count("*").alias("_n")).filter("_n > _more").select("a", "b")

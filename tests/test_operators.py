@@ -106,6 +106,36 @@ def test_similarity_join_matches_brute_force(spark):
             assert alike == (rep[i] == rep[j] or tuple(sorted((rep[i], rep[j]))) in found)
 
 
+def test_similarity_join_compares_few_pairs_of_large_sets(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(1200)]
+    sets = [rng.sample(words, rng.randint(60, 300)) for _ in range(150)]
+    sets += [[w if rng.random() > 0.12 else rng.choice(words) for w in s] for s in sets[:40]]
+    sets = [sorted(set(s)) for s in sets] + [sorted(set(sets[0]))]
+    seen = []
+    old = dedup.compared
+    monkeypatch.setattr(dedup, "compared", lambda *x: seen.append(old(*x)) or seen[-1])
+    near = dedup.similar(spark.createDataFrame(list(enumerate(sets)), "id long, tokens array<string>"))
+    want = {}
+    for j in range(190):
+        for i in range(j):
+            a, b = set(sets[i]), set(sets[j])
+            if len(a & b) / len(a | b) >= 0.72:
+                want[i, j] = len(a & b) / len(a | b)
+    assert {(r.a, r.b): r.jaccard for r in near.collect()} == want and 15 < len(want)
+    assert seen[0].count() < 2 * len(want)  # of 18,145; by one shared early token nearly all of like size
+
+
+def test_membership_makes_no_join_of_pairs(spark, monkeypatch):
+    names = []
+    old = dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, name: names.append(name) or old(df, name))
+    member = dedup.classes(spark.createDataFrame([(4, ["b", "a"]), (2, ["a", "b"]), (3, ["ab"]), (1, [])], "id long, tokens array<string>"))
+    assert {tuple(r) for r in member.collect()} == {(4, 2), (2, 2), (3, 3)} and names == ["classes"]
+
+
 def matrix(spark, rows):
     return spark.createDataFrame([(q, d, float(s)) for q, r in enumerate(rows) for d, s in enumerate(r)], "q long, d long, score double")
 
