@@ -55,3 +55,18 @@ def test_search_queries_by_hand(spark):
     rows = spark.createDataFrame([(i, d, c) for i, (d, c, _) in enumerate(cases)], "i int, domain string, captions array<string>")
     got = {r.i: r.q for r in rows.select("i", T.search_query(F.col("captions"), F.col("domain")).alias("q")).collect()}
     assert [got[i] for i in range(len(cases))] == [w for _, _, w in cases]
+
+
+def test_codes_are_made_once(spark):
+    from sievework.operators import records
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def codes(i):
+        calls.add(1)
+        return [["a", "b"], [], ["c"]][i % 3]
+
+    found = spark.range(30).select("id", codes("id").alias("codes"))
+    got = records.with_codes(spark.range(30), found, ["a", "c"]).select("id", "codes").collect()
+    assert {(r.id, *r.codes) for r in got} == {(i, "a" if i % 3 == 0 else "c") for i in range(30) if i % 3 != 1} and calls.value == 30
