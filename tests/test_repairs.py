@@ -70,3 +70,13 @@ def test_codes_are_made_once(spark):
     found = spark.range(30).select("id", codes("id").alias("codes"))
     got = records.with_codes(spark.range(30), found, ["a", "c"]).select("id", "codes").collect()
     assert {(r.id, *r.codes) for r in got} == {(i, "a" if i % 3 == 0 else "c") for i in range(30) if i % 3 != 1} and calls.value == 30
+
+
+def test_keyword_queries_are_made_once(spark):
+    from sievework.operators import quality
+
+    flagged = spark.createDataFrame([("x", ["a blue tractor beside tall hedges", "two rowing boats", "granite quarry"], "q", ["query_too_short"])], "id string, captions array<string>, query string, codes array<string>")
+    out = quality.repair_query(flagged).select("id", "how", "new_query")
+    assert [tuple(r) for r in out.collect()] == [("x", "local_keywords", "blue rowing granite tractor boats quarry beside tall")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 5  # once for the query, four times in the one comparison with a caption
