@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import written
 from .quality import ranked
 
 
@@ -13,8 +14,9 @@ def batches(rows: DataFrame, id: str, n: str, size: int, drop_last: bool = False
     """Rows with n over 0 in batches of ``size`` in the order of (n, id): adds batch, row (its
     place there), width (the batch's greatest n) and start (the n of the rows before it
     in the batch, where the rows lie end to end). ``drop_last`` leaves a last batch out
-    that is not full."""
-    line = ranked(rows.filter(F.col(n) > 0), n, id)
+    that is not full. The rows are written first: the filter, the sample of the ranges and the
+    ranges themselves each would make ``n`` again."""
+    line = ranked(written(rows, "sizes").filter(F.col(n) > 0), n, id)
     out = line.withColumn("batch", F.expr(f"(rank - 1) div {size}")).withColumn("row", (F.col("rank") - 1) % size).drop("rank")
     return _placed(out, n, ["batch"], size if drop_last else 0)
 
@@ -23,7 +25,7 @@ def packed(rows: DataFrame, id: str, n: str, budget: int, step: int = 16, drop_l
     """As :func:`batches`, with as many rows a batch as ``budget`` padded entries allow:
     lengths are rounded up to a multiple of ``step``, and rows of one such width share
     batches (width, batch). A row over the budget is a batch of its own."""
-    sized = rows.filter(F.col(n) > 0).withColumn("width", (F.ceil(F.col(n) / step) * step).cast("long"))
+    sized = written(rows, "sizes").filter(F.col(n) > 0).withColumn("width", (F.ceil(F.col(n) / step) * step).cast("long"))
     line = ranked(sized, "width", id)
     first = line.groupBy("width").agg(F.min("rank").alias("_first"))  # a row per width
     line = line.join(first, "width").withColumn("_i", F.col("rank") - F.col("_first")).withColumn("_rows", F.greatest(F.floor(F.lit(budget) / F.col("width")), F.lit(1)))

@@ -60,3 +60,21 @@ def test_batches_by_hand(spark):
     x, mask = ragged.collated("t")
     r = spark.createDataFrame([([7, 8], 4), ([7, 8, 9], 2)], "t array<int>, width long").select(x.alias("x"), mask.alias("m")).collect()
     assert [(a.x, a.m) for a in r] == [([7, 8, 0, 0], [1, 1, 0, 0]), ([7, 8], [1, 1])]
+
+
+def test_sizes_of_ragged_rows_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from sievework.operators import ragged
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def size(i):
+        calls.add(1)
+        return i % 5
+
+    rows = spark.range(50).select("id", size("id").alias("n"))
+    got = {r.id: (r.batch, r.row, r.width, r.start) for r in ragged.batches(rows, "id", "n", 16).collect()}
+    assert calls.value == 50 and len(got) == 40 and got[1] == (0, 0, 2, 0) and got[49] == (2, 7, 4, 28)
+    assert ragged.packed(rows, "id", "n", 64).count() == 40 and calls.value == 100
