@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 
 from ..sources.scratch import written
 
-#: Tokens of a block of queries, of a part of documents, and numbers of a task's matrices.
-BLOCK, PART, CELLS = 4096, 65_536, 1_000_000
+#: Tokens of a block of queries, of a part of documents, numbers of a task's matrices, and about the rows that a block and a part give.
+BLOCK, PART, CELLS, ROWS = 4096, 65_536, 1_000_000, 1_000_000
 #: Digits of a score that ranking looks at: equal documents must tie, however they are summed.
 DIGITS = 12
 
@@ -48,9 +48,13 @@ def _parts(n: int, spark) -> int:
 
 def _grid(queries: DataFrame, docs: DataFrame, score: Callable, schema: str) -> DataFrame:
     """``score(query rows, document rows)`` of every block and part. The block's rows go
-    to each part and the part's to each block."""
+    to each part and the part's to each block. A task's rows are as many as its query tokens
+    by its documents at most, and are made before the first is handed on, so parts are
+    also so many that these stay about ``ROWS``."""
     queries, docs = (t.filter("vec IS NOT NULL").select("id", "tok", "vec") for t in (queries, docs))
-    blocks, parts = max(1, math.ceil(queries.count() / BLOCK)), _parts(docs.count(), docs.sparkSession)
+    asked, (n, whole) = queries.count(), docs.agg(F.count("*"), F.count_distinct("id")).first()
+    blocks = max(1, math.ceil(asked / BLOCK))
+    parts = max(_parts(n, docs.sparkSession), min(whole, math.ceil(math.ceil(asked / blocks) * whole / ROWS)))
     deal = lambda t, own, n, other, m: t.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     left, right = deal(queries, "b", blocks, "p", parts), deal(docs, "p", parts, "b", blocks)
     return left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(score, schema)

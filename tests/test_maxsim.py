@@ -83,3 +83,19 @@ def test_nothing_in_nothing_out(spark):
     none, some = spark.createDataFrame([], SCHEMA), spark.createDataFrame([(1, 0, [1.0, 0.0])], SCHEMA)
     for q, d in ((none, some), (some, none), (none, none)):
         assert maxsim.maxsim_top_k(q, d, 3).count() == maxsim.token_maxsim(q, d).count() == maxsim.maxsim_top_k(q, d, 3, 2).count() == 0
+
+
+def test_a_task_gives_about_so_many_rows(spark, monkeypatch):
+    from sievework.operators import maxsim
+
+    rng = np.random.default_rng(6)
+    rows = [(i, t, rng.normal(size=4).tolist()) for i in range(200) for t in range(2)]
+    docs = spark.createDataFrame(rows, "id long, tok long, vec array<double>").repartition(2)
+    asked = docs.filter("id < 20")
+    whole = sorted(tuple(r) for r in maxsim.token_maxsim(asked, docs).collect())
+    assert len(whole) == 40 * 200
+    sizes = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(maxsim, "ROWS", 400)
+    grid = maxsim._grid
+    monkeypatch.setattr(maxsim, "_grid", lambda q, d, score, schema: grid(q, d, lambda a, b: (sizes.add(len(score(a, b)) > 1200), score(a, b))[1], schema))
+    assert sorted(tuple(r) for r in maxsim.token_maxsim(asked, docs).collect()) == whole and sizes.value == 0
