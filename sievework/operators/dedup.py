@@ -61,6 +61,8 @@ def compared(sets: DataFrame, threshold: float) -> DataFrame:
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            if f.empty:
+                continue
             out: list[tuple] = []
             for h in f["h"]:
                 h, k = np.asarray(h, np.int64), len(h)

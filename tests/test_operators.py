@@ -128,6 +128,11 @@ def test_similarity_join_compares_few_pairs_of_large_sets(spark, monkeypatch):
     assert seen[0].count() < 2 * len(want)  # of 18,145; by one shared early token nearly all of like size
 
 
+def test_no_sets_have_no_pairs(spark):
+    near, member = dedup.similarity_join(spark.createDataFrame([(1, [])], "id long, tokens array<string>"))
+    assert near.count() == 0 == member.count()
+
+
 def test_membership_makes_no_join_of_pairs(spark, monkeypatch):
     names = []
     old = dedup.written
