@@ -85,18 +85,38 @@ def token_maxsim(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return _grid(queries, docs, score, "q long, qt long, d long, s double")
 
 
-def maxsim(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(q, d, score) of every query and document; tokens are averaged in the task."""
+def _mean(s: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(s, first, axis=0) / np.diff(np.r_[first, len(s)])[:, None]
+
+
+def _most(s: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.maximum.reduceat(s, first, axis=0)
+
+
+def _pooled(queries: DataFrame, docs: DataFrame, **figures: Callable) -> DataFrame:
+    """(q, d, ``figures``) of every query and document, each figure of the similarities of
+    all the query's tokens. A query's tokens lie in one block, so they are pooled in the
+    task: it hands on a row a query and document, which no other task has."""
 
     def score(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         out = []
         for rows, ids, s in _best(q, d) if len(q) and len(d) else ():
             own, first = _runs(rows["id"].to_numpy())
-            mean = np.add.reduceat(s, first, axis=0) / np.diff(np.r_[first, len(rows)])[:, None]
-            out.append(pd.DataFrame({"q": np.repeat(own, len(ids)), "d": np.tile(ids, len(own)), "score": mean.ravel()}))
-        return pd.concat(out) if out else _none(q="int64", d="int64", score="float64")
+            out.append(pd.DataFrame({"q": np.repeat(own, len(ids)), "d": np.tile(ids, len(own))} | {c: f(s, first).ravel() for c, f in figures.items()}))
+        return pd.concat(out) if out else _none(q="int64", d="int64", **dict.fromkeys(figures, "float64"))
+
+    return _grid(queries, docs, score, ", ".join(["q long", "d long", *(f"{c} double" for c in figures)]))
+
+
+def maxsim(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(q, d, score) of every query and document; tokens are averaged in the task."""
+    return _pooled(queries, docs, score=_mean)
+
 
-    return _grid(queries, docs, score, "q long, d long, score double")
+def affinity(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(q, d, mx, mean) of every query and document: the best and the mean of what
+    ``token_maxsim`` gives for the query's tokens, without its rows."""
+    return _pooled(queries, docs, mx=_most, mean=_mean)
 
 
 # ---- top-k with bounds

@@ -99,3 +99,33 @@ def test_a_task_gives_about_so_many_rows(spark, monkeypatch):
     grid = maxsim._grid
     monkeypatch.setattr(maxsim, "_grid", lambda q, d, score, schema: grid(q, d, lambda a, b: (sizes.add(len(score(a, b)) > 1200), score(a, b))[1], schema))
     assert sorted(tuple(r) for r in maxsim.token_maxsim(asked, docs).collect()) == whole and sizes.value == 0
+
+
+def test_affinity_hands_on_a_row_a_query_and_document(spark, monkeypatch):
+    from sievework.plans import catalogue
+
+    rng = np.random.default_rng(7)
+    queries, docs = clustered(rng, 9, 5, 8, 0.5), clustered(rng, 60, 5, 8, 0.5)
+    q, d = spark.createDataFrame(queries + [(99, 0, None)], SCHEMA), spark.createDataFrame(docs + [(7, 9, None)], SCHEMA)
+    handed = spark.sparkContext.accumulator(0)
+    grid = maxsim._grid
+
+    def counted(score):
+        def f(a, b):
+            rows = score(a, b)
+            handed.add(len(rows))
+            return rows
+
+        return f
+
+    monkeypatch.setattr(maxsim, "_grid", lambda q, d, score, schema: grid(q, d, counted(score), schema))
+    monkeypatch.setattr(maxsim, "BLOCK", 6)
+    monkeypatch.setattr(maxsim, "ROWS", 50)  # several blocks and parts
+    monkeypatch.setattr(catalogue, "tokens", lambda spark, sf_dir: (q, d))
+    found = {(r.q, r.d): (r.mx, r["mean"]) for r in catalogue.document_affinity(spark, "").collect()}
+    assert handed.value == 9 * 60 == len(found)
+    group = lambda rows: {i: np.array([r[2] for r in rows if r[0] == i]) for i in {r[0] for r in rows}}
+    for i, m in group(queries).items():
+        for j, x in group(docs).items():
+            best = (m @ x.T).max(1)
+            assert found[i, j] == pytest.approx((best.max(), best.mean()), abs=1e-6)
