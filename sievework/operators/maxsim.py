@@ -119,6 +119,28 @@ def affinity(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return _pooled(queries, docs, mx=_most, mean=_mean)
 
 
+def best_tokens_maxsim(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(q, d, score) of every query and document: the mean of the query's ``k`` tokens
+    (all, if fewer) with the best similarities."""
+
+    def best(s: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.stack([np.sort(own, axis=0)[-k:].mean(axis=0) for own in np.split(s, first[1:])])
+
+    return _pooled(queries, docs, score=best)
+
+
+def soft_maxsim(queries: DataFrame, docs: DataFrame, tau: float) -> DataFrame:
+    """(q, d, soft) of every query and document: tau * logsumexp(s / tau), stable, over
+    the query's tokens."""
+
+    def soft(s: np.ndarray, first: np.ndarray) -> np.ndarray:
+        m = _most(s, first)
+        less = s - np.repeat(m, np.diff(np.r_[first, len(s)]), axis=0)
+        return m + tau * np.log(np.add.reduceat(np.exp(less / tau), first, axis=0))
+
+    return _pooled(queries, docs, soft=soft)
+
+
 # ---- top-k with bounds
 
 #: Tokens of the sample that the centroids are fitted on; the table itself has all tokens.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .maxsim import affinity, maxsim, maxsim_top_k, token_maxsim  # noqa: F401  # part of this module's functions
+from .maxsim import affinity, best_tokens_maxsim, maxsim, maxsim_top_k, soft_maxsim, token_maxsim  # noqa: F401  # part of this module's functions
 from .spread import merged_onto_seeds
 
 def dot(a: Column, b: Column) -> Column:

@@ -129,3 +129,33 @@ def test_affinity_hands_on_a_row_a_query_and_document(spark, monkeypatch):
         for j, x in group(docs).items():
             best = (m @ x.T).max(1)
             assert found[i, j] == pytest.approx((best.max(), best.mean()), abs=1e-6)
+
+
+def test_pooled_queries_hand_on_a_row_a_query_and_document(spark, monkeypatch):
+    from sievework.plans import catalogue
+
+    rng = np.random.default_rng(8)
+    queries, docs = clustered(rng, 9, 5, 8, 0.5), clustered(rng, 40, 5, 8, 0.5)
+    q, d = spark.createDataFrame(queries, SCHEMA), spark.createDataFrame(docs, SCHEMA)
+    handed = spark.sparkContext.accumulator(0)
+    grid = maxsim._grid
+
+    def counted(score):
+        def f(a, b):
+            rows = score(a, b)
+            handed.add(len(rows))
+            return rows
+
+        return f
+
+    monkeypatch.setattr(maxsim, "_grid", lambda q, d, score, schema: grid(q, d, counted(score), schema))
+    monkeypatch.setattr(catalogue, "tokens", lambda spark, sf_dir: (q, d))
+    two = {(r.q, r.d): r.score for r in catalogue.topk_token_maxsim(spark, "").collect()}
+    soft = {(r.q, r.d): r.soft for r in catalogue.soft_maxsim(spark, "").collect()}
+    assert handed.value == 2 * 9 * 40 and len(two) == len(soft) == 9 * 40
+    group = lambda rows: {i: np.array([r[2] for r in rows if r[0] == i]) for i in {r[0] for r in rows}}
+    for i, m in group(queries).items():
+        for j, x in group(docs).items():
+            best = np.sort((m @ x.T).max(1))
+            assert two[i, j] == pytest.approx(best[-2:].mean(), abs=1e-6)
+            assert soft[i, j] == pytest.approx(0.1 * np.log(np.exp(best / 0.1).sum()), abs=1e-6)
